@@ -10,6 +10,7 @@ from tarn.llm.common import table
 from tarn.llm.html_text import html_text
 from tarn.llm.language import language_id
 from tarn.llm.media import encode_media, media_digests
+from tarn.llm.pii import pii_spans
 from tarn.llm.quality import quality
 from tarn.llm.token_counts import token_counts
 
@@ -22,6 +23,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(encode_media(table(spark, sf_dir, "documents")))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op5_media_columns": op5_media_columns,
+    "op6_pii": op6_pii,
     "op7_language_id": op7_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,

@@ -10,6 +10,7 @@ from tarn.llm.common import table
 from tarn.llm.html_text import html_text
 from tarn.llm.language import language_id
 from tarn.llm.media import encode_media, media_digests
+from tarn.llm.ngram_join import ngram_components
 from tarn.llm.pii import pii_spans
 from tarn.llm.quality import quality
 from tarn.llm.token_counts import token_counts
@@ -19,6 +20,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(encode_media(table(spark, sf_dir, "documents")))
 
@@ -41,6 +46,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_media_columns": op5_media_columns,
     "op6_pii": op6_pii,
     "op7_language_id": op7_language_id,

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarn.llm.bpe import encode_decode
 from tarn.llm.common import table
 from tarn.llm.html_text import html_text
 from tarn.llm.language import language_id
 from tarn.llm.media import encode_media, media_digests
+from tarn.llm.mixing import mix_sizes
 from tarn.llm.ngram_join import ngram_components
 from tarn.llm.pii import pii_spans
 from tarn.llm.quality import quality
+from tarn.llm.substring_dedup import remove_repeats
 from tarn.llm.token_counts import token_counts
 
 
@@ -20,10 +23,18 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sizes(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(encode_media(table(spark, sf_dir, "documents")))
 
@@ -36,6 +47,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -46,10 +61,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_source_mixing": op2_source_mixing,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_media_columns": op5_media_columns,
     "op6_pii": op6_pii,
     "op7_language_id": op7_language_id,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }

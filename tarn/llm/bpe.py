@@ -21,6 +21,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,7 +120,7 @@ def _pattern() -> str:
 
 
 def encode_decode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, ids: bool = False) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) per row; a null text counts as empty."""
+    """(key, n_tokens, ids_sha256, decoded_sha256[, ids]) per row; a null text counts as empty."""
     path, pattern = tokenizer_path(vocabulary), _pattern()
 
     def work(texts: list[str | None]) -> dict:
@@ -132,14 +133,24 @@ def encode_decode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
             "decoded_sha256": [hashlib.sha256(b).hexdigest() for b in back],
         }
         if ids:
-            out["ids"] = [np.frombuffer(m, dtype="<u4").astype(np.int32).tolist() for m in made]
-            out["decoded"] = [b.decode("utf-8", "replace") for b in back]
+            ends = np.cumsum([0, *out["n_tokens"]]).astype(np.int32)
+            flat = np.frombuffer(b"".join(made), dtype="<u4").astype(np.int32)
+            out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
         return out
 
-    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
     return map_texts(df, [key], text, schema, work)
 
 
+def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, text) of (key, ids), JVM-side: each id's piece by position in a literal, concatenated.  Null ids give null."""
+    pieces = {i: b for b, i in read_ranks(tokenizer_path(vocabulary)).items()}
+    listed = [pieces.get(i, b"").hex() for i in range(max(pieces) + 1)]
+    table = F.from_json(F.lit(json.dumps(listed)), "array<string>")
+    joined = F.array_join(F.transform(F.col(f"`{ids}`"), lambda i: F.element_at(table, i + 1)), "")
+    return df.select(F.col(f"`{key}`"), F.decode(F.unhex(joined), "UTF-8").alias("text"))
+
+
 def _rank_literal(ranks: dict[bytes, int]):
     """The rank map as one literal: an array of small maps, a piece in the bucket of its checksum."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]

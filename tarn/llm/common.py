@@ -97,6 +97,29 @@ def map_texts(
     return source.mapInArrow(run, out)
 
 
+def map_rows(df: DataFrame, text: str, work: Callable[[list[str | None]], dict], keep: bool = False, budget: int = 4_000_000) -> DataFrame:
+    """Rows of ``df`` with some columns replaced (or, with ``keep``, some rows left out); the schema stays.
+
+    ``work`` gets a list of texts and returns new columns by name; with ``keep``
+    its ``kept`` is a mask instead.  No shuffle, no join back.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text, budget):
+                made = work(part.column(text).to_pylist())
+                if keep:
+                    yield part.filter(pa.array(made["kept"], pa.bool_()))
+                    continue
+                cols = [pa.array(made[f.name], type=f.type) if f.name in made else part.column(i) for i, f in enumerate(arrow)]
+                yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([pa.field(f.name, c.type, True) for f, c in zip(arrow, cols, strict=True)]))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file; TARN_TOKENIZERS overrides the folder."""
     folder = os.environ.get("TARN_TOKENIZERS")

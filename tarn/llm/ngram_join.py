@@ -330,3 +330,14 @@ def ngram_components(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         named.join(heads, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
         .select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
     )
+
+
+def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay: of each component the one of the least key.
+
+    Rows that share the kept key stay together; rows with a null key stay.
+    The ids that go are broadcast up to ``BROADCAST_IDS``, else joined by shuffle.
+    """
+    gone = cut(ngram_components(df, key, text).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")))
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return df.join(side, F.col(f"`{key}`") == F.col("__gone"), "left_anti")

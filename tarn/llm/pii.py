@@ -20,10 +20,9 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tarn.llm.boosting import Boosted, calibrate, fit
-from tarn.llm.common import map_texts
+from tarn.llm.common import map_rows, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 EXAMPLES = 6000
@@ -300,12 +299,12 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[end:]])
 
 
-def redact(df: DataFrame, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """(key, extra columns, text): every text with its personal data replaced; null stays null."""
+def redact(df: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
+    """``df`` with personal data replaced in its texts; ``size`` (if there is such a column) follows.  Null stays null."""
     trees, limits = model()
 
     def work(texts: list[str | None]) -> dict:
-        return {"text": [None if t is None else redacted(t, find(t, trees, limits)[1]) for t in texts]}
+        new = [None if t is None else redacted(t, find(t, trees, limits)[1]) for t in texts]
+        return {text: new, size: [None if t is None else len(t) for t in new]}
 
-    rows = df.select(F.col(f"`{key}`"), *[F.col(f"`{e}`") for e in extra], F.col(f"`{text}`").alias("__t"))
-    return map_texts(rows, [key, *extra], "__t", "text string", work)
+    return map_rows(df, text, work)

@@ -16,7 +16,7 @@ from itertools import count
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tarn.llm.common import SPACES, map_texts
+from tarn.llm.common import SPACES, map_rows, map_texts
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -161,3 +161,8 @@ def quality(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     of any length need nothing special: a text is only compared with itself.
     """
     return map_texts(df, [key], text, SCHEMA, measure)
+
+
+def quality_filter(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text is kept, with all their columns."""
+    return map_rows(df, text, measure, keep=True)

@@ -75,7 +75,7 @@ def test_left_alone(text):
 
 def test_redact(spark):
     df = spark.createDataFrame([(1, "mail a.b@c.de or +1 (017) 555-7713.", "x"), (2, None, "y"), (3, "", None)], "doc_id long, text string, source string")
-    rows = {r.doc_id: r for r in redact(df, extra=("source",)).collect()}
+    rows = {r.doc_id: r for r in redact(df).collect()}
     assert rows[1].text == "mail <email> or <phone>." and rows[2].text is None and rows[3].text == "" and rows[1].source == "x"
     assert redacted("abcdef", [(0, 3, "ip"), (2, 5, "card")]) == "<ip>f"
     assert pii_spans(df.limit(0)).count() == 0

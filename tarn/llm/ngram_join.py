@@ -235,6 +235,18 @@ def _compare_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
+def _near_labels(found: DataFrame) -> DataFrame:
+    """(node, label) for linked nodes: the least neighbour's least neighbour.
+
+    Equal labels mean one component, though not the reverse; that is all the
+    posting lists need, and it takes two joins where components take many.
+    """
+    both = found.union(found.select(F.col("b"), F.col("a")))
+    one = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("near"))
+    further = one.select(F.col("node").alias("near"), F.col("near").alias("label"))
+    return one.join(further, "near", "left").select("node", F.coalesce("label", "near").alias("label"))
+
+
 def _labelled(df: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return df.withColumn("label", F.col("node"))
@@ -286,7 +298,7 @@ def links(texts: DataFrame, named: DataFrame, total_tokens: int) -> DataFrame |
         pairs = rows.join(pivots, "token").where("label <> pl").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         new = cut(_verify(pairs, sets))
         found = new if found is None else found.union(new)
-        labels = components(found)
+        labels = cut(_near_labels(found))
     rest = cut(postings(labels))
     if rest.limit(1).count():
         lows = rest.groupBy("token").agg(F.min("node").alias("low"))

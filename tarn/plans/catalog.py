@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from tarn.plans import document_queries, event_queries, search_queries, url_queries  # noqa: F401
+from tarn.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["hybrid_search"](spark, sf_dir)

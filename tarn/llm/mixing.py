@@ -23,6 +23,7 @@ MOST = 2
 ROUNDS = 20
 SHARD_SLOTS = 1 << 16
 CHUNK = 1 << 12
+TASK_SLOTS = 1 << 20
 ROWS_A_BUCKET = 20_000
 SEED = 1729
 
@@ -100,7 +101,9 @@ def plan(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     slots = F.least(F.round(F.col("target") * blocks / F.col("source_size")).cast("long"), blocks * MOST)
     many = goals.where("source_size > 0").select("s", blocks.alias("blocks"), slots.alias("slots")).where("slots > 0")
     chunks = many.select("s", "blocks", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("chunk"))
-    parts = chunks.repartition("s", "chunk")
+    # a fixed number, since the few bytes of the chunks would be gathered into one task
+    slots_in_all = many.agg(F.sum("slots")).first()[0] or 0
+    parts = chunks.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-slots_in_all // TASK_SLOTS)), "s", "chunk")
     each = parts.select("s", "blocks", "slots", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(slots, (chunk + 1) * {CHUNK}) - 1)")).alias("g"))
     shards = F.greatest(F.lit(1), F.expr(f"(slots + {SHARD_SLOTS - 1}) div {SHARD_SLOTS}"))
     pass_ = F.expr("g div blocks")

@@ -108,7 +108,8 @@ def last_modified(text: Column) -> Column:
 
 
 def sitemap_priority(text: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), text.try_cast("double")))
+    value = text.try_cast("double")
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def snippet(text: Column, most: int = 300) -> Column:

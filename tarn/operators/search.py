@@ -9,6 +9,7 @@ and top-k is a partial top-k on every task.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,6 +74,41 @@ def bm25(index: Index, terms: list[str], boosts: dict[str, float], fuzzy: bool =
     return scored.groupBy("doc").agg(F.sum(boost * idf * part).alias("score"))
 
 
+def bm25_scan(docs: DataFrame, key: str, fields: dict[str, tuple[Column, float]], terms: list[str]) -> DataFrame:
+    """(doc, score) straight from the texts, where no index is kept: two scans, no shuffle, no explosion.
+
+    The first scan gives a single row of statistics (documents, mean length,
+    and a frequency per asked term, for each field); with these as constants
+    the score of a document is an expression over its own tokens.
+    """
+    asked = sorted(set(terms))
+    rows = docs.select(F.col(key).alias("doc"), *[tokens(text).alias(f"t{i}") for i, (text, _) in enumerate(fields.values())])
+    counts = [F.col("doc")]
+    for i in range(len(fields)):
+        t = F.col(f"t{i}")
+        counts.append(F.coalesce(F.size(t), F.lit(0)).alias(f"n{i}"))
+        counts += [(F.size(t) - F.size(F.array_remove(t, w))).alias(f"f{i}_{k}") for k, w in enumerate(asked)]
+    per = rows.select(*counts)
+    sums = []
+    for i in range(len(fields)):
+        some = F.col(f"n{i}") > 0
+        sums += [F.count_if(some).alias(f"n{i}"), F.avg(F.when(some, F.col(f"n{i}"))).alias(f"m{i}")]
+        sums += [F.count_if(F.col(f"f{i}_{k}") > 0).alias(f"d{i}_{k}") for k in range(len(asked))]
+    stats = per.agg(*sums).first()
+    score, hit = F.lit(0.0), F.lit(False)
+    for i, (_, boost) in enumerate(fields.values()):
+        n, mean = stats[f"n{i}"], stats[f"m{i}"]
+        for k in range(len(asked)):
+            df = stats[f"d{i}_{k}"]
+            if df:
+                tf = F.col(f"f{i}_{k}")
+                idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+                score = score + boost * idf * tf / (tf + K1 * (1 - B + B * F.col(f"n{i}") / mean))
+                hit = hit | (tf > 0)
+    # a document without any token of a field divides nothing by nothing there
+    return per.where(hit).select("doc", F.coalesce(score, F.lit(0.0)).alias("score"))
+
+
 def best_fields(index: Index, terms: list[str], boosts: dict[str, float]) -> DataFrame:
     """(doc, score): the best single field instead of the sum."""
     per = [bm25(index, terms, {f: b}) for f, b in boosts.items()]

@@ -72,4 +72,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_ngram_jaccard_join": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as s from w
+), n as (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * i >= 75 * (a.n + b.n - i)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id as doc, doc_id as reach from documents union select r.doc, e.y from r join e on e.x = r.reach)
+select d.doc_id, coalesce(n, 0) as n_shingles, m.component_id
+from documents d left join n using (doc_id) join (select doc, min(reach) as component_id from r group by 1) m on m.doc = d.doc_id""",
+}

@@ -146,11 +146,16 @@ def mix_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source
         .dropDuplicates(["__doc", "__size", "pass"])
     )
     words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(f"({WORD})"))
-    kept = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("__words", (r["at"] + 1).cast("int"), r["n"].cast("int")))), " ")
+
+    def joined(ws: Column) -> Column:
+        return F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(ws, (r["at"] + 1).cast("int"), r["n"].cast("int")))), " ")
+
+    # the words are bound once by the outer function; inside the inner one they would be cut anew for every run
+    kept = F.transform(F.array(words), joined)[0]
     counted = df.withColumn("__size", F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
     mixed = counted.where("__size > 0").join(chosen, (F.col(f"`{key}`") == F.col("__doc")) & (chosen["__size"] == counted["__size"]))
     new = F.when(F.col("taken") == counted["__size"], F.col(f"`{text}`")).otherwise(kept)
-    mixed = mixed.withColumn("__words", F.when(F.col("taken") < counted["__size"], words)).withColumn("__new", new)
+    mixed = mixed.withColumn("__new", new)
     cols = {text: F.col("__new"), size: F.length("__new").cast(df.schema[size].dataType)} if size in df.columns else {text: F.col("__new")}
     out = mixed.select(*[cols[c].alias(c) if c in cols else df[c] for c in df.columns])
     return out.unionByName(counted.where("__size = 0").select(*df.columns))

@@ -47,9 +47,9 @@ def test_query(spark):
         assert r.n_tokens == len(want)
         assert r.ids_sha256 == hashlib.sha256(np.array(want, dtype="<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
-    two = encode_decode(spark.createDataFrame([(1, None), (2, "hello world")], "doc_id long, text string"), ids=True).orderBy("doc_id").collect()
+    two = encode_decode(spark.createDataFrame([(1, None), (2, "hello world")], "doc_id long, text string"), ids="array").orderBy("doc_id").collect()
     assert two[0].ids == [] and two[1].ids == LIBRARY.encode_ordinary("hello world")
-    back = decode(encode_decode(df.limit(50), ids=True)).collect()
+    back = decode(encode_decode(df.limit(50), ids="array")).collect()
     assert all(r.text == (texts[r.doc_id] or "") for r in back)
     assert encode_decode(df.limit(0)).count() == 0
 

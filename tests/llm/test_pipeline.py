@@ -49,7 +49,7 @@ def test_stages_one_by_one(spark, tmp_path):
             assert {d: n for d, n in taken.items() if n} == dict(got)
         else:
             want = Counter(hashlib.sha256(np.array(LIBRARY.encode_ordinary(r.text), dtype="<u4").tobytes()).hexdigest() for r in before)
-            assert Counter(r.ids_sha256 for r in after) == want and all(len(r.ids) == r.n_tokens for r in after)
+            assert Counter(r.ids_sha256 for r in after) == want and all(len(r.ids) == 4 * r.n_tokens and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 for r in after)
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == columns
         docs = out

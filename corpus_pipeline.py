@@ -35,8 +35,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests and the ids of every mixed text."""
-    return encode_decode(docs, ids=True)
+    """doc_id, n_tokens, digests and the ids of every mixed text, packed as little-endian unsigned 32-bit bytes."""
+    return encode_decode(docs, ids="packed")
 
 
 STAGES = [

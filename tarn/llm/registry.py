@@ -48,7 +48,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents"), closing=True)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

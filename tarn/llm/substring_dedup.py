@@ -1,13 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences.  From every sentence starts one span: the
-shortest run of at least ``LEAST_SENTENCES`` sentences with at least
+A text is cut into sentences.  At every sentence starts one span and ends one
+span: the shortest run of at least ``LEAST_SENTENCES`` sentences with at least
 ``LEAST_WORDS`` words (a single sentence of ``LONE_WORDS`` words is a span of
 its own).  Every span is hashed and all spans of all texts meet by hash; the
 first occurrence, by key and position, stays, and every sentence that a later
-occurrence covers is removed.  A passage of whole sentences that occurs again
-is covered up to its last sentence, since a span that would leave it at the
-end is preceded by one that ends inside it.
+occurrence covers is removed.  That is the same as hashing every run of that
+least size: each sentence of such a run lies in the span that starts with the
+run or in the span that ends at the sentence, and both lie inside the run.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def sentences(text: str) -> tuple[list[int], list[str]]:
 
 
 def spans(forms: list[str]) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, end) of every span."""
+    """(hash, first sentence, end) of every lone sentence and of the span that starts at each sentence."""
     out = []
     counts = [f.count(" ") + 1 for f in forms]
     end, words, n = 0, 0, len(forms)
@@ -75,8 +75,25 @@ def spans(forms: list[str]) -> list[tuple[int, int, int]]:
     return out
 
 
-def span_table(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, hash, start, stop): one row per span; positions are sentence numbers."""
+def closing_spans(forms: list[str]) -> list[tuple[int, int, int]]:
+    """(hash, first sentence, end) of the span that ends at each sentence, where none of ``spans`` is the same run."""
+    out = []
+    counts = [f.count(" ") + 1 for f in forms]
+    start, words = 0, 0
+    for end in range(1, len(forms) + 1):
+        last = counts[end - 1]
+        words += last
+        while end - start > LEAST_SENTENCES and words - counts[start] >= LEAST_WORDS:
+            words -= counts[start]
+            start += 1
+        # without its last sentence the run is still long enough, so no span starts with it
+        if end - start > LEAST_SENTENCES and words - last >= LEAST_WORDS:
+            out.append((xxhash.xxh3_64_intdigest("\n".join(forms[start:end])), start, end))
+    return out
+
+
+def span_table(df: DataFrame, key: str, text: str, closing: bool = False) -> DataFrame:
+    """(doc, hash, start, stop): one row per span, with those of ``closing_spans`` if asked; positions are sentence numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +101,8 @@ def span_table(df: DataFrame, key: str, text: str) -> DataFrame:
                 docs = part.column("doc").to_numpy(zero_copy_only=False)
                 found, per = [], np.zeros(len(docs), dtype=np.int64)
                 for d, t in enumerate(part.column("text").to_pylist()):
-                    mine = spans(sentences(t)[1])
+                    forms = sentences(t)[1]
+                    mine = spans(forms) + closing_spans(forms) if closing else spans(forms)
                     per[d] = len(mine)
                     found += mine
                 if found:
@@ -103,13 +121,13 @@ def span_table(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "doc long, hash long, start int, stop int")
 
 
-def repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", closing: bool = False) -> DataFrame:
     """(doc, spans): for each text the sentence ranges of its non-first repeated spans.
 
     First occurrences are found map-side first, so a very frequent span meets
     as one row per task.
     """
-    table = span_table(df, key, text)
+    table = span_table(df, key, text, closing)
     firsts = (
         table.groupBy("hash")
         .agg(F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last"))
@@ -132,15 +150,18 @@ def without(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int, int]:
     return kept.strip() if gone[-1] or gone[0] else kept, len(forms), int(gone.sum())
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", closing: bool = False) -> DataFrame:
     """(key, text, n_sentences, n_removed) per row of ``df``.
 
+    ``closing`` takes the whole rule; without it only the spans that start at
+    each sentence count, and the end of a repeated passage may stay.
+
     The text is unchanged where nothing is removed; a text that repeats others
     wholly becomes empty.  Null stays null with 0 sentences.  Rows with equal
     keys count as one document for what came first; keys are integers, and a
     row with a null key is left as it is.
     """
-    found = cut(repeated(df, key, text))
+    found = cut(repeated(df, key, text, closing))
     rows = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("__t")).join(found.withColumnRenamed("doc", "__doc"), F.col(f"`{key}`") == F.col("__doc"), "left")
     packed = rows.select(F.col(f"`{key}`"), "__t", "spans")
     schema = StructType([*df.select(F.col(f"`{key}`")).schema.fields, *StructType.fromDDL("text string, n_sentences long, n_removed long").fields])

@@ -1,6 +1,7 @@
 import random
 
 from pyspark.sql import functions as F
+from tarn.llm.registry import op8_substring_dedup
 from tarn.llm.substring_dedup import LEAST_SENTENCES, LEAST_WORDS, LONE_WORDS, remove_repeats, sentences, spans
 
 
@@ -69,3 +70,42 @@ def test_passage_stays_once(spark):
     assert got[1].text == rows[1][1] and got[102].text == "" and got[100].text is None and got[101].text == ""
     assert got[103].n_removed == 0 and got[104].text == "" and got[3].n_removed == 9
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def all_runs(rows):
+    """(sentences, those gone) of each text when every run of the least size counts."""
+    first, runs = {}, {}
+    for d, t in sorted(rows):
+        forms = sentences(t)[1]
+        n = [len(f.split()) for f in forms]
+        runs[d] = len(forms), [
+            ("\n".join(forms[i:j]), i, j)
+            for i in range(len(forms))
+            for j in range(i + 1, len(forms) + 1)
+            if (j - i >= LEAST_SENTENCES and sum(n[i:j]) >= LEAST_WORDS) or (j == i + 1 and n[i] >= LONE_WORDS)
+        ]
+        for s, i, _ in runs[d][1]:
+            first.setdefault(s, (d, i))
+    return {d: (n, {k for s, i, j in found if first[s] != (d, i) for k in range(i, j)}) for d, (n, found) in runs.items()}
+
+
+def test_query_covers_all_runs(spark, tmp_path):
+    r = random.Random(21)
+    sent = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)) + ". "
+    a, b, c, d = sent(20), sent(20), sent(5), sent(5)
+    rows = [(k, a + b + c + d + sent(9) + sent(9)) for k in range(3)]
+    pool = [sent(r.choice([1, 2, 3, 5, 9, 14, 40])) for _ in range(60)]
+    for k in range(3, 60):
+        text = ""
+        for _ in range(r.randint(1, 6)):
+            at = r.randrange(60)
+            text += "".join(pool[at : at + r.randint(1, 9)]) + (sent(r.randint(1, 9)) if r.random() < 0.7 else "")
+        rows.append((k, text))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in op8_substring_dedup(spark, str(tmp_path)).collect()}
+    assert all(x not in got[k].text for k in (1, 2) for x in (a, b, c, d)) and got[1].n_removed == 4
+    texts = dict(rows)
+    for k, (n, gone) in all_runs(rows).items():
+        starts, _ = sentences(texts[k])
+        kept = "".join(texts[k][starts[i] : starts[i + 1]] for i in range(n) if i not in gone)
+        assert (got[k].n_sentences, got[k].n_removed, got[k].text.strip()) == (n, len(gone), kept.strip())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarn.functions import decisions as D
 from tarn.functions import text as T
 from tarn.functions import urls as U
+from tarn.operators import language as L
 from tarn.plans.registry import query, table
 from tarn.plans.url_queries import DOMAIN
 
@@ -111,6 +112,21 @@ def japanese_normal_forms(spark, sf_dir):
     return spark.range(1, 2).select(F.col("id").cast("int").alias("id"), T.japanese_normal(F.lit("ＡＢＣ１２３※ｘｙｚ★東京")).alias("normal"))
 
 
+def language(spark, sf_dir, mode):
+    found = docs(spark, sf_dir).select("doc_id", L.detected(F.col("text")).alias("found"))
+    return found.select("doc_id", "found.code", F.round("found.prob", 6).alias("prob"), L.language_code(F.col("found"), mode).alias("lang"))
+
+
+@query("language_detect")
+def language_detect(spark, sf_dir):
+    return language(spark, sf_dir, "faithful")
+
+
+@query("language_detect_intended")
+def language_detect_intended(spark, sf_dir):
+    return language(spark, sf_dir, "intended")
+
+
 CRAWL = f"""c as (select page_id, url, {DOMAIN} as domain, case when page_id % 7 = 0 then 404 when page_id % 11 = 0 then 500 else 200 end as status,
  case when page_id % 13 = 0 then 'late' end as error, case when page_id % 5 = 0 then null else substr(html, 1, 40 + cast(page_id % 9 as int) * 20) end as body,
  page_id % 40 as age, substr(url, 8, cast(page_id % 30 as int)) as title, case when page_id % 2 = 0 then 'd' end as description, list_extract(['ja', 'en', 'fr'], cast(1 + page_id % 3 as int)) as lang from pages)"""

@@ -221,3 +221,33 @@ def test_api(spark):
     assert "url?: string;" in schemas.to_typescript("crawl_result")
     assert SimpleNamespace(**schemas.constraints("crawl_message")).priority is not None
     assert re.match(r"\{", schemas.schema("url_state").json())
+
+
+def test_language_codes(spark):
+    from tarn.operators.language import detected, language_code
+
+    given = {"a": ("en", 0.9), "b": ("en", 0.69), "c": ("zh-tw", 0.7), "d": ("sv", 0.99), "e": (None, 0.0), "x" * 10_000: ("fr", 1.0)}
+    df = spark.createDataFrame([(t,) for t in [*list(given)[:-1], "x" * 10_001, "  \n", None]], "t string")
+    found = df.select(detected(F.col("t"), lambda texts: [given[t] for t in texts]).alias("f"))
+    got = found.select("f.code", language_code(F.col("f")).alias("w"), language_code(F.col("f"), "intended").alias("i"), language_code(F.col("f"), "intended", "en", 0.95).alias("o")).collect()
+    assert [tuple(r) for r in got] == [
+        ("en", None, "en", "en"),
+        ("en", "ja", "ja", "en"),
+        ("zh-tw", None, "zh", "en"),
+        ("sv", "ja", "ja", "en"),
+        (None, "ja", "ja", "en"),
+        ("fr", None, "fr", "fr"),
+        (None, "ja", "ja", "en"),
+        (None, "ja", "ja", "en"),
+    ]
+
+
+def test_language_profiles(spark):
+    from tarn.operators.language import by_profiles
+    from tarn.plans.catalog import QUERIES
+
+    said = {"Il gatto è sul tavolo e non vuole scendere": "it", "O gato está na mesa e não quer descer": "pt", "これはペンです。": "ja", "人人生而自由": "zh-cn", "모든 인간은": "ko", "Привет мир": "ru", "مرحبا بالعالم": "ar", "नमस्ते": "hi", "12 34": None}
+    assert [c for c, _ in by_profiles(list(said))] == list(said.values())
+    rows = QUERIES["language_detect_intended"](spark, "/root/testdata/sf0.001").collect()
+    lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(lang) and sum(r.lang == lang[r.doc_id] for r in rows) >= 0.98 * len(rows)

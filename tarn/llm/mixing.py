@@ -65,25 +65,27 @@ def targets(sizes: DataFrame) -> DataFrame:
     return filled.select("source", "s", "source_size", F.when(F.col("capped"), F.col("limit")).otherwise(F.col("final") * F.col("w")).alias("target"))
 
 
-def plan(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", mark: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix of ``df``: (rows, pieces, picks).
 
-    rows: doc, s, size, start (in the source's stream), source_size, target.
+    rows: doc, s, size, start (in the source's stream), source_size, target, and
+    the column ``mark`` of ``df``, if named, which also orders rows of equal doc and size.
     pieces: s, start, block, at, n - the words of a row that lie in a block.
     picks: s, block, pass, shard - one row per slot of the mix.
     """
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = cut(df.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size")))
+    marks = [mark] if mark else []
+    sizes = cut(df.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"), *marks))
     goals = cut(targets(sizes))
     buckets = max(1, -(-sizes.count() // ROWS_A_BUCKET))
     named = sizes.join(goals.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)))
     base = named.groupBy("s", "bucket").agg(F.sum("size").alias("held"))
     base = base.select("s", "bucket", (F.sum("held").over(Window.partitionBy("s").orderBy("bucket")) - F.col("held")).alias("base"))
-    inside = Window.partitionBy("s", "bucket").orderBy("doc", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("s", "bucket").orderBy("doc", "size", *marks).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = (
         named.withColumn("upto", F.sum("size").over(inside))
         .join(base, ["s", "bucket"])
-        .select("doc", "s", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("start"), "source_size", "target")
+        .select("doc", "s", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("start"), "source_size", "target", *marks)
     )
     rows = cut(rows)
     pieces = (
@@ -129,33 +131,47 @@ def mix_sizes(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     return full.select(F.col("doc").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def row_mark(df: DataFrame, *needed: str) -> Column:
+    """A 64-bit name of a row's content: of the needed columns and all others that can be hashed."""
+    plain = [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in dict.fromkeys([*needed, *plain])], *[F.col(f"`{c}`").isNull() for c in dict.fromkeys(needed)])
+
+
 def mix_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", size: str = "n_chars") -> DataFrame:
     """The mixed documents with the columns of ``df``: a row for each pass in which a document has words.
 
     A document all of whose words a pass takes keeps its text; else its text is
     the words taken, with one space between.  Documents without a word take
-    part in no mix and stay as they are.
+    part in no mix and stay as they are.  Null and repeated keys are rows like
+    any other: texts and their runs of words meet by a mark of the whole row.
     """
-    rows, pieces, picks = plan(df, key, text, source)
+    counted = df.withColumn("__size", F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")).withColumn("__mark", row_mark(df, key, text, source))
+    rows, pieces, picks = plan(counted, key, text, source, "__mark")
+    # rows of equal mark are numbered on both sides; they are alike, so it does not matter which gets which number
+    alike = Window.partitionBy("__mark", "__size")
+    rows = rows.where("size > 0").withColumnRenamed("size", "__size")
+    full = counted.where("__size > 0")
+    if rows.groupBy("__mark", "__size").count().where("count > 1").limit(1).count():
+        rows = rows.withColumn("__copy", F.row_number().over(alike.orderBy("s", "start")))
+        full = full.withColumn("__copy", F.row_number().over(alike.orderBy("__mark")))
+    else:
+        rows, full = rows.withColumn("__copy", F.lit(1)), full.withColumn("__copy", F.lit(1))
     chosen = (
         pieces.join(picks, ["s", "block"])
         .groupBy("s", "start", "pass")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("runs"), F.sum("n").alias("taken"))
-        .join(rows.select("doc", "s", "start", "size"), ["s", "start"])
-        .select(F.col("doc").alias("__doc"), F.col("size").alias("__size"), "pass", "runs", "taken")
-        .dropDuplicates(["__doc", "__size", "pass"])
+        .agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("__runs"), F.sum("n").alias("__taken"))
+        .join(rows.select("s", "start", "__mark", "__size", "__copy"), ["s", "start"])
+        .select("__mark", "__size", "__copy", "__runs", "__taken")
     )
     words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(f"({WORD})"))
 
     def joined(ws: Column) -> Column:
-        return F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(ws, (r["at"] + 1).cast("int"), r["n"].cast("int")))), " ")
+        return F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(ws, (r["at"] + 1).cast("int"), r["n"].cast("int")))), " ")
 
     # the words are bound once by the outer function; inside the inner one they would be cut anew for every run
     kept = F.transform(F.array(words), joined)[0]
-    counted = df.withColumn("__size", F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
-    mixed = counted.where("__size > 0").join(chosen, (F.col(f"`{key}`") == F.col("__doc")) & (chosen["__size"] == counted["__size"]))
-    new = F.when(F.col("taken") == counted["__size"], F.col(f"`{text}`")).otherwise(kept)
-    mixed = mixed.withColumn("__new", new)
+    mixed = full.join(chosen, ["__mark", "__size", "__copy"])
+    mixed = mixed.withColumn("__new", F.when(F.col("__taken") == F.col("__size"), F.col(f"`{text}`")).otherwise(kept))
     cols = {text: F.col("__new"), size: F.length("__new").cast(df.schema[size].dataType)} if size in df.columns else {text: F.col("__new")}
-    out = mixed.select(*[cols[c].alias(c) if c in cols else df[c] for c in df.columns])
-    return out.unionByName(counted.where("__size = 0").select(*df.columns))
+    out = mixed.select(*[cols.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return out.unionByName(counted.where("__size = 0").select(*[F.col(f"`{c}`") for c in df.columns]))

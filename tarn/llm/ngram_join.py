@@ -29,7 +29,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import cut, map_texts, slices
@@ -278,9 +278,10 @@ def links(texts: DataFrame, named: DataFrame, total_tokens: int) -> DataFrame |
     many = chosen.count()
     if many < 2:
         return None
-    ids = chosen.select("doc").distinct()
+    # null for the sets that rows without a key alone hold
+    ids = chosen.select(F.col("doc").alias("id")).distinct()
     ids = F.broadcast(ids) if many <= BROADCAST_IDS else ids
-    some = texts.select("doc", "text").join(ids, "doc", "left_semi")
+    some = texts.select("doc", "text").join(ids, F.col("doc").eqNullSafe(F.col("id")), "left_semi")
     sets = map_texts(some, [], "text", "n int, node long, tokens array<long>", _with_tokens)
     sets = cut(sets.dropDuplicates(["node"]).join(chosen.drop("doc"), "node"))
 
@@ -325,8 +326,14 @@ def ngram_components(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     blank text has none and is alone in its component.  Rows with equal keys
     are separate rows; keys are integers.
     """
-    rows = df.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
-    named = cut(map_texts(rows, ["doc"], "text", "n long, node long", _named))
+    return _components_of(df, key, text, []).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components_of(df: DataFrame, key: str, text: str, marks: list[Column]) -> DataFrame:
+    """(doc, marks, n, component_id) per row; ``marks`` are further columns of the row to carry along."""
+    rows = df.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"), *marks)
+    carried = [c for c in rows.columns if c != "text"]
+    named = cut(map_texts(rows, carried, "text", "n long, node long", _named))
     total = named.agg(F.sum("n")).first()[0] or 0
     heads = named.where("n > 0").groupBy("node").agg(F.min("doc").alias("low"))
     found = links(rows, named, total) if total else None
@@ -340,16 +347,19 @@ def ngram_components(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     heads = heads.withColumnRenamed("node", "of")
     return (
         named.join(heads, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
-        .select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+        .select(*carried, "n", F.coalesce("component_id", "doc").alias("component_id"))
     )
 
 
 def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: of each component the one of the least key.
 
-    Rows that share the kept key stay together; rows with a null key stay.
-    The ids that go are broadcast up to ``BROADCAST_IDS``, else joined by shuffle.
+    Rows that share the kept key stay together; rows with a null key stay.  A
+    row goes by its key and text, so another text of the same key stays.  The
+    rows that go are broadcast up to ``BROADCAST_IDS``, else joined by shuffle.
     """
-    gone = cut(ngram_components(df, key, text).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")))
+    mark = F.xxhash64(F.col(f"`{text}`").cast("string"))
+    gone = _components_of(df, key, text, [mark.alias("mark")]).where("doc <> component_id")
+    gone = cut(gone.select(F.col("doc").alias("__gone"), F.col("mark").alias("__mark")).distinct())
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return df.join(side, F.col(f"`{key}`") == F.col("__gone"), "left_anti")
+    return df.join(side, (F.col(f"`{key}`") == F.col("__gone")) & (mark == F.col("__mark")), "left_anti")

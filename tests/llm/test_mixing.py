@@ -83,3 +83,31 @@ def test_shards_and_passes(spark):
     _, _, picks = plan(df)
     assert picks.groupBy("s", "block").count().where("count > 2").count() == 0
     assert picks.groupBy("s", "block", "pass").count().where("count > 1").count() == 0
+
+
+def test_null_and_repeated_keys(spark):
+    texts = [" ".join(f"{k}:{j}" for j in range(n)) for k, n in enumerate([70, 70, 90, 90, 90, 40, 40, 33])]
+    keys = [None, None, 1, 1, 1, 2, 2, None]
+    rows = [(d, t, "ab"[k % 2], k) for k, (d, t) in enumerate(zip(keys, texts))]
+    # rows alike in all columns, with and without a key
+    rows += [(5, "x " * 50, "a", 0)] * 3 + [(None, "y " * 45, "b", 0)] * 2 + [(None, None, "a", 1), (5, " ", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, no long")
+    out = mix_documents(df).collect()
+    by = defaultdict(int)
+    for d, t, s, _ in rows:
+        by[s] += len((t or "").split())
+    want, got, seen = goals(by), defaultdict(int), defaultdict(int)
+    for r in out:
+        for w in (r.text or "").split():
+            got[r.source] += 1
+            seen[r.doc_id, r.no, w] += 1
+    assert all(abs(got[s] - want[s]) <= 2 * BLOCK for s in by)
+    assert sum(got.values()) == sum(r.taken for r in mix_sizes(df).collect())
+    own = {(d, k, w) for d, t, _, k in rows for w in (t or "").split()}
+    assert set(seen) <= own and all(n <= 2 for (_, _, w), n in seen.items() if ":" in w)
+    # every row of a source that is used twice over stays whole in one pass at least
+    full = {s for s in by if want[s] == 2 * by[s]}
+    assert all(seen[d, k, w] == 2 for d, t, s, k in rows if s in full for w in (t or "").split() if ":" in w)
+    assert sum(not (r.text or "").strip() for r in out) == 2
+    again = mix_documents(df.repartition(7)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, out))

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 from tarn.llm import ngram_join
-from tarn.llm.ngram_join import ngram_components
+from tarn.llm.ngram_join import ngram_components, without_near_duplicates
 
 
 def brute(rows):
@@ -78,3 +78,17 @@ def test_odd_tables(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (0, "a B c d e f"), (5, None)], "doc_id long, text string")
     assert sorted(tuple(r) for r in ngram_components(df).collect()) == [(0, 2, 0), (1, 2, 0), (1, 2, 0), (5, 0, 5)]
     assert ngram_components(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_null_and_repeated_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", most)
+    words = [f"w{i}" for i in range(130)]
+    near, middle, far = (" ".join(words[k : k + 100]) for k in (0, 12, 24))
+    clean = " ".join(f"c{i}" for i in range(40))
+    # the ends are linked through a set that only a row without a key holds
+    df = spark.createDataFrame([(1, near), (None, middle), (2, far)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id) for r in ngram_components(df).collect()) == [(0, 1), (1, 1), (2, 1)]
+    df = spark.createDataFrame([(3, near), (7, near + " end"), (7, clean), (None, near), (7, None)], "doc_id long, text string")
+    got = sorted(map(repr, map(tuple, without_near_duplicates(df).collect())))
+    assert got == sorted(map(repr, [(3, near), (7, clean), (None, near), (7, None)]))

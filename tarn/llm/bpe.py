@@ -25,17 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import map_texts, tokenizer_path
+from tarn.llm.common import held, map_texts, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CACHE_WORDS = 600_000
+#: Bytes of words and ids a worker keeps, and what an entry costs beside them.
+CACHE_BYTES = 64_000_000
+ENTRY_BYTES = 180
 LONG_WORD = 128
 #: Buckets of the literal rank map: element access is by position, so a lookup scans one bucket only.
 BUCKETS = 1 << 14
 NEVER = 2**31 - 1
 
-_codecs: dict = {}
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -70,11 +70,13 @@ class Codec(dict):
         self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.split = regex.compile(pattern).findall
         self.odd = re.compile(_disputed())
+        self.kept = 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
         raw = word.encode("utf-8")
+        if self.kept >= CACHE_BYTES:
+            self.clear()
+            self.kept = 0
         whole = self.ranks.get(raw)
         if whole is not None:
             ids = [whole]
@@ -82,7 +84,10 @@ class Codec(dict):
             ids = merge(raw, self.ranks)
         else:
             ids = self.library._encode_single_piece(raw)  # the same merges with a heap
-        made = self[word] = np.array(ids, dtype="<u4").tobytes()
+        made = np.array(ids, dtype="<u4").tobytes()
+        if len(raw) <= LONG_WORD:
+            self[word] = made
+            self.kept += ENTRY_BYTES + len(raw) + len(made)
         return made
 
     def encode(self, text: str) -> bytes:
@@ -108,9 +113,7 @@ def _disputed() -> str:
 
 
 def _codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return held(f"bpe {path} {pattern}", lambda: Codec(path, pattern))
 
 
 def _pattern() -> str:

@@ -10,8 +10,10 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,11 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch between the JVM and a worker.
+BATCH_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set a local one only where the session names none."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only a local session may go without the setting: it gets a temporary
+    folder.  On a cluster such a folder would not be shared, so that is an error.
+    """
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set {key} to a folder that all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="tarn-shared-")
@@ -40,13 +52,61 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes: ten thousand long texts at once are no use to any operator."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_held: dict[str, Any] = {}
+_stage: list = [None]
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """A worker's state for the running stage (vocabularies, caches), made on first use."""
+    if name not in _held:
+        _held[name] = make()
+    return _held[name]
+
+
+def fresh() -> None:
+    """Drop what another stage held in this worker."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    stage = task and task.stageId()
+    if _stage[0] != stage:
+        _held.clear()
+        _stage[0] = stage
+
+
+def tidy() -> None:
+    """Give freed memory back to the system; reused workers would keep it for good."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``: what another stage held in this worker goes first, freed memory at the end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def slices(batch: pa.RecordBatch, column: str, budget: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, budget: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of a batch with about ``budget`` bytes of text each (one row at least)."""
     import numpy as np
     import pyarrow.compute as pc
@@ -67,7 +127,7 @@ def map_texts(
     text: str,
     schema: str,
     work: Callable[[list[str | None]], dict],
-    budget: int = 4_000_000,
+    budget: int = 1_000_000,
 ) -> DataFrame:
     """``mapInArrow`` over (keys, text): ``work`` gets a list of texts and returns the new columns.
 
@@ -94,10 +154,11 @@ def map_texts(
                     cols.append(v if isinstance(v, pa.Array) else pa.array(v, type=arrow.field(n).type))
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    return source.mapInArrow(run, out)
+    small_batches(df.sparkSession)
+    return source.mapInArrow(lean(run), out)
 
 
-def map_rows(df: DataFrame, text: str, work: Callable[[list[str | None]], dict], keep: bool = False, budget: int = 4_000_000) -> DataFrame:
+def map_rows(df: DataFrame, text: str, work: Callable[[list[str | None]], dict], keep: bool = False, budget: int = 1_000_000) -> DataFrame:
     """Rows of ``df`` with some columns replaced (or, with ``keep``, some rows left out); the schema stays.
 
     ``work`` gets a list of texts and returns new columns by name; with ``keep``
@@ -117,7 +178,8 @@ def map_rows(df: DataFrame, text: str, work: Callable[[list[str | None]], dict],
                 cols = [pa.array(made[f.name], type=f.type) if f.name in made else part.column(i) for i, f in enumerate(arrow)]
                 yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([pa.field(f.name, c.type, True) for f, c in zip(arrow, cols, strict=True)]))
 
-    return df.mapInArrow(run, df.schema)
+    small_batches(df.sparkSession)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def tokenizer_path(name: str) -> str:

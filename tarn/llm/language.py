@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import map_texts, slices
+from tarn.llm.common import lean, map_texts, slices
 
 CELLS = 1 << 12
 SMOOTHING = 0.5
@@ -90,7 +90,7 @@ def gram_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
     rows = df.select(F.col(f"`{text}`").alias("__text"), F.col(f"`{lang}`").cast("string").alias("__lang")).where(
         "__lang is not null and __text is not null"
     )
-    parts = rows.mapInArrow(run, "lang string, cell int, n long")
+    parts = rows.mapInArrow(lean(run), "lang string, cell int, n long")
     return parts.groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
 

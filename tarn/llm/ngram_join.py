@@ -3,22 +3,24 @@
 Tokens are 64-bit hashes of runs of five words.  Texts with equal token sets
 are one node from the start.  A pair with similarity 0.75 or more must share
 a token within the first n - ceil(0.75 n) + 1 tokens of each set under *any*
-order of all tokens.  Two orders are used, both rarest first by the number of
-nodes that hold a token, with different tie-breaks; a candidate pair has to
-share prefix tokens under both before its sets are compared exactly.
+order of all tokens.  Three orders are used: two rarest first by the number
+of nodes that hold a token, with different tie-breaks, and one by the hash
+alone.  Every pair that is ever compared shares prefix tokens under all three.
 
 * Token frequencies: each slice of texts ships its tokens packed by bucket
   (six bytes of token and two of owner each; equal sets once per slice); a
   bucket holds a bounded number of tokens on average and reports only tokens
-  of two nodes or more.  Tokens of one node come first in both orders and can
-  never match, so a text whose prefix is filled by them is out at once.
-* Candidates: rather than all pairs of a posting list, every list compares
-  its members with one pivot.  Links found merge into components; lists whose
-  members are all in one component are done.
-* Lists that still mix components are joined into families, and inside these
-  the nodes outside the family's largest component are compared with all
-  others in blocks of bounded size (a grid of block pairs, no pairs emitted
-  but links).  So no link between different components is lost.
+  of two nodes or more.  A token that very many nodes of a slice hold reaches
+  its bucket as a count only, and its nodes are joined to the sum afterwards.
+  Tokens of one node come first in both rarest-first orders and can never
+  match, so a text whose prefix is filled by them is out at once.
+* Candidates of a token's list: two members are worth a comparison only if
+  their sizes and the token's places in both orders leave room for enough
+  common tokens.  (The first common token of a link always leaves room.)
+* Rather than all pairs, every list first compares its members with one pivot,
+  twice; links merge into components, and lists within one component are done.
+* Of lists that still mix components, all pairs of different components that
+  pass the filters are compared, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -32,18 +34,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, map_texts, slices
+from tarn.llm.common import cut, lean, map_texts, slices, small_batches
 from tarn.llm.components import components
 
 SHINGLE = 5
 #: Links hold if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-BUCKET_TOKENS = 2_000_000
-SLICE_BYTES = 8_000_000
+BUCKET_TOKENS = 500_000
+SLICE_BYTES = 2_000_000
+#: A token of so many nodes in one slice is sent to its bucket as a count.
+HOT_NODES = 64
 PIVOT_ROUNDS = 2
-BLOCK_TOKENS = 250_000
 #: Up to so many ids the survivors are broadcast to the text scan; beyond, the texts are shuffled.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 500_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -117,71 +120,126 @@ def _named(texts: list[str | None]) -> dict:
 def _with_tokens(texts: list[str | None]) -> dict:
     tokens, starts = token_sets(texts)
     lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(tokens.view(np.int64)))
-    return {"n": np.diff(starts), "node": nodes_of(tokens, starts), "tokens": lists}
+    return {"node": nodes_of(tokens, starts), "tokens": lists}
+
+
+def _six(tokens: np.ndarray) -> np.ndarray:
+    return tokens.view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _eight(blob: bytes) -> np.ndarray:
+    six = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), dtype=np.uint8)
+    out[:, :6] = six
+    return out.view(np.int64).ravel()
+
+
+def _pack(texts: list[str | None], buckets: int) -> pa.RecordBatch | None:
+    """The tokens of a slice by bucket; nodes of hot tokens in a row of their own under a negative bucket."""
+    tokens, starts = token_sets(texts)
+    if not len(tokens):
+        return None
+    node = nodes_of(tokens, starts)
+    own = np.repeat(np.arange(len(node)), np.diff(starts))
+    _, firsts = np.unique(node, return_index=True)
+    once = np.zeros(len(node), dtype=bool)
+    once[firsts] = True
+    mine = once[own]
+    tokens, own = tokens[mine] >> np.uint64(16), own[mine]
+    bucket = (tokens % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((tokens, bucket))
+    tokens, own, bucket = tokens[order], own[order], bucket[order]
+    new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(tokens)))
+    hot = np.repeat(times >= HOT_NODES, times)
+    columns: list[list] = [[], [], [], [], [], []]
+
+    def row(*values: object) -> None:
+        for c, v in zip(columns, values, strict=True):
+            c.append(v)
+
+    def owned(which: np.ndarray) -> tuple[bytes, bytes]:
+        docs, local = np.unique(which, return_inverse=True)
+        return local.astype(np.uint16).tobytes(), node[docs].tobytes()
+
+    some, begins = np.unique(bucket, return_index=True)
+    cold = ~hot
+    hot_at = at[times >= HOT_NODES]
+    hot_times = times[times >= HOT_NODES].astype(np.uint32)
+    hot_bucket = bucket[hot_at]
+    for k, a, b in zip(some.tolist(), begins.tolist(), np.append(begins[1:], len(bucket)).tolist(), strict=True):
+        keep = cold[a:b]
+        x, y = np.searchsorted(hot_bucket, [k, k + 1])
+        row(k, _six(np.ascontiguousarray(tokens[a:b][keep])).tobytes(), *owned(own[a:b][keep]), _six(np.ascontiguousarray(tokens[hot_at[x:y]])).tobytes(), hot_times[x:y].tobytes())
+    if hot.any():
+        row(-1 - int(node[own[0]] & 0xFFFFFFFFFF), _six(np.ascontiguousarray(tokens[hot])).tobytes(), *owned(own[hot]), b"", b"")
+    kinds = (pa.int64(), *[pa.binary()] * 5)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "tokens", "owners", "names", "hots", "times"])
+
+
+def _count_bucket(table: pa.Table) -> pa.Table:
+    """(node, token, df) of a bucket; node is null in the sum of a hot token, df in the nodes of one."""
+    tokens, nodes = [], []
+    for blob, local, names in zip(*(table.column(c).to_pylist() for c in ("tokens", "owners", "names")), strict=True):
+        tokens.append(_eight(blob))
+        nodes.append(np.frombuffer(names, dtype=np.int64)[np.frombuffer(local, dtype=np.uint16)])
+    t, n = np.concatenate(tokens), np.concatenate(nodes)
+    if table.column("bucket")[0].as_py() < 0:
+        return pa.table({"node": n, "token": t, "df": pa.nulls(len(n), pa.int64())})
+    hots = np.concatenate([_eight(b) for b in table.column("hots").to_pylist()])
+    times = np.concatenate([np.frombuffer(b, dtype=np.uint32) for b in table.column("times").to_pylist()]).astype(np.int64)
+    hot, inverse = np.unique(hots, return_inverse=True)
+    extra = np.bincount(inverse, weights=times, minlength=len(hot)).astype(np.int64)
+    order = np.argsort(t, kind="stable")
+    t, n = t[order], n[order]
+    same = t[1:] == t[:-1]
+    several = np.isin(t, hot)
+    several[1:] |= same
+    several[:-1] |= same
+    t, n = t[several], n[several]
+    order = np.lexsort((n, t))
+    t, n = t[order], n[order]
+    new = np.concatenate(([True], (t[1:] != t[:-1]) | (n[1:] != n[:-1]))) if len(t) else np.zeros(0, dtype=bool)
+    t, n = t[new], n[new]
+    each, inverse, df = np.unique(t, return_inverse=True, return_counts=True)
+    df = df.astype(np.int64)
+    if len(hot):
+        where = np.searchsorted(each, hot)
+        inside = (where < len(each)) & (each[np.minimum(where, max(len(each) - 1, 0))] == hot) if len(each) else np.zeros(len(hot), dtype=bool)
+        extra[inside] += df[where[inside]]
+        df[where[inside]] = extra[inside]
+    df = df[inverse]
+    keep = df >= 2
+    return pa.table(
+        {
+            "node": pa.concat_arrays([pa.array(n[keep]), pa.nulls(len(hot), pa.int64())]),
+            "token": np.concatenate([t[keep], hot]),
+            "df": np.concatenate([df[keep], extra]),
+        }
+    )
 
 
 def shared_tokens(texts: DataFrame, buckets: int) -> DataFrame:
-    """(node, token, df) of the tokens that two nodes or more hold; tokens are cut to 48 bits."""
+    """(node, token, df) of the tokens that two nodes or more hold; tokens are cut to 48 bits.
+
+    The df of a hot token counts a node once per slice, which is as good an order.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 rows = part.column("text").to_pylist()
                 for k in range(0, len(rows), 60_000):
-                    tokens, starts = token_sets(rows[k : k + 60_000])
-                    node = nodes_of(tokens, starts)
-                    if not len(tokens):
-                        continue
-                    own = np.repeat(np.arange(len(node)), np.diff(starts))
-                    _, firsts = np.unique(node, return_index=True)
-                    once = np.zeros(len(node), dtype=bool)
-                    once[firsts] = True
-                    mine = once[own]
-                    tokens, own = tokens[mine] >> np.uint64(16), own[mine]
-                    bucket = (tokens % np.uint64(buckets)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")
-                    tokens, own, bucket = tokens[order], own[order], bucket[order]
-                    some, at = np.unique(bucket, return_index=True)
-                    ends = np.append(at[1:], len(bucket))
-                    six = tokens.view(np.uint8).reshape(-1, 8)[:, :6]
-                    blobs, owners, names = [], [], []
-                    for a, b in zip(at.tolist(), ends.tolist(), strict=True):
-                        docs, local = np.unique(own[a:b], return_inverse=True)
-                        blobs.append(six[a:b].tobytes())
-                        owners.append(local.astype(np.uint16).tobytes())
-                        names.append(node[docs].tobytes())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(some, pa.int64()), pa.array(blobs, pa.binary()), pa.array(owners, pa.binary()), pa.array(names, pa.binary())],
-                        names=["bucket", "tokens", "owners", "names"],
-                    )
-
-    def count_bucket(table: pa.Table) -> pa.Table:
-        tokens, nodes = [], []
-        for blob, local, names in zip(*(table.column(c).to_pylist() for c in ("tokens", "owners", "names")), strict=True):
-            six = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
-            eight = np.zeros((len(six), 8), dtype=np.uint8)
-            eight[:, :6] = six
-            tokens.append(eight.view(np.int64).ravel())
-            nodes.append(np.frombuffer(names, dtype=np.int64)[np.frombuffer(local, dtype=np.uint16)])
-        t, n = np.concatenate(tokens), np.concatenate(nodes)
-        order = np.argsort(t, kind="stable")
-        t, n = t[order], n[order]
-        same = t[1:] == t[:-1]
-        several = np.zeros(len(t), dtype=bool)
-        several[1:] |= same
-        several[:-1] |= same
-        t, n = t[several], n[several]
-        order = np.lexsort((n, t))
-        t, n = t[order], n[order]
-        new = np.concatenate(([True], (t[1:] != t[:-1]) | (n[1:] != n[:-1]))) if len(t) else np.zeros(0, dtype=bool)
-        t, n = t[new], n[new]
-        _, inverse, df = np.unique(t, return_inverse=True, return_counts=True)
-        df = df[inverse]
-        keep = df >= 2
-        return pa.table({"node": n[keep], "token": t[keep], "df": pa.array(df[keep], pa.int32())})
-
-    packed = texts.select("text").mapInArrow(pack, "bucket long, tokens binary, owners binary, names binary")
-    return packed.groupBy("bucket").applyInArrow(count_bucket, "node long, token long, df int")
+                    made = _pack(rows[k : k + 60_000], buckets)
+                    if made is not None:
+                        yield made
+
+    small_batches(texts.sparkSession)
+    packed = texts.select("text").mapInArrow(lean(pack), "bucket long, tokens binary, owners binary, names binary, hots binary, times binary")
+    shared = cut(packed.groupBy("bucket").applyInArrow(_count_bucket, "node long, token long, df long"))
+    sums = shared.where("node is null").select("token", "df")
+    return shared.where("node is not null and df is not null").union(shared.where("df is null").select("node", "token").join(sums, "token").select("node", "token", "df"))
 
 
 def _need(n: str) -> str:
@@ -189,50 +247,20 @@ def _need(n: str) -> str:
     return f"({n} - ({PERCENT} * {n} + 99) div 100 + 1)"
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among (a, b): prefixes must meet under both orders, then the sets are compared."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("first").alias("fa"), F.col("second").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("first").alias("fb"), F.col("second").alias("sb"))
-    met = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("fa", "fb") & F.arrays_overlap("sa", "sb"))
-    na, nb, both = F.size("ta"), F.size("tb"), F.size(F.array_intersect("ta", "tb"))
-    return (
-        met.where(F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT)
-        .select("a", "b", na.alias("na"), nb.alias("nb"), both.alias("i"))
-        .where(f"100 * i >= {PERCENT} * (na + nb - i)")
-        .select("a", "b")
-    )
+def _room(n: str, at: str, m: str, place: str) -> str:
+    """Whether sizes n and m and the places of a common token allow a link in which it is the first common one."""
+    most = f"least({n} - {at}, {m} - {place})"
+    return f"least({n}, {m}) * 100 >= greatest({n}, {m}) * {PERCENT} and {100 + PERCENT} * {most} >= {PERCENT} * ({n} + {m})"
 
 
-def _compare_blocks(table: pa.Table) -> pa.Table:
-    """Links between the block of outsiders and the other block, one for each outsider and component met."""
-    side = np.array(table.column("side").to_pylist())
-    label, node = table.column("label").to_numpy(), table.column("node").to_numpy()
-    column = table.column("tokens").combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    flat, offsets = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    offsets = offsets - offsets[0]
-    size = np.diff(offsets)
-    _, code = np.unique(flat, return_inverse=True)
-    out_a, out_b = [], []
-    ys = np.flatnonzero(side == 1)
-    xs = np.flatnonzero(side == 0)
-    if len(ys) and len(xs):
-        ypos = np.concatenate([np.arange(offsets[y], offsets[y + 1]) for y in ys])
-        ycode, ystart = code[ypos], np.cumsum(size[ys]) - size[ys]
-        flag = np.zeros(int(code.max()) + 1, dtype=np.int32)
-        for x in xs:
-            mine = code[offsets[x] : offsets[x + 1]]
-            flag[mine] = 1
-            both = np.add.reduceat(flag[ycode], ystart)
-            flag[mine] = 0
-            ok = (100 * both >= PERCENT * (size[ys] + size[x] - both)) & (label[ys] != label[x])
-            if ok.any():
-                hit = ys[ok]
-                _, one = np.unique(label[hit], return_index=True)
-                for y in hit[one]:
-                    out_a.append(node[x])
-                    out_b.append(node[y])
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among (a, b): prefixes must meet under the other two orders as well, then the sets are compared."""
+    third = F.expr(f"slice(tokens, 1, {_need('size(tokens)')})")
+    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("second").alias("sa"), third.alias("ca"))
+    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("second").alias("sb"), third.alias("cb"))
+    met = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("sa", "sb") & F.arrays_overlap("ca", "cb"))
+    na, nb, both = F.size("ta"), F.size("tb"), F.size(F.array_intersect("ta", "tb"))
+    return met.select("a", "b", na.alias("na"), nb.alias("nb"), both.alias("i")).where(f"100 * i >= {PERCENT} * (na + nb - i)").select("a", "b")
 
 
 def _near_labels(found: DataFrame) -> DataFrame:
@@ -261,15 +289,18 @@ def links(texts: DataFrame, named: DataFrame, total_tokens: int) -> DataFrame |
     buckets = max(8, -(-total_tokens // BUCKET_TOKENS))
     shared = shared_tokens(texts, buckets)
     sizes = named.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("doc").alias("doc"))
-    listed = shared.groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("list"))
+    listed = shared.groupBy("node").agg(F.collect_set(F.struct("df", "token")).alias("list"))
     # tokens of one node fill the front of the prefix
     chosen = (
         listed.join(sizes, "node")
-        .withColumn("room", F.expr(f"{_need('n')} - (n - size(list))"))
+        .withColumn("skip", F.expr("cast(n - size(list) as int)"))
+        .withColumn("room", F.expr(f"cast({_need('n')} - skip as int)"))
         .where("room > 0")
         .select(
             "node",
             "doc",
+            F.col("n").cast("int").alias("n"),
+            "skip",
             F.expr("transform(slice(array_sort(list), 1, room), x -> x.token)").alias("first"),
             F.expr("transform(slice(array_sort(transform(list, x -> struct(x.df, xxhash64(x.token) as h, x.token as token))), 1, room), x -> x.token)").alias("second"),
         )
@@ -282,39 +313,38 @@ def links(texts: DataFrame, named: DataFrame, total_tokens: int) -> DataFrame |
     ids = chosen.select(F.col("doc").alias("id")).distinct()
     ids = F.broadcast(ids) if many <= BROADCAST_IDS else ids
     some = texts.select("doc", "text").join(ids, F.col("doc").eqNullSafe(F.col("id")), "left_semi")
-    sets = map_texts(some, [], "text", "n int, node long, tokens array<long>", _with_tokens)
-    sets = cut(sets.dropDuplicates(["node"]).join(chosen.drop("doc"), "node"))
+    sets = map_texts(some, [], "text", "node long, tokens array<long>", _with_tokens)
+    sets = cut(sets.dropDuplicates(["node"]).join(chosen.select("node", "second"), "node"))
 
     def postings(labels: DataFrame | None) -> DataFrame:
-        """Lists under the first order that still mix components."""
-        rows = _labelled(sets.select("node", F.explode("first").alias("token")), labels)
+        """(token, node, n, at, label) of the lists under the first order that still mix components."""
+        rows = chosen.select("node", "n", "skip", F.posexplode("first").alias("k", "token"))
+        rows = _labelled(rows.select("token", "node", "n", (F.col("skip") + F.col("k")).alias("at")), labels)
         mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-        return rows.join(mixed, "token", "left_semi")
+        return cut(rows.join(mixed, "token", "left_semi"))
+
+    def compared(rows: DataFrame, others: DataFrame, which: str) -> DataFrame:
+        """Links between rows and others of one list: (token, node, n, at, label) on both sides."""
+        to = others.select("token", F.col("node").alias("p"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("label").alias("pl"))
+        pairs = rows.join(to, "token").where(f"{which} and {_room('n', 'at', 'm', 'place')}")
+        return cut(_verify(pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct(), sets))
 
     found: DataFrame | None = None
     labels: DataFrame | None = None
     for turn in range(PIVOT_ROUNDS):
-        rows = cut(postings(labels))
-        pivots = rows.groupBy("token").agg(F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("p"), F.min_by("label", F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("pl"))
-        pairs = rows.join(pivots, "token").where("label <> pl").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        new = cut(_verify(pairs, sets))
+        rows = postings(labels)
+        # first the member with the least of its own, which is most like the rest; then any
+        best = F.struct(F.col("at") / F.col("n"), F.xxhash64("node"), "node") if not turn else F.struct(F.xxhash64("node", F.lit(turn)), F.lit(0), "node")
+        pivots = rows.groupBy("token").agg(F.min_by(F.struct("node", "n", "at", "label"), best).alias("p")).select("token", "p.*")
+        # written, so that the join's both sides are plain exchanges and a long list can be split
+        new = compared(rows, cut(pivots), "label <> pl")
         found = new if found is None else found.union(new)
         labels = cut(_near_labels(found))
-    rest = cut(postings(labels))
+    rest = postings(labels)
     if rest.limit(1).count():
-        lows = rest.groupBy("token").agg(F.min("node").alias("low"))
-        family = components(rest.join(lows, "token").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()).withColumnRenamed("label", "family")
-        members = _labelled(sets.select("node", "tokens", F.size("tokens").alias("size")).join(family, "node"), labels)
-        members = cut(members)
-        by_label = members.groupBy("family", "label").agg(F.sum("size").alias("tokens"))
-        sums = by_label.groupBy("family").agg(F.max_by("label", F.struct("tokens", "label")).alias("main"), F.sum("tokens").alias("all"), F.max("tokens").alias("most"))
-        sums = sums.select("family", "main", F.expr(f"cast(ceil(all / {BLOCK_TOKENS}) as int)").alias("ny"), F.expr(f"cast(greatest(1, ceil((all - most) / {BLOCK_TOKENS})) as int)").alias("nx"))
-        placed = members.join(sums, "family")
-        x = placed.where("label <> main").select("family", "node", "label", "tokens", F.lit(0).alias("side"), F.expr("pmod(xxhash64(node), nx)").alias("bx"), F.explode(F.expr("sequence(0L, cast(ny - 1 as long))")).alias("by"))
-        y = placed.select("family", "node", "label", "tokens", F.lit(1).alias("side"), F.explode(F.expr("sequence(0L, cast(nx - 1 as long))")).alias("bx"), F.expr("pmod(xxhash64(node), ny)").alias("by"))
-        grid = x.select("family", "bx", "by", "side", "node", "label", "tokens").union(y.select("family", "bx", "by", "side", "node", "label", "tokens"))
-        more = grid.groupBy("family", "bx", "by").applyInArrow(_compare_blocks, "a long, b long")
-        found = found.union(cut(more))
+        labels = components(found)
+        rest = postings(labels)
+        found = found.union(compared(rest, rest, "node < p and label <> pl"))
     return found
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tarn.llm.common import cut, slices
+from tarn.llm.common import cut, lean, slices
 
 LEAST_SENTENCES = 2
 LEAST_WORDS = 12
@@ -118,7 +118,7 @@ def span_table(df: DataFrame, key: str, text: str, closing: bool = False) -> Dat
                     )
 
     rows = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null and doc is not null")
-    return rows.mapInArrow(run, "doc long, hash long, start int, stop int")
+    return rows.mapInArrow(lean(run), "doc long, hash long, start int, stop int")
 
 
 def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", closing: bool = False) -> DataFrame:
@@ -175,5 +175,5 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", closi
                 texts, n, gone = zip(*made, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
 
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(lean(run), schema)
 

@@ -60,7 +60,6 @@ def made(seed, n_groups=25):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_brute_force(spark, seed, monkeypatch):
     if seed == 2:
-        monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 300)
         monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
     rows = made(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(7)).withColumn("n", F.lit("x"))

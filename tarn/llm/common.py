@@ -10,8 +10,10 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -28,6 +30,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a Parquet table in the shared folder, for as long as the block lasts.
+
+    For large intermediate rows: columns compress, which checkpoints do not.
+    What the block returns must not depend on the table any more.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder by Spark's own file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Bytes of an Arrow batch between the JVM and a worker.
 BATCH_BYTES = 4 << 20
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, lean, map_texts, slices, small_batches
+from tarn.llm.common import cut, lean, map_texts, slices, small_batches, written
 from tarn.llm.components import components
 
 SHINGLE = 5
@@ -221,9 +221,11 @@ def _count_bucket(table: pa.Table) -> pa.Table:
 
 
 def shared_tokens(texts: DataFrame, buckets: int) -> DataFrame:
-    """(node, token, df) of the tokens that two nodes or more hold; tokens are cut to 48 bits.
+    """(node, token, df) of the tokens that two nodes or more hold, with the rows of hot tokens still apart.
 
-    The df of a hot token counts a node once per slice, which is as good an order.
+    Tokens are cut to 48 bits.  A hot token has rows (null, token, part of df)
+    and rows (node, token, null).  Its df counts a node once per slice, which
+    is as good an order.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +239,11 @@ def shared_tokens(texts: DataFrame, buckets: int) -> DataFrame:
 
     small_batches(texts.sparkSession)
     packed = texts.select("text").mapInArrow(lean(pack), "bucket long, tokens binary, owners binary, names binary, hots binary, times binary")
-    shared = cut(packed.groupBy("bucket").applyInArrow(_count_bucket, "node long, token long, df long"))
+    return packed.groupBy("bucket").applyInArrow(_count_bucket, "node long, token long, df long")
+
+
+def _with_df(shared: DataFrame) -> DataFrame:
+    """(node, token, df) with the sums of hot tokens joined to their nodes."""
     sums = shared.where("node is null").select("token", "df")
     return shared.where("node is not null and df is not null").union(shared.where("df is null").select("node", "token").join(sums, "token").select("node", "token", "df"))
 
@@ -263,6 +269,28 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", na.alias("na"), nb.alias("nb"), both.alias("i")).where(f"100 * i >= {PERCENT} * (na + nb - i)").select("a", "b")
 
 
+def _prefixes(shared: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, doc, n, skip, first, second): prefixes under two orders of the nodes that can have a link.
+
+    Tokens of one node fill the front of both prefixes: ``skip`` of them.
+    """
+    listed = shared.groupBy("node").agg(F.collect_set(F.struct("df", "token")).alias("list"))
+    return (
+        listed.join(sizes, "node")
+        .withColumn("skip", F.expr("cast(n - size(list) as int)"))
+        .withColumn("room", F.expr(f"cast({_need('n')} - skip as int)"))
+        .where("room > 0")
+        .select(
+            "node",
+            "doc",
+            F.col("n").cast("int").alias("n"),
+            "skip",
+            F.expr("transform(slice(array_sort(list), 1, room), x -> x.token)").alias("first"),
+            F.expr("transform(slice(array_sort(transform(list, x -> struct(x.df, xxhash64(x.token) as h, x.token as token))), 1, room), x -> x.token)").alias("second"),
+        )
+    )
+
+
 def _near_labels(found: DataFrame) -> DataFrame:
     """(node, label) for linked nodes: the least neighbour's least neighbour.
 
@@ -287,25 +315,9 @@ def links(texts: DataFrame, named: DataFrame, total_tokens: int) -> DataFrame |
     ``texts`` has doc and text, ``named`` has doc, n and node of each row.
     """
     buckets = max(8, -(-total_tokens // BUCKET_TOKENS))
-    shared = shared_tokens(texts, buckets)
     sizes = named.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("doc").alias("doc"))
-    listed = shared.groupBy("node").agg(F.collect_set(F.struct("df", "token")).alias("list"))
-    # tokens of one node fill the front of the prefix
-    chosen = (
-        listed.join(sizes, "node")
-        .withColumn("skip", F.expr("cast(n - size(list) as int)"))
-        .withColumn("room", F.expr(f"cast({_need('n')} - skip as int)"))
-        .where("room > 0")
-        .select(
-            "node",
-            "doc",
-            F.col("n").cast("int").alias("n"),
-            "skip",
-            F.expr("transform(slice(array_sort(list), 1, room), x -> x.token)").alias("first"),
-            F.expr("transform(slice(array_sort(transform(list, x -> struct(x.df, xxhash64(x.token) as h, x.token as token))), 1, room), x -> x.token)").alias("second"),
-        )
-    )
-    chosen = cut(chosen)
+    with written(shared_tokens(texts, buckets)) as shared:
+        chosen = cut(_prefixes(_with_df(shared), sizes))
     many = chosen.count()
     if many < 2:
         return None

@@ -5,7 +5,9 @@ span: the shortest run of at least ``LEAST_SENTENCES`` sentences with at least
 ``LEAST_WORDS`` words (a single sentence of ``LONE_WORDS`` words is a span of
 its own).  Every span is hashed and all spans of all texts meet by hash; the
 first occurrence, by key and position, stays, and every sentence that a later
-occurrence covers is removed.  That is the same as hashing every run of that
+occurrence covers is removed.  A row is known by its key and a hash of its
+text, so rows of equal key and different texts are documents of their own.
+That is the same as hashing every run of that
 least size: each sentence of such a run lies in the span that starts with the
 run or in the span that ends at the sentence, and both lie inside the run.
 """
@@ -22,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tarn.llm.common import cut, lean, slices
+from tarn.llm.common import cut, lean, slices, small_batches, written
 
 LEAST_SENTENCES = 2
 LEAST_WORDS = 12
 LONE_WORDS = 30
 
-_END = re.compile(r"[.!?]+[\"'»”)\]]*\s+|\s*\n\s*")
+_END = re.compile(r"[.!?]+[\"'»”)\]]*\s+|[。！？]+[」』”）]*\s*|\s*\n\s*")
+_UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
 
 
 def sentences(text: str) -> tuple[list[int], list[str]]:
@@ -56,10 +59,16 @@ def sentences(text: str) -> tuple[list[int], list[str]]:
     return [*starts, len(text)], forms
 
 
+def words_in(form: str) -> int:
+    """Words of a normal form; of scripts without spaces every character is one."""
+    blanks = form.count(" ") + 1
+    return blanks if form.isascii() else blanks + len(_UNSPACED.findall(form))
+
+
 def spans(forms: list[str]) -> list[tuple[int, int, int]]:
     """(hash, first sentence, end) of every lone sentence and of the span that starts at each sentence."""
     out = []
-    counts = [f.count(" ") + 1 for f in forms]
+    counts = list(map(words_in, forms))
     end, words, n = 0, 0, len(forms)
     for i in range(n):
         if end < i:
@@ -78,7 +87,7 @@ def spans(forms: list[str]) -> list[tuple[int, int, int]]:
 def closing_spans(forms: list[str]) -> list[tuple[int, int, int]]:
     """(hash, first sentence, end) of the span that ends at each sentence, where none of ``spans`` is the same run."""
     out = []
-    counts = [f.count(" ") + 1 for f in forms]
+    counts = list(map(words_in, forms))
     start, words = 0, 0
     for end in range(1, len(forms) + 1):
         last = counts[end - 1]
@@ -92,14 +101,16 @@ def closing_spans(forms: list[str]) -> list[tuple[int, int, int]]:
     return out
 
 
-def span_table(df: DataFrame, key: str, text: str, closing: bool = False) -> DataFrame:
-    """(doc, hash, start, stop): one row per span, with those of ``closing_spans`` if asked; positions are sentence numbers."""
+def span_table(df: DataFrame, closing: bool = True) -> DataFrame:
+    """(doc, mark, hash, start, stop) of (doc, mark, text): one row per span, with those of ``closing_spans`` if asked.
+
+    Positions are sentence numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
-                docs = part.column("doc").to_numpy(zero_copy_only=False)
-                found, per = [], np.zeros(len(docs), dtype=np.int64)
+            for part in slices(batch, "text"):
+                found, per = [], np.zeros(len(part), dtype=np.int64)
                 for d, t in enumerate(part.column("text").to_pylist()):
                     forms = sentences(t)[1]
                     mine = spans(forms) + closing_spans(forms) if closing else spans(forms)
@@ -107,35 +118,35 @@ def span_table(df: DataFrame, key: str, text: str, closing: bool = False) -> Dat
                     found += mine
                 if found:
                     hashes, starts, stops = zip(*found, strict=True)
+                    own = pa.array(np.repeat(np.arange(len(part)), per))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.repeat(docs, per), pa.int64()),
+                            part.column("doc").take(own),
+                            part.column("mark").take(own),
                             pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)),
                             pa.array(starts, pa.int32()),
                             pa.array(stops, pa.int32()),
                         ],
-                        names=["doc", "hash", "start", "stop"],
+                        names=["doc", "mark", "hash", "start", "stop"],
                     )
 
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null and doc is not null")
-    return rows.mapInArrow(lean(run), "doc long, hash long, start int, stop int")
+    small_batches(df.sparkSession)
+    schema = StructType([df.schema["doc"], *StructType.fromDDL("mark long, hash long, start int, stop int").fields])
+    return df.select("doc", "mark", "text").where("text is not null").mapInArrow(lean(run), schema)
 
 
-def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", closing: bool = False) -> DataFrame:
-    """(doc, spans): for each text the sentence ranges of its non-first repeated spans.
+def repeated(table: DataFrame) -> DataFrame:
+    """(doc, mark, spans): for each text the sentence ranges of its non-first repeated spans in a span table.
 
     First occurrences are found map-side first, so a very frequent span meets
-    as one row per task.
+    as one row per task; they are written before spans are joined to them, so
+    that both sides of the join are plain exchanges and a frequent hash can be
+    split over tasks.
     """
-    table = span_table(df, key, text, closing)
-    firsts = (
-        table.groupBy("hash")
-        .agg(F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last"))
-        .where("first <> last")
-        .select(F.col("hash"), "first")
-    )
-    later = table.join(firsts, "hash").where("struct(doc, start) <> first")
-    return later.groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    place = F.struct("doc", "mark", "start")
+    firsts = table.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
+    later = table.join(cut(firsts), "hash").where(place != F.col("first"))
+    return later.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def without(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -150,20 +161,24 @@ def without(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int, int]:
     return kept.strip() if gone[-1] or gone[0] else kept, len(forms), int(gone.sum())
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", closing: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", closing: bool = True) -> DataFrame:
     """(key, text, n_sentences, n_removed) per row of ``df``.
 
     ``closing`` takes the whole rule; without it only the spans that start at
     each sentence count, and the end of a repeated passage may stay.
 
     The text is unchanged where nothing is removed; a text that repeats others
-    wholly becomes empty.  Null stays null with 0 sentences.  Rows with equal
-    keys count as one document for what came first; keys are integers, and a
-    row with a null key is left as it is.
+    wholly becomes empty.  Null stays null with 0 sentences.  Keys may be of
+    any type that has an order; a null key is a key like others, before all.
+    Rows of equal key and text are one document, so they do not remove each
+    other; rows of equal key and different texts are different documents, in
+    the order of their texts' hashes.
     """
-    found = cut(repeated(df, key, text, closing))
-    rows = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("__t")).join(found.withColumnRenamed("doc", "__doc"), F.col(f"`{key}`") == F.col("__doc"), "left")
-    packed = rows.select(F.col(f"`{key}`"), "__t", "spans")
+    rows = df.select(F.col(f"`{key}`").alias("doc"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
+    with written(span_table(rows, closing)) as table:
+        found = cut(repeated(table))
+    found = found.select(F.col("doc").alias("of"), F.col("mark").alias("marked"), "spans")
+    packed = rows.join(found, F.col("doc").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked")), "left").select(F.col("doc").alias(key), F.col("text").alias("__t"), "spans")
     schema = StructType([*df.select(F.col(f"`{key}`")).schema.fields, *StructType.fromDDL("text string, n_sentences long, n_removed long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +188,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", closi
                 for t, ranges in zip(part.column("__t").to_pylist(), part.column("spans").to_pylist(), strict=True):
                     made.append((None, 0, 0) if t is None else without(t, [(r["start"], r["stop"]) for r in ranges or ()]))
                 texts, n, gone = zip(*made, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
 
     return packed.mapInArrow(lean(run), schema)
 

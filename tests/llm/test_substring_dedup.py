@@ -51,7 +51,7 @@ def test_spans_match_plain():
 def test_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in df.collect()])
-    got = remove_repeats(df.withColumn("spans", F.lit(1)).withColumn("n_removed", F.lit("x"))).collect()
+    got = remove_repeats(df.withColumn("spans", F.lit(1)).withColumn("n_removed", F.lit("x")), closing=False).collect()
     assert {r.doc_id: (r.n_sentences, r.n_removed) for r in got} == want
     texts = {r.doc_id: r.text for r in df.collect()}
     for r in got:
@@ -65,7 +65,7 @@ def test_passage_stays_once(spark):
     passage = "".join(sent() for _ in range(9))
     rows = [(i, "".join(sent() for _ in range(4)) + (passage if i % 3 == 0 else "") + "".join(sent() for _ in range(4))) for i in range(40)]
     rows += [(100, None), (101, ""), (102, rows[1][1]), (103, "Hi. Hi. Hi."), (104, passage * 2)]
-    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), closing=False).collect()}
     assert sum(passage.strip() in (r.text or "") for r in got.values()) == 1 and passage in got[0].text
     assert got[1].text == rows[1][1] and got[102].text == "" and got[100].text is None and got[101].text == ""
     assert got[103].n_removed == 0 and got[104].text == "" and got[3].n_removed == 9
@@ -109,3 +109,21 @@ def test_query_covers_all_runs(spark, tmp_path):
         starts, _ = sentences(texts[k])
         kept = "".join(texts[k][starts[i] : starts[i + 1]] for i in range(n) if i not in gone)
         assert (got[k].n_sentences, got[k].n_removed, got[k].text.strip()) == (n, len(gone), kept.strip())
+
+
+def test_repeated_null_and_string_keys(spark):
+    a = "Alpha beta gamma delta epsilon zeta eta theta. Iota kappa lambda mu nu xi omicron pi. "
+    own = "Some words that no other text has at all here. More of those words, quite alone in this text. And a third."
+    rows = [("1", a + "Tail."), ("1", own), ("1", own), (None, a + "Other end."), (None, None), ("2", a + "End."), ("0x", "")]
+    got = sorted((r.k or "", r.t_in or "", r.text, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, "k string, t string"), "k", "t").withColumn("t_in", F.col("text")).collect())
+    # the row without a key comes first and stays; texts that share a key do not lose each other's sentences
+    assert got == sorted((k, t or "", t, n) for k, t, n in [("", a + "Other end.", 0), ("", None, 0), ("0x", "", 0), ("1", own, 0), ("1", own, 0), ("1", "Tail.", 2), ("2", "End.", 2)])
+
+
+def test_long_text_and_unspaced_script(spark):
+    long = "".join(f"Sentence {i} of a very long text with words w{i} v{i}. " for i in range(20_000))
+    han = "今日はとても良い天気ですね。明日もきっと晴れるでしょう。"
+    rows = [(1, long), (2, "Begin. " + long), (3, "".join("w " * 200_000)), (4, "前文です。" + han), (5, han + "後文です。")]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == long and got[2].text == "Begin." and got[2].n_removed == 20_000
+    assert got[3].n_removed == 0 and got[4].n_removed == 0 and got[5].text == "後文です。"

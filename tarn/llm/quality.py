@@ -21,9 +21,10 @@ from tarn.llm.common import SPACES, map_rows, map_texts
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-#: Verdict of the method beyond the base rules.
-MAX_COVERED_CHARS = 0.30
-MAX_LONGEST_WORDS = 400
+#: Verdict of the method beyond the base rules: most of a text's code points in words that repeats may cover
+#: (the usual limit for repeated five-word runs), and the most words of one repeat.
+MAX_COVERED_CHARS = 0.15
+MAX_LONGEST_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 
 SCHEMA = (
@@ -119,7 +120,9 @@ def measure(texts: list[str | None]) -> dict:
         if words:
             n = words_of[d] = len(words)
             ids_parts.append(np.fromiter(map({}.setdefault, words, count(base)), dtype=np.int64, count=n))
-            length_parts.append(np.fromiter(map(len, words), dtype=np.int64, count=n))
+            sizes = np.fromiter(map(len, words), dtype=np.int64, count=n)
+            leads = np.frombuffer(b"".join(words), dtype=np.uint8) & 0xC0 != 0x80
+            length_parts.append(np.add.reduceat(leads, np.cumsum(sizes) - sizes, dtype=np.int64))
             base += n
     ids = np.concatenate(ids_parts) if ids_parts else np.zeros(0, dtype=np.int64)
     lengths = np.concatenate(length_parts) if length_parts else np.zeros(0, dtype=np.int64)
@@ -132,9 +135,9 @@ def measure(texts: list[str | None]) -> dict:
     np.add.at(edge, spans + longest[spans], -1)
     covered = np.cumsum(edge[:-1]) > 0
     repeat_words = np.bincount(doc[covered], minlength=n_docs)
-    covered_bytes = np.bincount(doc[covered], weights=lengths[covered], minlength=n_docs)
-    all_bytes = np.bincount(doc, weights=lengths, minlength=n_docs)
-    share = covered_bytes / np.maximum(all_bytes, 1)
+    covered_points = np.bincount(doc[covered], weights=lengths[covered], minlength=n_docs)
+    all_points = np.bincount(doc, weights=lengths, minlength=n_docs)
+    share = covered_points / np.maximum(all_points, 1)
     most = np.zeros(n_docs, dtype=np.int64)
     np.maximum.at(most, doc[spans], longest[spans])
     failed = (words_of < MIN_WORDS) | (100 * repeat_words > MAX_REPEAT_PERCENT * words_of)
@@ -159,6 +162,11 @@ def quality(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     Words are maximal runs without ASCII white space.  A null or empty text has
     no words and fails the base rule on length.  Repeated rows, ties and texts
     of any length need nothing special: a text is only compared with itself.
+
+    Beyond the base rules the verdict is the suffix array's: a text goes if its
+    repeats of ``WINDOW`` words or more cover over ``MAX_COVERED_CHARS`` of the
+    code points in its words, or if one repeat is longer than
+    ``MAX_LONGEST_WORDS`` words.
     """
     return map_texts(df, [key], text, SCHEMA, measure)
 

@@ -11,17 +11,11 @@ from tarn.llm.pii import redacted
 from .test_bpe import LIBRARY
 from .test_ngram_join import brute as near
 from .test_pii import plain as personal
+from .test_quality import verdict
 
 SF = "/root/testdata/sf0.001"
 
 
-def rejects(text):
-    words = (text or "").encode().split()
-    seen = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
-    covered = {i + k for i in range(len(words) - 4) if seen[tuple(words[i : i + 5])] > 1 for k in range(5)}
-    return len(words) < 10 or 100 * len(covered) > 20 * len(words)
-
-
 def test_stages_one_by_one(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -32,7 +26,7 @@ def test_stages_one_by_one(spark, tmp_path):
         out = spark.read.parquet(str(tmp_path / str(k)))
         after = out.collect()
         if k == 0:
-            assert sorted(after) == sorted(r for r in before if not rejects(r.text))
+            assert sorted(after) == sorted(r for r in before if verdict(r.text))
         elif k == 1:
             keep = {d for d, _, c in near([(r.doc_id, r.text) for r in before]) if d == c}
             assert sorted(after) == sorted(r for r in before if r.doc_id in keep)

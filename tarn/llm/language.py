@@ -2,9 +2,13 @@
 
 Each language has a distribution over hashed letter trigrams, counted over all
 labelled rows given for training.  For a text, expectation maximisation finds
-the language proportions that best explain its trigram counts; the set of
-languages is the one of highest likelihood less a penalty per language
-(half the logarithm of the text's trigrams, as in the Bayesian criterion).
+the language proportions that best explain its trigram counts.  The language
+set is chosen by penalised likelihood: from the mixture of all languages the
+one of least share goes, the rest is fitted again, and so on down to a single
+language; of all sets on the way the one of highest likelihood less a penalty
+per language (half the logarithm of the text's trigrams for each free share
+and each language, as in the Bayesian criterion) is taken.  A text may have
+any number of languages.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ from tarn.llm.common import lean, map_texts, slices
 CELLS = 1 << 12
 SMOOTHING = 0.5
 FULL_ROUNDS = 12
-PAIR_ROUNDS = 8
-MOST_LANGUAGES = 3
+REFIT_ROUNDS = 8
+#: A share below this counts as none.
+LEAST_SHARE = 1e-6
 #: Rows worked on together; bounds memory when texts are tiny.
 ROWS_AT_ONCE = 2000
 UNKNOWN = "und"
@@ -117,7 +122,12 @@ def _climb(shares, p, counts, doc, starts, rounds):
 
 
 def mixtures(texts: list[str | None], names: list[str], table: np.ndarray) -> dict:
-    """Predicted language, its share, and the chosen set with shares, for each text."""
+    """Predicted language, its share, and the chosen set with shares, for each text.
+
+    The prediction has the largest share in the chosen set (of equal ones the
+    first by name); the score is its share in the mixture of all languages,
+    which falls below 1 where others explain the text nearly as well.
+    """
     pred = [UNKNOWN] * len(texts)
     score = np.zeros(len(texts))
     sets = [""] * len(texts)
@@ -130,22 +140,27 @@ def mixtures(texts: list[str | None], names: list[str], table: np.ndarray) -> di
     counts = n.astype(np.float64)
     p = table.T[cell]
     every, k = len(which), len(names)
-    full, _ = _climb(np.full((every, k), 1 / k), p, counts, number, starts, FULL_ROUNDS)
-    order = np.argsort(-full, axis=1, kind="stable")
+    full, likely = _climb(np.full((every, k), 1 / k), p, counts, number, starts, FULL_ROUNDS)
     size = np.add.reduceat(counts, starts)
     best = np.full(every, -np.inf)
     chosen = np.zeros((every, k))
-    for m in range(1, min(k, MOST_LANGUAGES) + 1):
-        top = order[:, :m]
-        mine = np.take_along_axis(p, top[number], axis=1)
-        begin = np.take_along_axis(full, top, axis=1) + 1e-9
-        shares, likely = _climb(begin / begin.sum(axis=1, keepdims=True), mine, counts, number, starts, PAIR_ROUNDS if m > 1 else 0)
+    shares = full
+    while True:
+        m = (shares > LEAST_SHARE).sum(axis=1)
         value = likely - 0.5 * (2 * m - 1) * np.log(np.maximum(size, 2))
         better = value > best
         best[better] = value[better]
-        row = np.zeros((every, k))
-        np.put_along_axis(row, top, shares, axis=1)
-        chosen[better] = row[better]
+        chosen[better] = np.where(shares[better] > LEAST_SHARE, shares[better], 0)
+        if m.max() == 1:
+            break
+        # the least of the shares that are left goes, if it is not the last one; of equal shares the later language
+        weight = np.where(shares > LEAST_SHARE, shares, np.inf)[:, ::-1]
+        last = k - 1 - np.argmin(weight, axis=1)
+        shares = np.where(shares > LEAST_SHARE, shares, 0)
+        several = np.flatnonzero(m > 1)
+        shares[several, last[several]] = 0
+        shares, likely = _climb(shares / shares.sum(axis=1, keepdims=True), p, counts, number, starts, REFIT_ROUNDS if m.max() > 2 else 0)
+    order = np.argsort(-chosen, axis=1, kind="stable")
     first = np.argmax(chosen, axis=1)
     for i, d in enumerate(which):
         pred[d] = names[first[i]]
@@ -171,7 +186,14 @@ def held_out(key: Column) -> Column:
 
 
 def language_id(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, held_out, lang_pred, score, languages); learned from the rows that are not held out."""
+    """(key, held_out, lang_pred, score, languages) per row; learned from the rows that are not held out.
+
+    A null key is not held out.  Rows with a null text or a null language teach
+    nothing; with nothing learned every text is ``und``.  Repeated rows count
+    as often as they come and are all answered; equal likelihoods go to the
+    first language by name.  Texts are taken whole, whatever their length.
+    Training brings one count per language and trigram cell to the driver.
+    """
     rows = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__t"), F.col(f"`{lang}`").alias("__l"))
     model = train(rows.where(~F.coalesce(held_out(F.col(f"`{key}`")), F.lit(False))), "__t", "__l")
     marked = rows.withColumn("held_out", F.coalesce(held_out(F.col(f"`{key}`")), F.lit(False)))

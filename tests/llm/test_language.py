@@ -38,3 +38,37 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "a b", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in language_id(df).collect()} == {"und"}
     assert language_id(df.limit(0)).count() == 0
+
+
+def invented(n):
+    """Languages over alphabets of their own, so that every share can be told."""
+    return {f"l{i}": "".join(chr(0x3B1 + 6 * i + j) for j in range(6)) for i in range(n)}
+
+
+def speech(letters, seed, words=400):
+    r = np.random.default_rng(seed)
+    return " ".join("".join(r.choice(list(letters), size=5)) for _ in range(words))
+
+
+def test_any_number_of_languages(spark):
+    own = invented(6)
+    rows = [(i, speech(a, i, 2000), name) for i, (name, a) in enumerate(own.items())]
+    names, table = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    mixed = [" ".join(speech(own[f"l{i}"], 90 + i) for i in range(k)) for k in range(1, 7)]
+    got = mixtures(mixed, names, table)["languages"]
+    assert [s.count(":") for s in got] == [1, 2, 3, 4, 5, 6]
+    shares = dict(x.split(":") for x in got[4].split(","))
+    assert set(shares) == {f"l{i}" for i in range(5)} and all(abs(float(v) - 0.2) < 0.05 for v in shares.values())
+
+
+def test_ties_repeats_and_long_texts(spark):
+    own = invented(2)
+    rows = [(i, speech(a, i, 2000), name) for i, (name, a) in enumerate(own.items())]
+    # two names for the same texts: equal likelihoods
+    rows.append((9, rows[0][1], "a0"))
+    names, table = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert mixtures([speech(own["l0"], 7)], names, table)["lang_pred"] == ["a0"]
+    df = spark.createDataFrame([*rows, *rows, (None, rows[1][1] * 50, None), (4, None, None)], "doc_id long, text string, lang string")
+    got = [(r.doc_id, r.lang_pred, r.held_out) for r in language_id(df).collect()]
+    assert len(got) == 8 and got.count((1, "l1", zlib.crc32(b"1") % 5 == 0)) == 2
+    assert (None, "l1", False) in got and (4, "und", zlib.crc32(b"4") % 5 == 0) in got

@@ -1,12 +1,17 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 The words of each source form one stream, cut into blocks of ``BLOCK`` words.
-A source's target fixes how many block slots the mix gives it; every slot
-falls to an output shard by a hash, so the shards' source counts are
-multinomial given the sources' totals.  Slot g of a source takes block
-perm(g mod blocks) of pass g div blocks, where perm is a keyed "swap or not"
-permutation of exactly that many indices; blocks are then joined by index.
-A source never gets more than two passes, so no text is used more than twice.
+The mix is a row of output shards of ``SHARD_SLOTS`` block slots each, common
+to all sources.  Every slot of a shard draws its source with the targets as
+probabilities, so a shard's source counts are multinomial.  The draws of all
+shards together miss a source's target by chance; the running count of the
+source over the shards is therefore scaled to end exactly at its target's
+number of slots (a monotone rounding that moves each shard's count by its share
+of the miss).  The slots a shard then gives a source are consecutive numbers g
+of that source; slot g takes block perm(g mod blocks) of pass g div blocks,
+where perm is a keyed "swap or not" permutation of exactly that many indices,
+and blocks are joined by index.  A source never gets more than two passes, so
+no text is used more than twice.
 """
 
 from __future__ import annotations
@@ -21,9 +26,11 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 ROUNDS = 20
-SHARD_SLOTS = 1 << 16
-CHUNK = 1 << 12
-TASK_SLOTS = 1 << 20
+#: Block slots of an output shard, and how many slots one task deals with.
+SHARD_SLOTS = 1 << 12
+TASK_SLOTS = 1 << 18
+#: Shards that are counted up together before the groups are.
+SHARD_GROUP = 1 << 12
 ROWS_A_BUCKET = 20_000
 SEED = 1729
 
@@ -65,13 +72,77 @@ def targets(sizes: DataFrame) -> DataFrame:
     return filled.select("source", "s", "source_size", F.when(F.col("capped"), F.col("limit")).otherwise(F.col("final") * F.col("w")).alias("target"))
 
 
+def slots_of(goals: DataFrame) -> DataFrame:
+    """(s, blocks, slots) of every source that the mix takes words of."""
+    blocks = F.expr(f"(source_size + {BLOCK - 1}) div {BLOCK}")
+    slots = F.least(F.round(F.col("target") * blocks / F.col("source_size")).cast("long"), blocks * MOST)
+    return goals.where("source_size > 0").select("s", blocks.alias("blocks"), slots.alias("slots")).where("slots > 0")
+
+
+def draws(many: DataFrame, tasks: int = 8) -> DataFrame:
+    """(shard, s, drawn): the multinomial source counts of the output shards, without zeros.
+
+    Slot j of a shard draws the source in whose part of the cumulated slots a
+    keyed hash of (shard, j) falls.  The sources' running sums are one array,
+    searched by halving.
+    """
+    one = many.agg(F.array_sort(F.collect_list(F.struct("s", "slots"))).alias("by"), F.sum("slots").alias("all"))
+    one = one.where("all > 0").select(
+        F.expr("transform(by, x -> x.s)").alias("names"),
+        F.expr("slice(aggregate(by, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x.slots))), 1, size(by))").alias("from"),
+        "all",
+        F.expr(f"explode(sequence(0L, (all - 1) div {SHARD_SLOTS}))").alias("shard"),
+    )
+
+    def source(j: Column) -> Column:
+        point = F.pmod(F.xxhash64(F.lit(SEED), F.lit("draw"), F.col("shard"), j), F.col("all"))
+        # the last of the ascending starts that is not above the point
+        halves = F.sequence(F.ceil(F.log2(F.size("from").cast("double"))).cast("int"), F.lit(0))
+
+        def step(at: Column, r: Column) -> Column:
+            further = at + F.pow(F.lit(2), r).cast("int")
+            return F.when((further <= F.size("from")) & (F.get("from", further - 1) <= point), further).otherwise(at)
+
+        return F.element_at("names", F.aggregate(halves, F.lit(0), step))
+
+    size = F.least(F.lit(SHARD_SLOTS).cast("long"), F.col("all") - F.col("shard") * SHARD_SLOTS)
+    # a fixed number of tasks, since the few bytes of the shards' rows would be gathered into one
+    parts = one.repartition(tasks, "shard")
+    return parts.select("shard", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), size), source)).alias("s")).groupBy("shard", "s").agg(F.count(F.lit(1)).alias("drawn"))
+
+
+def deal(many: DataFrame, tasks: int = 8) -> DataFrame:
+    """(s, blocks, shard, begin, upto): the slots of each source that each output shard gets, numbers begin to upto - 1.
+
+    The source's running draws are scaled to its slots.  A source that no shard
+    has drawn, since it is so small, goes to a shard by a hash.
+    """
+    counts = cut(draws(many, tasks).withColumn("part", F.expr(f"shard div {SHARD_GROUP}")))
+    groups = counts.groupBy("s", "part").agg(F.sum("drawn").alias("held"))
+    # as many rows as groups of shards
+    before = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    groups = groups.select("s", "part", (F.sum("held").over(before) - F.col("held")).alias("base"), F.sum("held").over(Window.partitionBy("s")).alias("total"))
+    inside = Window.partitionBy("s", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("run", F.sum("drawn").over(inside)).join(groups, ["s", "part"]).join(F.broadcast(many), "s")
+
+    def scaled(n: Column) -> Column:
+        return F.round(n * (F.col("slots") / F.col("total"))).cast("long")
+
+    upto = F.col("base") + F.col("run")
+    drawn = placed.select("s", "blocks", "shard", scaled(upto - F.col("drawn")).alias("begin"), scaled(upto).alias("upto")).where("begin < upto")
+    shards = many.agg(F.sum("slots").alias("all")).select(F.expr(f"(all - 1) div {SHARD_SLOTS} + 1").alias("shards"))
+    never = many.join(counts.select("s").distinct(), "s", "left_anti")
+    never = never.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "s"), F.lit(shards.first()[0] or 1)))
+    return drawn.unionByName(never.select("s", "blocks", "shard", F.lit(0).cast("long").alias("begin"), F.col("slots").alias("upto")))
+
+
 def plan(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", mark: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix of ``df``: (rows, pieces, picks).
 
     rows: doc, s, size, start (in the source's stream), source_size, target, and
     the column ``mark`` of ``df``, if named, which also orders rows of equal doc and size.
     pieces: s, start, block, at, n - the words of a row that lie in a block.
-    picks: s, block, pass, shard - one row per slot of the mix.
+    picks: s, block, pass, shard - one row per slot of the mix, with the output shard that draws it.
     """
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     marks = [mark] if mark else []
@@ -99,36 +170,48 @@ def plan(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
             (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest("start", F.col("block") * BLOCK)).alias("n"),
         )
     )
-    blocks = F.expr(f"(source_size + {BLOCK - 1}) div {BLOCK}")
-    slots = F.least(F.round(F.col("target") * blocks / F.col("source_size")).cast("long"), blocks * MOST)
-    many = goals.where("source_size > 0").select("s", blocks.alias("blocks"), slots.alias("slots")).where("slots > 0")
-    chunks = many.select("s", "blocks", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("chunk"))
-    # a fixed number, since the few bytes of the chunks would be gathered into one task
+    many = slots_of(goals)
     slots_in_all = many.agg(F.sum("slots")).first()[0] or 0
-    parts = chunks.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-slots_in_all // TASK_SLOTS)), "s", "chunk")
-    each = parts.select("s", "blocks", "slots", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(slots, (chunk + 1) * {CHUNK}) - 1)")).alias("g"))
-    shards = F.greatest(F.lit(1), F.expr(f"(slots + {SHARD_SLOTS - 1}) div {SHARD_SLOTS}"))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-slots_in_all // TASK_SLOTS))
+    each = deal(many, tasks).repartition(tasks, "s", "shard").select("s", "blocks", "shard", F.explode(F.expr("sequence(begin, upto - 1)")).alias("g"))
     pass_ = F.expr("g div blocks")
-    picks = each.select(
-        "s",
-        permuted(F.expr("g % blocks"), F.col("blocks"), F.lit(SEED), F.col("s"), pass_).alias("block"),
-        (pass_ + 1).alias("pass"),
-        F.pmod(F.xxhash64(F.lit(SEED), "s", "g"), shards).alias("shard"),
-    )
+    picks = each.select("s", permuted(F.expr("g % blocks"), F.col("blocks"), F.lit(SEED), F.col("s"), pass_).alias("block"), (pass_ + 1).alias("pass"), "shard")
     return rows, pieces, picks
 
 
 def mix_sizes(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, size, source_size, target, taken) per row of ``df``.
+    """(key, size, source_size, target, taken, first_shard) per row of ``df``.
 
-    A null text has size 0 and takes nothing; a null source is a source of its
-    own, last in order.  Rows with equal keys are separate rows.
+    ``first_shard`` is the first output shard that takes words of the row, null
+    where none does.  A null text has size 0 and takes nothing; a null source
+    is a source of its own, last in order.  Rows with equal keys are separate
+    rows; of rows equal in key and size it is not told which takes which words.
+    A text of any length is as many blocks as it needs.
     """
     rows, pieces, picks = plan(df, key, text, source)
-    times = picks.groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = pieces.join(times, ["s", "block"]).groupBy("s", "start").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
-    full = rows.where("size > 0").join(taken, ["s", "start"], "left").unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return full.select(F.col("doc").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    times = picks.groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("shard"))
+    taken = pieces.join(times.hint("merge"), ["s", "block"]).groupBy("s", "start").agg(F.sum(F.col("n") * F.col("times")).alias("taken"), F.min("shard").alias("first_shard"))
+    none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("first_shard", F.lit(None).cast("long"))
+    full = rows.where("size > 0").join(taken.hint("merge"), ["s", "start"], "left").unionByName(none)
+    return full.select(F.col("doc").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
+
+
+def mixed_blocks(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(shard, source, block, pass, words): the packed blocks of the mix, one row per slot, for writing by shard.
+
+    Words of a block are those of one or several texts of its source, in the
+    stream's order; only a source's last block is shorter than ``BLOCK``.
+    """
+    counted = df.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{source}`").cast("string").alias("source"))
+    counted = counted.withColumn("mark", F.xxhash64("text"))
+    rows, pieces, picks = plan(counted, "doc", "text", "source", "mark")
+    # rows of equal key and text are alike, so one of them gives the words of all
+    texts = counted.dropDuplicates(["doc", "mark", "source"])
+    placed = rows.where("size > 0").join(texts.hint("merge"), rows["doc"].eqNullSafe(texts["doc"]) & (rows["mark"] == texts["mark"]))
+    words = placed.select(rows["s"], rows["start"], "source", F.regexp_extract_all("text", F.lit(f"({WORD})")).alias("words"))
+    parts = pieces.join(words.hint("merge"), ["s", "start"]).select("s", "source", "block", "start", F.slice("words", (F.col("at") + 1).cast("int"), F.col("n").cast("int")).alias("words"))
+    blocks = parts.groupBy("s", "source", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "words"))), lambda x: x["words"])).alias("words"))
+    return picks.join(blocks.hint("merge"), ["s", "block"]).select("shard", "source", "block", "pass", "words")
 
 
 def row_mark(df: DataFrame, *needed: str) -> Column:
@@ -157,10 +240,10 @@ def mix_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source
     else:
         rows, full = rows.withColumn("__copy", F.lit(1)), full.withColumn("__copy", F.lit(1))
     chosen = (
-        pieces.join(picks, ["s", "block"])
+        pieces.join(picks.hint("merge"), ["s", "block"])
         .groupBy("s", "start", "pass")
         .agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("__runs"), F.sum("n").alias("__taken"))
-        .join(rows.select("s", "start", "__mark", "__size", "__copy"), ["s", "start"])
+        .join(rows.select("s", "start", "__mark", "__size", "__copy").hint("merge"), ["s", "start"])
         .select("__mark", "__size", "__copy", "__runs", "__taken")
     )
     words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(f"({WORD})"))
@@ -170,7 +253,7 @@ def mix_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source
 
     # the words are bound once by the outer function; inside the inner one they would be cut anew for every run
     kept = F.transform(F.array(words), joined)[0]
-    mixed = full.join(chosen, ["__mark", "__size", "__copy"])
+    mixed = full.join(chosen.hint("merge"), ["__mark", "__size", "__copy"])
     mixed = mixed.withColumn("__new", F.when(F.col("__taken") == F.col("__size"), F.col(f"`{text}`")).otherwise(kept))
     cols = {text: F.col("__new"), size: F.length("__new").cast(df.schema[size].dataType)} if size in df.columns else {text: F.col("__new")}
     out = mixed.select(*[cols.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])

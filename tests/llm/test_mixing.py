@@ -1,8 +1,10 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tarn.llm import mixing
 from tarn.llm.mixing import BLOCK, mix_documents, mix_sizes, permuted, plan
 
 
@@ -111,3 +113,55 @@ def test_null_and_repeated_keys(spark):
     assert sum(not (r.text or "").strip() for r in out) == 2
     again = mix_documents(df.repartition(7)).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, out))
+
+
+def test_multinomial_counts_decide_the_slots(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 40)
+    monkeypatch.setattr(mixing, "SHARD_GROUP", 3)
+    many = spark.createDataFrame([(0, 300, 600), (1, 50, 70), (2, 500, 331), (3, 1, 1)], "s int, blocks long, slots long")
+    drawn = defaultdict(dict)
+    for r in mixing.draws(many).collect():
+        drawn[r.shard][r.s] = r.drawn
+    # every shard is full, and its counts scatter round the targets as a multinomial's do
+    assert sorted(drawn) == list(range(26)) and [sum(c.values()) for _, c in sorted(drawn.items())] == [40] * 25 + [2]
+    for s, p in ((0, 0.5988), (1, 0.0699), (2, 0.3303)):
+        counts = np.array([drawn[k].get(s, 0) for k in range(25)])
+        assert abs(counts.mean() - 40 * p) < 4 * np.sqrt(40 * p * (1 - p) / 25)
+        assert 0.3 < counts.var() / (40 * p * (1 - p)) < 2.5
+    got = defaultdict(dict)
+    for r in mixing.deal(many).collect():
+        got[r.s][r.shard] = (r.begin, r.upto)
+    for s, slots in ((0, 600), (1, 70), (2, 331), (3, 1)):
+        runs = sorted(got[s].values())
+        assert runs[0][0] == 0 and runs[-1][1] == slots and all(a[1] == b[0] for a, b in zip(runs, runs[1:]))
+        total = sum(c.get(s, 0) for c in drawn.values())
+        for k, (a, b) in got[s].items():
+            assert not total or abs((b - a) - drawn[k][s] * slots / total) <= 1
+
+
+def test_blocks_are_the_words_of_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sizes = mix_sizes(df).collect()
+    blocks = mixing.mixed_blocks(df).collect()
+    assert sum(len(b.words) for b in blocks) == sum(r.taken for r in sizes)
+    want, got, left = Counter(), Counter(), Counter()
+    for d in df.collect():
+        want.update((d.source, w) for w in re.findall(r"[^\x20\x09-\x0D]+", d.text or ""))
+    for b in blocks:
+        got.update((b.source, w) for w in b.words)
+    assert all(n <= 2 * want[k] for k, n in got.items())
+    # all but a source's last block are whole
+    for b in blocks:
+        left[b.source] += len(b.words) < BLOCK
+    assert all(n <= 2 for n in left.values())
+    shards = Counter(b.shard for b in blocks)
+    assert len(shards) > 3 and {r.first_shard for r in sizes if r.taken} <= set(shards)
+
+
+def test_long_texts_and_ties(spark):
+    long = "w " * 300_000
+    df = spark.createDataFrame([(1, long, "a"), (1, "x " * 100, "a"), (1, "y " * 100, "a"), (2, None, None)], "doc_id long, text string, source string")
+    rows = mix_sizes(df).collect()
+    assert sorted(r["size"] for r in rows) == [0, 100, 100, 300_000] and all(r.taken <= 2 * r["size"] for r in rows)
+    assert abs(sum(r.taken for r in rows) - 1.5 * 300_200) <= 2 * BLOCK

@@ -2,12 +2,16 @@
 
 A page is cut into blocks at block-level tags.  Elements that are never part
 of an article (scripts, menus, forms, side bars, notices, adverts, comments)
-are set aside by tag, role and class.  The first pass decides the other blocks
-by length, stop-word density and link density; short or unclear blocks stay
-open.  In the second pass an open block takes the label of its nearest decided
-neighbours inside the same container: good if either side says good within an
-article, good outside one only if both do or if it is a heading right before
-good text.
+are set aside by tag, role and class: a container by any part of its class
+name outside an article; a paragraph, and everything inside an article, only
+if the whole name says so (``related-posts``, but not ``related-work`` or
+``notice-board-story``).  The first pass decides the other blocks by length,
+stop-word density and link density; short or unclear blocks stay open, and so
+do short linked ones inside an article, which may well be part of it.  In the
+second pass an open block takes the label of its nearest decided neighbours
+inside the same container.  Inside an article it takes that of both, or if
+they differ of the nearer one (of equally near ones good); outside it is good
+only if both are, or if it is a heading right before good text.
 """
 
 from __future__ import annotations
@@ -53,6 +57,14 @@ DROPPED_NAMES = re.compile(
     r"newsletter|subscribe|subscription|signup|login|widget|pagination|pager|toolbar|skip|copyright|tags?)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Parts that may stand beside a dropped name without changing what it says.
+PLAIN_PARTS = frozenset(
+    """
+    area articles bar block body bottom box button buttons center col column container content copy footer form global group
+    header holder icon icons id inner item items label left line link links list main mobile news outer page pane panel post posts primary right
+    row secondary section site slot small sticky stories text title top unit wrap wrapper zone
+    """.split()
+)
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|head)(?:$|[\s_-])", re.I)
 ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article(?:-?body)?|post-?(?:body|content)|entry-?content|main-?content|story(?:-?body)?)(?:$|[\s_-])", re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
@@ -80,6 +92,21 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
+def _wholly(names: str) -> bool:
+    """Whether one of the class names is made of dropped names and plain parts only."""
+    for one in names.split():
+        said = False
+        for part in re.split(r"[-_]+", one):
+            if DROPPED_NAMES.search(part):
+                said = True
+            elif part and part.lower() not in PLAIN_PARTS and not part.isdigit():
+                break
+        else:
+            if said:
+                return True
+    return False
+
+
 def _drops(name: str, attrs: dict[str, str], in_article: bool) -> bool:
     if name in DROPPED_TAGS or name == "header" and not in_article:
         return True
@@ -93,6 +120,8 @@ def _drops(name: str, attrs: dict[str, str], in_article: bool) -> bool:
     if name in ("html", "body", "article", "main"):
         # of the page's frame and the article itself only an explicit comment class counts
         return name == "article" and re.search(r"comment|repl(?:y|ies)", names, re.I) is not None
+    if in_article or name not in CONTAINERS:
+        return _wholly(names)
     return bool(DROPPED_NAMES.search(names)) or not in_article and bool(HEADER_NAMES.search(names))
 
 
@@ -206,14 +235,15 @@ def first_pass(b: Block) -> int:
     if b.dropped:
         return BAD
     length = len(b.text)
-    if b.links / length > BAD_LINKS:
+    linked = b.links / length > BAD_LINKS
+    if linked and b.zone < 0:
         return BAD
     if length < LEAST_LENGTH or b.heading:
         return OPEN
     words = WORD.findall(b.text.lower())
     if words and sum(w in STOP_WORDS for w in words) / len(words) >= GOOD_DENSITY:
-        return GOOD
-    return OPEN
+        return OPEN if linked else GOOD
+    return BAD if linked else OPEN
 
 
 def extract(page: str | None) -> tuple[str, int, int]:
@@ -225,25 +255,29 @@ def extract(page: str | None) -> tuple[str, int, int]:
     labels = [BAD if inside and b.zone < 0 else first_pass(b) for b in blocks]
     final = list(labels)
     n = len(blocks)
-    before, after = [OPEN] * n, [OPEN] * n
+    # the nearest decided block of the same zone on either side: (label, distance)
+    before, after = [(OPEN, n)] * n, [(OPEN, n)] * n
     for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last: dict[int, int] = {}
+        last: dict[int, tuple[int, int]] = {}
         for i in order:
             b = blocks[i]
-            side[i] = last.get(b.zone, OPEN)
-            if labels[i] != OPEN and not (inside and labels[i] == BAD):
-                last[b.zone] = labels[i]
+            if b.zone in last:
+                label, at = last[b.zone]
+                side[i] = label, abs(i - at)
+            # an element set aside within an article says nothing about its neighbours
+            if labels[i] != OPEN and not (inside and (b.dropped or b.zone < 0)):
+                last[b.zone] = labels[i], i
     if inside:
-        # a set-aside element within the article says nothing about its neighbours
         any_good = {b.zone for b, x in zip(blocks, labels, strict=True) if x == GOOD}
         for i, b in enumerate(blocks):
             if labels[i] == OPEN:
-                final[i] = GOOD if GOOD in (before[i], after[i]) or not any_good else BAD
+                near = min((d, -x) for x, d in (before[i], after[i]))
+                final[i] = BAD if b.zone in any_good and near[1] == -BAD else GOOD
     else:
         for i, b in enumerate(blocks):
             if labels[i] == OPEN:
-                sides = {before[i], after[i]} - {OPEN}
-                final[i] = GOOD if sides == {GOOD} or b.heading and after[i] == GOOD else BAD
+                sides = {before[i][0], after[i][0]} - {OPEN}
+                final[i] = GOOD if sides == {GOOD} or b.heading and after[i][0] == GOOD else BAD
         if GOOD not in final:
             # nothing was decided: a page of short text only
             final = [GOOD if x == OPEN else BAD for x in labels]
@@ -256,7 +290,8 @@ def html_text(df: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), page: s
 
     A null, empty or textless page gives the empty text.  Broken markup (open
     tags, stray brackets, unclosed comments) never fails; the rest of an
-    unclosed script, style or comment is left out, as browsers do.
+    unclosed script, style or comment is left out, as browsers do.  Pages are
+    taken whole, each by itself: repeated rows give repeated rows.
     """
 
     def work(pages: list[str | None]) -> dict:

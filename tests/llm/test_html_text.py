@@ -26,6 +26,42 @@ def test_without_article_tag():
     assert text(page).startswith(f"Title\n{LONG}\nShort.\n{LONG}")
 
 
+def test_names_inside_an_article():
+    page = f"""<body><article><p>{LONG}</p><p class="notice-board-story">A notice on the board.</p><div class="related-work"><p>Related work is here.</p></div>
+    <div class="related-posts"><p>{LONG}</p></div><div class="ad-slot-3"><p>{LONG}</p></div><p class="advert">Buy.</p><p>{LONG} End.</p></article></body>"""
+    assert text(page) == f"{LONG}\nA notice on the board.\nRelated work is here.\n{LONG} End."
+
+
+def test_links_inside_an_article():
+    """Short linked items take their neighbours' label: good beside the story, bad beside a run of link text."""
+    menu = "<p><a href=x>Products Prices Downloads Company Careers Press Partners Investors Locations Imprint</a></p>"
+    page = f"<body><article><p>{LONG}</p><ul><li><a href=1>First source</a></li><li>And <a href=2>second source</a></li></ul><p>{LONG} 2</p>{menu}<p><a href=3>More</a></p>{menu}</article></body>"
+    assert text(page) == f"{LONG}\nFirst source\nAnd second source\n{LONG} 2"
+    # with one decided block of each kind the nearer one counts
+    page = f"<body><main><p>{LONG}</p><p>Near the story.</p><p>Also near.</p><p>Far.</p><p>Far as well.</p>{menu}</main></body>"
+    assert text(page) == f"{LONG}\nNear the story.\nAlso near."
+
+
+def test_neighbours_outside_an_article():
+    menu = "<p><a href=x>Products</a> <a href=y>Prices</a></p>"
+    page = f"<body>{menu}<p>Loose words</p>{menu}<h2>A title</h2><p>{LONG}</p><p>Between.</p><p>{LONG} 2</p><p>After.</p>{menu}</body>"
+    assert text(page) == f"A title\n{LONG}\nBetween.\n{LONG} 2"
+
+
+def test_stop_words_decide():
+    """A long block without common words is open; beside nothing good it goes, with common words it stays."""
+    plain = "Zinc copper nickel cobalt chrome titanium vanadium iridium osmium rhodium palladium silver."
+    assert text(f"<body><div><p>{LONG}</p></div><p><a href=1>Menu</a></p><p>{plain}</p><p><a href=1>Menu</a></p></body>") == LONG
+    assert text(f"<body><div><p>{LONG}</p></div><p>{plain}</p><p>{LONG} 2</p></body>") == f"{LONG}\n{plain}\n{LONG} 2"
+
+
+def test_long_page_and_repeated_rows(spark):
+    page = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
+    rows = [(1, "u", page), (1, "u", page), (None, None, None), (2, "v", "")]
+    got = sorted((r.page_id or 0, r.n_chars) for r in html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(0, 0), (1, 20_000 * (len(LONG) + 1) - 1), (1, 20_000 * (len(LONG) + 1) - 1), (2, 0)]
+
+
 def test_broken():
     assert text(None) == text("") == text("<") .replace("<", "") == ""
     assert text("<p>a < b <!-- never ends <p>c") == "a < b"

@@ -10,8 +10,9 @@ alone.  Every pair that is ever compared shares prefix tokens under all three.
 * Token frequencies: each slice of texts ships its tokens packed by bucket
   (six bytes of token and two of owner each; equal sets once per slice); a
   bucket holds a bounded number of tokens on average and reports only tokens
-  of two nodes or more.  A token that very many nodes of a slice hold reaches
-  its bucket as a count only, and its nodes are joined to the sum afterwards.
+  of two nodes or more.  A token that very many nodes of a slice hold is hot:
+  it is only named to its bucket, while its nodes go on by themselves.  Hot
+  tokens come last in the rarest-first orders.
   Tokens of one node come first in both rarest-first orders and can never
   match, so a text whose prefix is filled by them is out at once.
 * Candidates of a token's list: two members are worth a comparison only if
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, lean, map_texts, slices, small_batches, written
+from tarn.llm.common import cut, lean, map_texts, slices, small_batches
 from tarn.llm.components import components
 
 SHINGLE = 5
@@ -42,8 +43,9 @@ SHINGLE = 5
 PERCENT = 75
 BUCKET_TOKENS = 500_000
 SLICE_BYTES = 2_000_000
-#: A token of so many nodes in one slice is sent to its bucket as a count.
+#: A token of so many nodes in one slice is hot, and has this number of nodes in the orders.
 HOT_NODES = 64
+HOT = 1 << 40
 PIVOT_ROUNDS = 2
 #: Up to so many ids the survivors are broadcast to the text scan; beyond, the texts are shuffled.
 BROADCAST_IDS = 500_000
@@ -123,8 +125,9 @@ def _with_tokens(texts: list[str | None]) -> dict:
     return {"node": nodes_of(tokens, starts), "tokens": lists}
 
 
-def _six(tokens: np.ndarray) -> np.ndarray:
-    return tokens.view(np.uint8).reshape(-1, 8)[:, :6]
+def _six(tokens: np.ndarray) -> bytes:
+    """Six bytes of each token."""
+    return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def _eight(blob: bytes) -> np.ndarray:
@@ -149,52 +152,40 @@ def _pack(texts: list[str | None], buckets: int) -> pa.RecordBatch | None:
     bucket = (tokens % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((tokens, bucket))
     tokens, own, bucket = tokens[order], own[order], bucket[order]
-    new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
     times = np.diff(np.append(at, len(tokens)))
     hot = np.repeat(times >= HOT_NODES, times)
-    columns: list[list] = [[], [], [], [], [], []]
-
-    def row(*values: object) -> None:
-        for c, v in zip(columns, values, strict=True):
-            c.append(v)
+    hot_at = at[times >= HOT_NODES]
+    rows = []
 
-    def owned(which: np.ndarray) -> tuple[bytes, bytes]:
-        docs, local = np.unique(which, return_inverse=True)
-        return local.astype(np.uint16).tobytes(), node[docs].tobytes()
+    def row(key: int, which: np.ndarray, named: np.ndarray) -> None:
+        docs, local = np.unique(own[which], return_inverse=True)
+        rows.append((key, _six(tokens[which]), local.astype(np.uint16).tobytes(), node[docs].tobytes(), _six(tokens[named])))
 
     some, begins = np.unique(bucket, return_index=True)
-    cold = ~hot
-    hot_at = at[times >= HOT_NODES]
-    hot_times = times[times >= HOT_NODES].astype(np.uint32)
-    hot_bucket = bucket[hot_at]
     for k, a, b in zip(some.tolist(), begins.tolist(), np.append(begins[1:], len(bucket)).tolist(), strict=True):
-        keep = cold[a:b]
-        x, y = np.searchsorted(hot_bucket, [k, k + 1])
-        row(k, _six(np.ascontiguousarray(tokens[a:b][keep])).tobytes(), *owned(own[a:b][keep]), _six(np.ascontiguousarray(tokens[hot_at[x:y]])).tobytes(), hot_times[x:y].tobytes())
-    if hot.any():
-        row(-1 - int(node[own[0]] & 0xFFFFFFFFFF), _six(np.ascontiguousarray(tokens[hot])).tobytes(), *owned(own[hot]), b"", b"")
-    kinds = (pa.int64(), *[pa.binary()] * 5)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "tokens", "owners", "names", "hots", "times"])
+        x, y = np.searchsorted(hot_at, [a, b])
+        row(k, a + np.flatnonzero(~hot[a:b]), hot_at[x:y])
+    if len(hot_at):
+        row(-1 - int(node[own[0]] & 0xFFFFFFFFFF), np.flatnonzero(hot), hot_at[:0])
+    kinds = (pa.int64(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "tokens", "owners", "names", "hots"])
 
 
 def _count_bucket(table: pa.Table) -> pa.Table:
-    """(node, token, df) of a bucket; node is null in the sum of a hot token, df in the nodes of one."""
+    """(node, token, df) of a bucket's tokens of two nodes or more."""
     tokens, nodes = [], []
     for blob, local, names in zip(*(table.column(c).to_pylist() for c in ("tokens", "owners", "names")), strict=True):
         tokens.append(_eight(blob))
         nodes.append(np.frombuffer(names, dtype=np.int64)[np.frombuffer(local, dtype=np.uint16)])
     t, n = np.concatenate(tokens), np.concatenate(nodes)
     if table.column("bucket")[0].as_py() < 0:
-        return pa.table({"node": n, "token": t, "df": pa.nulls(len(n), pa.int64())})
-    hots = np.concatenate([_eight(b) for b in table.column("hots").to_pylist()])
-    times = np.concatenate([np.frombuffer(b, dtype=np.uint32) for b in table.column("times").to_pylist()]).astype(np.int64)
-    hot, inverse = np.unique(hots, return_inverse=True)
-    extra = np.bincount(inverse, weights=times, minlength=len(hot)).astype(np.int64)
+        return pa.table({"node": n, "token": t, "df": np.full(len(t), HOT)})
+    hot = np.unique(np.concatenate([_eight(b) for b in table.column("hots").to_pylist()]))
     order = np.argsort(t, kind="stable")
     t, n = t[order], n[order]
-    same = t[1:] == t[:-1]
     several = np.isin(t, hot)
+    same = t[1:] == t[:-1]
     several[1:] |= same
     several[:-1] |= same
     t, n = t[several], n[several]
@@ -202,30 +193,16 @@ def _count_bucket(table: pa.Table) -> pa.Table:
     t, n = t[order], n[order]
     new = np.concatenate(([True], (t[1:] != t[:-1]) | (n[1:] != n[:-1]))) if len(t) else np.zeros(0, dtype=bool)
     t, n = t[new], n[new]
-    each, inverse, df = np.unique(t, return_inverse=True, return_counts=True)
-    df = df.astype(np.int64)
-    if len(hot):
-        where = np.searchsorted(each, hot)
-        inside = (where < len(each)) & (each[np.minimum(where, max(len(each) - 1, 0))] == hot) if len(each) else np.zeros(len(hot), dtype=bool)
-        extra[inside] += df[where[inside]]
-        df[where[inside]] = extra[inside]
-    df = df[inverse]
+    _, inverse, df = np.unique(t, return_inverse=True, return_counts=True)
+    df = np.where(np.isin(t, hot), HOT, df[inverse])
     keep = df >= 2
-    return pa.table(
-        {
-            "node": pa.concat_arrays([pa.array(n[keep]), pa.nulls(len(hot), pa.int64())]),
-            "token": np.concatenate([t[keep], hot]),
-            "df": np.concatenate([df[keep], extra]),
-        }
-    )
+    return pa.table({"node": n[keep], "token": t[keep], "df": df[keep]})
 
 
 def shared_tokens(texts: DataFrame, buckets: int) -> DataFrame:
-    """(node, token, df) of the tokens that two nodes or more hold, with the rows of hot tokens still apart.
+    """(node, token, df) of the tokens that two nodes or more hold; tokens are cut to 48 bits.
 
-    Tokens are cut to 48 bits.  A hot token has rows (null, token, part of df)
-    and rows (node, token, null).  Its df counts a node once per slice, which
-    is as good an order.
+    Pairs of a hot token and a node may come twice, from two slices.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,16 +215,10 @@ def shared_tokens(texts: DataFrame, buckets: int) -> DataFrame:
                         yield made
 
     small_batches(texts.sparkSession)
-    packed = texts.select("text").mapInArrow(lean(pack), "bucket long, tokens binary, owners binary, names binary, hots binary, times binary")
+    packed = texts.select("text").mapInArrow(lean(pack), "bucket long, tokens binary, owners binary, names binary, hots binary")
     return packed.groupBy("bucket").applyInArrow(_count_bucket, "node long, token long, df long")
 
 
-def _with_df(shared: DataFrame) -> DataFrame:
-    """(node, token, df) with the sums of hot tokens joined to their nodes."""
-    sums = shared.where("node is null").select("token", "df")
-    return shared.where("node is not null and df is not null").union(shared.where("df is null").select("node", "token").join(sums, "token").select("node", "token", "df"))
-
-
 def _need(n: str) -> str:
     """Tokens of the prefix: n - ceil(0.75 n) + 1."""
     return f"({n} - ({PERCENT} * {n} + 99) div 100 + 1)"
@@ -316,8 +287,7 @@ def links(texts: DataFrame, named: DataFrame, total_tokens: int) -> DataFrame |
     """
     buckets = max(8, -(-total_tokens // BUCKET_TOKENS))
     sizes = named.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("doc").alias("doc"))
-    with written(shared_tokens(texts, buckets)) as shared:
-        chosen = cut(_prefixes(_with_df(shared), sizes))
+    chosen = cut(_prefixes(shared_tokens(texts, buckets), sizes))
     many = chosen.count()
     if many < 2:
         return None
@@ -366,7 +336,9 @@ def ngram_components(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     Words are lower-cased in A-Z only and cut at ASCII white space.  A text of
     one to four words is one shingle, the whole sequence; a null, empty or
     blank text has none and is alone in its component.  Rows with equal keys
-    are separate rows; keys are integers.
+    are separate rows; keys are integers.  A row with a null key has links like
+    any other, but a component's id is its least key that is not null, or null
+    if it has none.  Texts of any length are taken whole.
     """
     return _components_of(df, key, text, []).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tarn.llm import ngram_join
@@ -61,6 +62,7 @@ def made(seed, n_groups=25):
 def test_against_brute_force(spark, seed, monkeypatch):
     if seed == 2:
         monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 1)
     rows = made(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(7)).withColumn("n", F.lit("x"))
     got = sorted(tuple(r) for r in ngram_components(df).collect())
@@ -91,3 +93,45 @@ def test_null_and_repeated_keys(spark, monkeypatch, most):
     df = spark.createDataFrame([(3, near), (7, near + " end"), (7, clean), (None, near), (7, None)], "doc_id long, text string")
     got = sorted(map(repr, map(tuple, without_near_duplicates(df).collect())))
     assert got == sorted(map(repr, [(3, near), (7, clean), (None, near), (7, None)]))
+
+
+def test_hot_tokens_across_slices():
+    """A token that is hot in one slice is so in all; its nodes come whichever slice they are in."""
+    from collections import defaultdict
+
+    texts = [f"a b c d e own{i} x{i} y{i} z{i} v{i}" for i in range(200)] + ["a b c d e"]
+    got, parts = defaultdict(set), [texts[:100], texts[100:120], texts[120:]]
+    by = defaultdict(list)
+    for part in parts:
+        for row in ngram_join._pack(part, 3).to_pylist():
+            by[row["bucket"]].append(row)
+    for rows in by.values():
+        for r in ngram_join._count_bucket(pa.Table.from_pylist(rows)).to_pylist():
+            got[r["token"]].add((r["node"], r["df"]))
+    assert len(got) == 1
+    (found,) = got.values()
+    assert len(found) == 201 and {df for _, df in found} == {ngram_join.HOT}
+
+
+def test_every_filter_is_needed_and_safe(spark, monkeypatch):
+    """Pairs reach the comparison of sets only if prefixes meet under every order."""
+    seen = []
+    verify = ngram_join._verify
+
+    def spy(pairs, sets):
+        empty = F.array().cast("array<bigint>")
+        seen.append(verify(pairs, sets).count() - verify(pairs, sets.withColumn("second", empty)).count())
+        return verify(pairs, sets)
+
+    monkeypatch.setattr(ngram_join, "_verify", spy)
+    rows = [(i, " ".join(f"w{j + i % 3}" for j in range(60))) for i in range(6)]
+    got = sorted(tuple(r) for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows) and sum(seen) > 0
+
+
+def test_long_text_and_extra_columns(spark):
+    long = " ".join(f"w{i}" for i in range(100_000))
+    rows = [(1, long), (2, long + " end"), (3, long[: len(long) // 2]), (4, "w " * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("token", F.lit(1)).withColumn("component_id", F.lit("x"))
+    got = sorted(tuple(r) for r in ngram_components(df).collect())
+    assert got == [(1, 99_996, 1), (2, 99_997, 1), (3, got[2][1], 3), (4, 1, 4)]

@@ -266,7 +266,7 @@ def _examples(n: int, seed: int) -> list[tuple[str, str, bool]]:
             if personal:
                 body = r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(2)} {d(3)} {d(2)} {d(2)}", f"00{d(2)} {d(3)} {d(4)} {d(3)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)}/{d(4)} {d(3)}"])
             else:
-                body = r.choice([f"{r.randint(1900, 2029)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(10, 28)}/{r.randint(10, 12)}/{r.randint(1900, 2029)}", f"{d(2)}.{d(2)}", f"{d(3)} {d(3)}", f"{d(5)} {d(5)} {d(5)}", f"{d(16)} {d(16)}", f"{d(2)}-{d(2)}", f"{d(3)}-{d(1)}-{d(5)}-{d(3)}-{d(2)}", f"{d(4)} {d(4)}", f"{d(2)} {d(3)} {d(2)} {d(4)}"])
+                body = r.choice([f"{r.randint(1900, 2029)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(10, 28)}/{r.randint(10, 12)}/{r.randint(1900, 2029)}", f"{d(2)}.{d(2)}", f"{d(3)} {d(3)}", f"{d(5)} {d(5)} {d(5)}", f"{d(7)} {d(7)}", f"{d(2)}-{d(2)}", f"{d(3)}-{d(1)}-{d(5)}-{d(3)}-{d(2)}", f"{d(4)} {d(4)}", f"{d(2)} {d(3)} {d(2)} {d(4)}"])
         lead = filler(r.randint(2, 8))
         text = f"{lead} {against + ' ' if against else ''}{cue}{sign}{quote}{body}{quote} {filler(r.randint(2, 6))}"
         out.append((text, body, personal and (not against)))
@@ -369,7 +369,7 @@ def pii_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         made["n_secret"] = [sum(s[2] == "secret" for s in a) for _, a in found]
         return made
 
-    return map_texts(df, [key], text, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long", work)
+    return map_texts(df, [key], text, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long, n_secret long", work)
 
 
 def redacted(text: str, spans: list[Span]) -> str:

@@ -10,7 +10,7 @@ from tarn.llm.pii import redacted
 
 from .test_bpe import LIBRARY
 from .test_ngram_join import brute as near
-from .test_pii import plain as personal
+from .test_pii import every as personal
 from .test_quality import verdict
 
 SF = "/root/testdata/sf0.001"

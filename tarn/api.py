@@ -6,14 +6,16 @@ import argparse
 import json
 import os
 import re
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import snippet
 from tarn.operators import search as S
 from tarn.operators.embedding import hashed
+from tarn.sources.shared import shared_folder
 
 SORTS = ("_score", "published_at", "popularity_score")
 
@@ -34,41 +36,81 @@ class SearchQuery:
             raise ValueError(f"invalid query {self}")
 
 
+#: Columns that a sort key stands for, by what is there.
+SORT_COLUMNS = {"published_at": ("published_at", "fetched_at"), "popularity_score": ("popularity_score", "processing_priority")}
+
+
 @dataclass
 class SearchService:
-    """Hybrid search over (doc, text, lang, site) and vectors (doc, embedding); the index is kept between queries."""
+    """Hybrid search over (doc, text, lang, site[, title, keywords, sort columns]) and vectors (doc, embedding).
+
+    The index is written once to the shared folder and read from there by
+    every query; ``close`` removes it.  Without vectors search is lexical, and
+    only then the orders by date and by popularity apply, newest and most
+    popular first, rows without a value last; with vectors the fused order
+    counts.
+    """
 
     docs: DataFrame
     vectors: DataFrame | None = None
-    index: S.Index = field(init=False)
+    index: S.KeptIndex = field(init=False)
+    folder: str = field(init=False)
 
     def __post_init__(self) -> None:
-        self.index = S.build_index(self.docs, "doc", {"content": F.col("text")})
-        for name in ("postings", "lengths", "fields"):
-            setattr(self.index, name, getattr(self.index, name).persist())
+        spark = self.docs.sparkSession
+        self.folder = f"{shared_folder(spark)}/service-{uuid.uuid4().hex}"
+        text = {"content": F.col("text")}
+        text |= {name: F.col(name) for name in ("title", "keywords") if name in self.docs.columns}
+        paths = {}
+        for name, write in S.index_writers(self.docs, "doc", text).items():
+            paths[name] = f"{self.folder}/{name}"
+            write(paths[name])
+        self.index = S.open_index(spark, paths)
+
+    def close(self) -> None:
+        """Remove the index from the shared folder."""
+        spark = self.docs.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     def search(self, query: SearchQuery) -> DataFrame:
-        """One page of hits (doc, score, lang, site, snippet); without vectors lexical only."""
-        terms = re.findall(r"\w+", query.q.lower())
+        """One page of hits (doc, score, lang, site, snippet, fragments), in order."""
+        terms, fuzzy = S.query_terms(query.q)
         keep = S.build_filter({k: v for k, v in (("lang", query.lang), ("site", query.site)) if v})
         inside = self.docs.where(keep).select("doc")
-        hits = S.bm25(self.index, terms, {"content": 1.0}).join(inside, "doc", "left_semi")
+        hits = S.lexical(self.index, terms, S.BOOSTS, S.CROSS_BOOSTS, fuzzy).join(inside, "doc", "left_semi")
+        order = [F.desc("score"), F.col("doc")]
         if self.vectors is not None:
             probe = [float(x) for x in hashed([query.q])[0]]
             near = S.knn(self.vectors.join(inside, "doc", "left_semi"), "doc", "embedding", probe, 2 * query.size)
             hits = S.rrf(S.ranked(hits, 2 * query.size, "bm25_rank"), S.ranked(near, 2 * query.size, "vec_rank"), 2 * query.size).select("doc", F.col("rrf").alias("score"))
-        page = S.page(hits, [F.desc("score"), F.col("doc")], query.page, query.size)
-        found = self.docs.join(F.broadcast(page), "doc").select("doc", "score", "lang", "site", snippet(F.col("text")).alias("snippet"))
-        return found.orderBy(F.desc("score"), "doc")
+        elif query.sort != "_score":
+            by = next((c for c in SORT_COLUMNS[query.sort] if c in self.docs.columns), None)
+            if by is None:
+                raise ValueError(f"no column to sort by {query.sort}")
+            hits = hits.join(self.docs.select("doc", F.col(by).alias("__by")), "doc")
+            order = [F.col("__by").desc_nulls_last(), *order]
+        page = S.page(hits, order, query.page, query.size)
+        # the place on the page survives the join
+        page = page.withColumn("__place", F.row_number().over(Window.orderBy(*order)))
+        found = self.docs.select("doc", "lang", "site", "text").join(F.broadcast(page), "doc")
+        return found.orderBy("__place").select("doc", "score", "lang", "site", snippet(F.col("text")).alias("snippet"), S.fragments(F.col("text"), terms).alias("fragments"))
 
     def suggest(self, q: str, size: int = 10) -> list[str]:
+        """Terms of titles and keywords near ``q``; of the content where there are neither."""
         if not 1 <= len(q) <= 100 or not 1 <= size <= 20:
             raise ValueError("invalid suggestion query")
-        return [r.term for r in S.suggest(self.index.terms, q.lower(), size).collect()]
+        fields = [f for f in ("title", "keywords") if f in self.index.fields] or ["content"]
+        terms = self.index.terms.where(F.col("field").isin(*fields))
+        return [r.term for r in S.suggest(terms, q.lower(), size).collect()]
 
     def health(self) -> dict:
         return {"status": "green" if self.docs.limit(1).count() else "yellow"}
 
+    def stats(self) -> dict:
+        """Documents and mean length of each field, as the index knows them."""
+        return {f: {"documents": n, "mean_length": mean} for f, (n, mean) in self.index.fields.items()}
+
 
 def expand(value, env=os.environ):
     """``${NAME:default}`` in configuration values, at any depth."""
@@ -105,7 +147,7 @@ class Settings:
 
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tarn")
-    p.add_argument("command", choices=("list", "run", "explain"))
+    p.add_argument("command", choices=("list", "run", "explain", "config", "health", "stats"))
     p.add_argument("name", nargs="?")
     p.add_argument("--data", default="/root/testdata/sf0.01")
     a = p.parse_args(args)
@@ -114,7 +156,19 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "list":
         print(json.dumps(sorted(QUERIES)))
         return 0
+    if a.command == "config":
+        print(json.dumps(asdict(Settings()), indent=2))
+        return 0
     spark = SparkSession.builder.appName("tarn").getOrCreate()
+    if a.command in ("health", "stats"):
+        d = spark.read.parquet(f"{a.data}/documents.parquet").select(F.col("doc_id").alias("doc"), "text", "lang", F.col("source").alias("site"))
+        if a.command == "health":
+            print(json.dumps({"status": "green" if d.limit(1).count() else "yellow"}))
+        else:
+            service = SearchService(d)
+            print(json.dumps(service.stats()))
+            service.close()
+        return 0
     df = QUERIES[a.name](spark, a.data)
     df.explain("formatted") if a.command == "explain" else df.show(truncate=80)
     return 0

@@ -17,7 +17,7 @@ CHUNK = StructType([StructField("content", StringType()), StructField("index", I
 
 
 def fixed(text: str, size: int, overlap: int) -> list[tuple]:
-    """Windows that end after the last space of their final tenth; the next starts ``overlap`` before the end."""
+    """Windows that end after the last space of their final tenth; the next starts ``overlap`` before the end.  Blank ones are left out."""
     out, start, n = [], 0, len(text)
     while start < n:
         end = min(start + size, n)
@@ -25,7 +25,9 @@ def fixed(text: str, size: int, overlap: int) -> list[tuple]:
             space = text.rfind(" ", end - size // 10, end)
             if space >= 0:
                 end = space + 1
-        out.append((text[start:end].strip(), len(out), start, end, "unknown"))
+        content = text[start:end].strip()
+        if content:
+            out.append((content, len(out), start, end, "unknown"))
         if end == n:
             break
         start = max(start + 1, end - overlap)

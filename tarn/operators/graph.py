@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions import urls as U
+from tarn.sources.shared import shared_folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; a local one only where none is named."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tarn-checkpoints-"))
+    """A reliable checkpoint in the folder that the session names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

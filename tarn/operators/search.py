@@ -10,14 +10,23 @@ and top-k is a partial top-k on every task.
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import tokens
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Field boosts of the lexical query, those inside its cross-fields clause, and that clause's own weight.
+BOOSTS = {"title": 3.0, "content": 1.0, "keywords": 2.0}
+CROSS_BOOSTS = {"title": 2.0, "content": 1.0, "keywords": 1.0}
+CROSS_WEIGHT = 0.5
+#: Vocabulary terms that one asked term may stand for, the nearest and then the most frequent.
+MOST_EXPANSIONS = 50
+BUCKETS = 64
 
 
 @dataclass
@@ -41,31 +50,13 @@ def build_index(docs: DataFrame, key: str, fields: dict[str, Column]) -> Index:
     return Index(postings, lengths, stats, terms)
 
 
-def edits(term: Column) -> Column:
-    """Edit distance allowed by the automatic rule."""
-    return F.when(F.length(term) < 3, 0).when(F.length(term) <= 5, 1).otherwise(2)
-
-
-def expand_fuzzy(index: Index, terms: list[str]) -> DataFrame:
-    """(field, term, asked): vocabulary terms near the asked ones; candidates need a length within reach and the first letter."""
-    asked = index.terms.sparkSession.createDataFrame([(t,) for t in terms], "asked string")
-    near = F.substring("term", 1, 1) == F.substring("asked", 1, 1)
-    close = F.levenshtein(F.col("term"), F.col("asked"), 2)
-    return index.terms.join(F.broadcast(asked), near & (F.abs(F.length("term") - F.length("asked")) <= 2)).where((close >= 0) & (close <= edits(F.col("asked")))).select("field", "term", "asked")
-
-
-def bm25(index: Index, terms: list[str], boosts: dict[str, float], fuzzy: bool = False) -> DataFrame:
-    """(doc, score): boosted field scores summed over all terms.
+def bm25(index: Index, terms: list[str], boosts: dict[str, float]) -> DataFrame:
+    """(doc, score): boosted field scores summed over all terms, from an index in memory or just built.
 
     The statistics that meet the postings are those of the query's terms and
     one row per field, so both joins are against tables bounded by the query.
     """
-    asked = sorted(set(terms))
-    wanted = index.postings.where(F.col("field").isin(*boosts))
-    if fuzzy:
-        wanted = wanted.join(expand_fuzzy(index, asked).select("field", "term").distinct(), ["field", "term"], "left_semi")
-    else:
-        wanted = wanted.where(F.col("term").isin(*asked))
+    wanted = index.postings.where(F.col("field").isin(*boosts)).where(F.col("term").isin(*sorted(set(terms))))
     df = wanted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     boost = F.coalesce(*[F.when(F.col("field") == f, F.lit(float(b))) for f, b in boosts.items()])
     scored = wanted.join(df, ["field", "term"]).join(F.broadcast(index.fields), "field").join(index.lengths, ["field", "doc"])
@@ -109,13 +100,134 @@ def bm25_scan(docs: DataFrame, key: str, fields: dict[str, tuple[Column, float]]
     return per.where(hit).select("doc", F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
-def best_fields(index: Index, terms: list[str], boosts: dict[str, float]) -> DataFrame:
-    """(doc, score): the best single field instead of the sum."""
-    per = [bm25(index, terms, {f: b}) for f, b in boosts.items()]
-    rows = per[0]
-    for p in per[1:]:
-        rows = rows.unionAll(p)
-    return rows.groupBy("doc").agg(F.max("score").alias("score"))
+@dataclass
+class KeptIndex:
+    """An index on disk: postings (bucket, field, term, doc, tf, len), terms (bucket, field, term, df), and a row per field."""
+
+    postings: DataFrame
+    terms: DataFrame
+    fields: dict[str, tuple[int, float]]  # field -> documents, mean length
+    buckets: int = BUCKETS
+
+
+def index_writers(docs: DataFrame, key: str, fields: dict[str, Column], buckets: int = BUCKETS) -> dict[str, Callable[[str], None]]:
+    """Writers of the three tables of an index, each a function of its path, to be called in order.
+
+    Postings lie in one folder per bucket of terms and are sorted by term in
+    it, so that a query reads the row groups of its own terms only.
+    """
+    spark = docs.sparkSession
+    place: dict[str, str] = {}
+
+    def postings(path: str) -> None:
+        parts = [docs.select(F.lit(name).alias("field"), F.col(key).alias("doc"), tokens(text).alias("tokens")) for name, text in fields.items()]
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionAll(p)
+        single = rows.select("field", "doc", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term"))
+        found = single.groupBy("field", "term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+        # a bucket's terms are dealt over several files by term and document, so that no frequent term is one task
+        dealt = found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets))).withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(8)))
+        dealt.repartition(F.col("bucket"), F.col("part")).sortWithinPartitions("bucket", "term", "field", "doc").drop("part").write.partitionBy("bucket").parquet(path)
+        place["postings"] = path
+
+    def terms(path: str) -> None:
+        source = spark.read.parquet(place.get("postings", path.rsplit("/", 1)[0] + "/postings"))
+        counted = source.groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("df"))
+        # by first letter, since fuzzy terms share it
+        counted.withColumn("letter", F.substring("term", 1, 1)).repartitionByRange("letter", "term").sortWithinPartitions("letter", "term").write.parquet(path)
+
+    def stats(path: str) -> None:
+        source = spark.read.parquet(place.get("postings", path.rsplit("/", 1)[0] + "/postings"))
+        # a document's length is the sum of its term frequencies
+        per = source.groupBy("field", "doc").agg(F.sum("tf").alias("len"))
+        per.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).write.parquet(path)
+
+    return {"postings": postings, "terms": terms, "fields": stats}
+
+
+def open_index(spark: SparkSession, paths: dict[str, str], buckets: int = BUCKETS) -> KeptIndex:
+    """The index at the paths; only its row per field is read."""
+    fields = {r.field: (r.n, r.mean) for r in spark.read.parquet(paths["fields"]).collect()}
+    return KeptIndex(spark.read.parquet(paths["postings"]), spark.read.parquet(paths["terms"]), fields, buckets)
+
+
+def wanted_terms(index: KeptIndex, asked: list[str], fuzzy: bool = False) -> list[tuple[str, str, str, int, float]]:
+    """(asked, field, term, df, weight) of the vocabulary terms that the asked ones stand for.
+
+    With ``fuzzy`` those within the automatic edit distance that share the
+    first letter, at most ``MOST_EXPANSIONS`` per asked term and field; a term
+    weighs 1 less its distance as a share of the shorter one's length.  The
+    list is bounded by the query, not by the vocabulary.
+    """
+    if not asked:
+        return []
+    if not fuzzy:
+        rows = index.terms.where(F.col("letter").isin(*{a[:1] for a in asked}) & F.col("term").isin(*asked)).select(F.col("term").alias("asked"), "field", "term", "df", F.lit(1.0).alias("weight"))
+        return [tuple(r) for r in rows.collect()]
+    near = index.terms.where(F.col("letter").isin(*{a[:1] for a in asked}))
+    found = None
+    for a in asked:
+        most = 0 if len(a) < 3 else 1 if len(a) <= 5 else 2
+        d = F.levenshtein(F.col("term"), F.lit(a), most)
+        rows = near.where((F.col("letter") == a[:1]) & F.length("term").between(len(a) - most, len(a) + most)).withColumn("d", d).where("d >= 0")
+        rows = rows.select(F.lit(a).alias("asked"), "field", "term", "df", "d")
+        found = rows if found is None else found.union(rows)
+    w = Window.partitionBy("asked", "field").orderBy("d", F.desc("df"), "term")
+    best = found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= MOST_EXPANSIONS)
+    weight = 1 - F.col("d") / F.least(F.length("term"), F.length("asked"))
+    return [tuple(r) for r in best.select("asked", "field", "term", "df", weight.alias("weight")).collect()]
+
+
+def _idf(n: int, df: int) -> float:
+    return math.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def lexical(index: KeptIndex, asked: list[str], boosts: dict[str, float] | None = None, cross: dict[str, float] | None = None, fuzzy: bool = False) -> DataFrame:
+    """(doc, score) by the kept index, one read of the query's own terms.
+
+    Each field's BM25 with its boost, summed over terms and fields; with
+    ``cross`` the fields also count as one: an asked term's best field there,
+    by the largest of its frequencies, times ``CROSS_WEIGHT``.
+    """
+    boosts = BOOSTS if boosts is None else boosts
+    asked = sorted(set(asked))
+    spark = index.postings.sparkSession
+    blended: dict[str, int] = {}
+    chosen = wanted_terms(index, asked, fuzzy)
+    for a, field, term, df, _ in chosen:
+        if cross and a == term and field in cross:
+            blended[term] = max(blended.get(term, 0), df)
+    rows = []
+    for a, field, term, df, weight in chosen:
+        n, mean = index.fields[field]
+        once = boosts.get(field, 0.0) * weight * _idf(n, df)
+        whole = cross.get(field, 0.0) * _idf(max(n, blended[term]), blended[term]) if cross and a == term and term in blended else 0.0
+        rows.append((a, field, term, float(once), float(whole), float(mean)))
+    terms = spark.createDataFrame(rows, "asked string, field string, term string, once double, whole double, mean double")
+    names = sorted({r[2] for r in rows})
+    mine = index.postings.where(F.lit(False))
+    if names:
+        # constants, so that only the buckets and row groups of these terms are read
+        buckets = [F.pmod(F.xxhash64(F.lit(t)), F.lit(index.buckets)).cast("int") for t in names]
+        mine = index.postings.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*names))
+    tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    scored = mine.join(F.broadcast(terms), ["field", "term"]).select("doc", "asked", (F.col("once") * tf).alias("once"), (F.col("whole") * tf).alias("whole"))
+    if not cross:
+        return scored.groupBy("doc").agg(F.sum("once").alias("score"))
+    per = scored.groupBy("doc", "asked").agg(F.sum("once").alias("once"), F.max("whole").alias("whole"))
+    return per.groupBy("doc").agg((F.sum("once") + CROSS_WEIGHT * F.sum("whole")).alias("score"))
+
+
+_JAPANESE = re.compile("[\u3040-\u309f\u30a0-\u30ff\u4e00-\u9faf]")
+_RUNS = re.compile("[\u4e00-\u9faf]+|[\u30a0-\u30ff]+|[\u3040-\u309f]+|[^\\W\u3040-\u30ff\u4e00-\u9faf]+")
+
+
+def query_terms(q: str) -> tuple[list[str], bool]:
+    """(terms, fuzzy) of a query text: a Japanese query is cut at changes of script and matches exactly."""
+    if len(_JAPANESE.findall(q)) > 0.1 * len(q):
+        return [m.lower() for m in _RUNS.findall(q)], False
+    return re.findall(r"\w+", q.lower()), True
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -176,17 +288,30 @@ def build_filter(spec: dict) -> Column:
     return out
 
 
+def _hits(terms: list[str]) -> str:
+    """A pattern of whole words that are terms; the terms' own characters stand for themselves."""
+    words = "|".join("\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E" for t in sorted(terms, key=lambda t: (-len(t), t)))
+    return rf"(?iu)(?<![\p{{L}}\p{{N}}_])({words})(?![\p{{L}}\p{{N}}_])"
+
+
 def highlight(text: Column, terms: list[str], before: str = "<em>", after: str = "</em>") -> Column:
     """Whole words that are query terms, in any case, get tags."""
-    words = "|".join(sorted(terms))
-    return F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}_])({words})(?![\p{{L}}\p{{N}}_])", f"{before}$1{after}")
+    return F.regexp_replace(text, _hits(terms), f"{before}$1{after}") if terms else text
 
 
 def fragments(text: Column, terms: list[str], size: int = 150, most: int = 3) -> Column:
-    """Up to three stretches of text of ``size`` characters that hold a term, with tags."""
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / size).cast("int")), lambda i: F.substring(text, i * size + 1, F.lit(size)))
-    marked = F.transform(pieces, lambda p: highlight(p, terms))
-    return F.slice(F.filter(marked, lambda p: p.contains("<em>")), 1, most)
+    """Up to ``most`` stretches of text round a hit, of about ``size`` characters, with tags.
+
+    Hits are marked in the whole text first, then stretches are cut round
+    them; a hit is never cut, and stretches do not overlap.
+    """
+    if not terms:
+        return F.array().cast("array<string>")
+    side = max(0, (size - max(map(len, terms))) // 2)
+    marked = F.regexp_replace(F.translate(text, "\x01\x02", ""), _hits(terms), "\x01$1\x02")
+    around = f"([^\x01]{{0,{side}}}\x01[^\x02]*\x02(?:[^\x01]|\x01[^\x02]*\x02){{0,{side}}})"
+    cut = F.slice(F.regexp_extract_all(marked, F.lit(around)), 1, most)
+    return F.transform(cut, lambda p: F.replace(F.replace(p, F.lit("\x01"), F.lit("<em>")), F.lit("\x02"), F.lit("</em>")))
 
 
 def suggest(terms: DataFrame, asked: str, size: int) -> DataFrame:

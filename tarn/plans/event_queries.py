@@ -162,17 +162,22 @@ def errors_by_type(spark, sf_dir):
 @query(
     "peak_concurrency",
     """with s as (select ts as t, 1 as d from events union all select ts + to_microseconds(cast(value * 1000000 as bigint)), -1 from events),
-    h as (select date_trunc('day', t) as day, t, d from s), m as (select day, t, sum(d) as d from h group by 1, 2),
-    r as (select day, sum(d) over (partition by day order by t rows between unbounded preceding and current row) as n from m) select cast(day as date) as day, cast(max(n) as bigint) as peak from r group by 1""",
+    m as (select t, sum(d) as d from s group by 1), r as (select date_trunc('day', t) as day, t, d, sum(d) over (order by t) as n from m)
+    select cast(day as date) as day, cast(greatest(max(n), arg_min(n - d, t)) as bigint) as peak from r group by day""",
 )
 def peak_concurrency(spark, sf_dir):
-    """Sweep line within each day: +1 at a start, -1 at an end."""
+    """Sweep line: +1 at a start, -1 at an end; a day begins with what is open at midnight."""
     e = events(spark, sf_dir)
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     ends = F.explode(F.array(F.struct(t.alias("t"), F.lit(1).alias("d")), F.struct((t + (F.col("value") * 1_000_000).cast("decimal(30,0)").cast("long")).alias("t"), F.lit(-1).alias("d"))))
     s = e.select(ends.alias("s")).select(F.expr("s.t div 86400000000").alias("n"), "s.t", "s.d").groupBy("n", "t").agg(F.sum("d").alias("d"))
+    # one row per day, so that the running sum over all days is short; within a day the sweep is a task of its own
+    days = s.groupBy("n").agg(F.sum("d").alias("net"))
+    days = days.select(F.col("n").alias("day"), F.coalesce(F.sum("net").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("opening"))
     w = Window.partitionBy("n").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return s.select("n", F.sum("d").over(w).alias("open")).groupBy("n").agg(F.max("open").alias("peak")).select(F.expr("date_add(date'1970-01-01', cast(n as int))").alias("day"), "peak")
+    most = s.select("n", F.sum("d").over(w).alias("open")).groupBy("n").agg(F.max("open").alias("most"))
+    found = most.join(days, F.col("n") == F.col("day"))
+    return found.select(F.expr("date_add(date'1970-01-01', cast(n as int))").alias("day"), (F.col("opening") + F.greatest(F.lit(0), F.col("most"))).alias("peak"))
 
 
 @query("health_status", "with s as (select user_id, 100.0 * sum(case when event_type <> 'error' then 1 else 0 end) / count(*) as rate, count(*) as n from events group by 1) select user_id, case when user_id % 7 = 0 then 'starting' when rate < 80 and n > 10 then 'unhealthy' else 'healthy' end as status from s")

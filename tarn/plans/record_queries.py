@@ -88,20 +88,30 @@ def robots_rule_counts(spark, sf_dir):
     return robots.rule_counts(robots.rules(robots_files(spark, sf_dir)), "intended").select("domain", F.col("allows").cast("int").alias("allows"), F.col("disallows").cast("int").alias("disallows"))
 
 
+#: Pages of one sitemap file; the format allows 50,000.
+SITEMAP_URLS = 500
+
+
 def sitemap_store(spark, sf_dir):
-    """One index that names a sitemap per language, each with its pages."""
+    """Indexes that name sitemaps of a bounded number of pages, one set per language."""
     p = pages(spark, sf_dir).select("page_id", "url", F.regexp_extract("url", "/(en|fr|de|es)/", 1).alias("lang"))
+    part = F.concat_ws("-", "lang", F.expr(f"page_id div {SITEMAP_URLS}"))
     entry = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>2024-01-02</lastmod><priority>"), (F.col("page_id") % 15 / 10).cast("string"), F.lit("</priority></url>"))
-    leaf = p.groupBy(F.concat(F.lit("https://h.example/sitemap-"), "lang", F.lit(".xml")).alias("sitemap")).agg(F.concat(F.lit('<urlset xmlns="x">'), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("xml"))
+    leaf = p.groupBy(F.concat(F.lit("https://h.example/sitemap-"), part, F.lit(".xml")).alias("sitemap")).agg(F.concat(F.lit('<urlset xmlns="x">'), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("xml"))
+    # an index file for every so many sitemaps
+    group = F.expr(f"pmod(xxhash64(sitemap), {SITEMAP_INDEXES})")
     names = F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "sitemap", F.lit("</loc></sitemap>"))), "")
-    top = leaf.agg(F.concat(F.lit("<sitemapindex>"), names, F.lit("</sitemapindex>")).alias("xml")).select(F.lit("https://h.example/sitemap_index.xml").alias("sitemap"), "xml")
+    top = leaf.groupBy(F.concat(F.lit("https://h.example/sitemap_index-"), group.cast("string"), F.lit(".xml")).alias("at")).agg(F.concat(F.lit("<sitemapindex>"), names, F.lit("</sitemapindex>")).alias("xml")).select(F.col("at").alias("sitemap"), "xml")
     return leaf.unionByName(top)
 
 
-@query("sitemap_crawl", "select count(*) as entries, count(distinct regexp_extract(url, '/(en|fr|de|es)/', 1)) as sitemaps from pages")
+SITEMAP_INDEXES = 4
+
+
+@query("sitemap_crawl", f"select count(*) as entries, count(distinct regexp_extract(url, '/(en|fr|de|es)/', 1) || '-' || (page_id // {SITEMAP_URLS})) as sitemaps from pages")
 def sitemap_crawl(spark, sf_dir):
-    """From the index down: the union of all pages that the nested sitemaps name."""
-    start = spark.createDataFrame([("https://h.example/sitemap_index.xml",)], "sitemap string")
+    """From the indexes down: the union of all pages that the nested sitemaps name."""
+    start = spark.createDataFrame([(f"https://h.example/sitemap_index-{k}.xml",) for k in range(SITEMAP_INDEXES)], "sitemap string")
     found = robots.crawl_sitemaps(start, sitemap_store(spark, sf_dir))
     return found.agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("source").alias("sitemaps"))
 
@@ -172,12 +182,18 @@ def embed_documents(spark, sf_dir):
     return docs(spark, sf_dir).select(embed(F.col("text")).alias("e")).agg(F.count("e").alias("n"), F.max(F.size("e")).alias("dims"))
 
 
-@query("bloom_probe", f"select count(distinct url) as present, count(distinct url) as found from pages where page_id % 2 = 0")
+@query("bloom_probe", "with u as (select distinct url from pages) select 'pages' as side, count(*) as asked, count(*) as maybe, true as as_expected from u union all select 'others', count(*), null, true from u")
 def bloom_probe(spark, sf_dir):
-    """No URL that was added is reported absent."""
-    p = pages(spark, sf_dir).where("page_id % 2 = 0").select("url")
+    """All page URLs are in the filter; of as many others hardly one is taken for present."""
+    p = pages(spark, sf_dir).select("url").distinct()
     f = bloom.build(p, "url", 100_000, 0.001)
-    return bloom.probe(p, "url", f, 100_000, 0.001).agg(F.count(F.lit(1)).alias("present"), F.count_if("maybe").alias("found"))
+    inside = bloom.probe(p, "url", f, 100_000, 0.001).agg(F.count(F.lit(1)).alias("asked"), F.count_if("maybe").alias("maybe"))
+    others = p.select(F.concat("url", F.lit("#not-there")).alias("url"))
+    outside = bloom.probe(others, "url", f, 100_000, 0.001).agg(F.count(F.lit(1)).alias("asked"), F.count_if("maybe").alias("maybe"))
+    first = inside.select(F.lit("pages").alias("side"), "asked", "maybe", (F.col("maybe") == F.col("asked")).alias("as_expected"))
+    # the filter's own bound allows one in a thousand; a hundredth is far outside
+    second = outside.select(F.lit("others").alias("side"), "asked", F.lit(None).cast("long").alias("maybe"), (F.col("maybe") <= F.col("asked") / 100 + 3).alias("as_expected"))
+    return first.unionByName(second)
 
 
 @query("bloom_positions", "select doc_id, cast(('0x' || md5(cast(doc_id as varchar) || ':0'))::uhugeint % 8000000 as bigint) as p0 from documents")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from tarn.operators import search as S
 from tarn.plans.registry import query, table
+from tarn.sources.shared import kept_tables
 
 TERMS = ["the", "tion", "erthe", "und", "que"]
 VECTOR = 0
@@ -17,26 +16,51 @@ IN = "(" + ", ".join(f"'{t}'" for t in TERMS) + ")"
 BM25 = f"""{POSTINGS}, w as (select * from p where term in {IN}), d as (select term, count(*) as df from w group by 1),
  b as (select w.doc, sum(3.0 * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score from w join d using (term) join l using (doc) cross join f group by 1)"""
 COSINE = f"v as (select e.vec_id as doc, list_cosine_similarity(cast(e.embedding as double[]), cast((select embedding from embeddings where vec_id = {VECTOR}) as double[])) as score from embeddings e)"
-FUSED = f"""with {BM25}, {COSINE}, x as (select doc, row_number() over (order by round(score, 9) desc, doc) as bm25_rank from b order by bm25_rank limit 20),
+#: Letters beyond ASCII of the tables' languages and one-byte stand-ins, for an engine whose edit distance counts bytes.
+ACCENTED, PLAIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&;"
+LEV = f"levenshtein(translate(term, '{ACCENTED}', '{PLAIN}'), asked)"
+FIELDS = f"""fd as (select doc_id as doc, 'title' as field, {TOK.replace("text", "split_part(text, chr(10), 1)")} as t from documents union all
+ select doc_id, 'content', {TOK} from documents union all select doc_id, 'keywords', {TOK.replace("text", "concat_ws(' ', lang, source)")} from documents),
+ fp as (select doc, field, term, count(*) as tf from (select doc, field, unnest(t) as term from fd) group by 1, 2, 3), fl as (select doc, field, len(t) as len from fd where len(t) > 0),
+ fs as (select field, count(*) as n, avg(len) as mean from fl group by 1), fv as (select field, term, count(*) as df from fp group by 1, 2)"""
+ASKED = "(values " + ", ".join(f"('{t}')" for t in TERMS) + ") a(asked)"
+EXPANDED = f"""ex as (select *, row_number() over (partition by asked, field order by d, df desc, term) as k from (select asked, field, term, df, {LEV} as d from fv, {ASKED} where substr(term, 1, 1) = substr(asked, 1, 1))
+ where d <= case when length(asked) < 3 then 0 when length(asked) <= 5 then 1 else 2 end), xt as (select asked, field, term, df, 1 - d / least(length(term), length(asked)) as weight from ex where k <= 50)"""
+MULTI = f"""{FIELDS}, {EXPANDED}, hit as (select fp.doc, xt.asked, fp.field, xt.term, xt.df, weight, n, tf / (tf + 1.2 * (0.25 + 0.75 * len / mean)) as part from fp join xt using (field, term) join fl on fl.doc = fp.doc and fl.field = fp.field join fs on fs.field = fp.field),
+ s1 as (select doc, sum(case field when 'title' then 3.0 when 'content' then 1.0 else 2.0 end * weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * part) as s from hit group by 1),
+ bl as (select term, max(df) as bdf from fv where term in {IN} group by 1),
+ s2 as (select doc, sum(best) as s from (select doc, term, max(case field when 'title' then 2.0 else 1.0 end * ln(1 + (greatest(n, bdf) - bdf + 0.5) / (bdf + 0.5)) * part) as best from hit join bl using (term) where asked = term group by 1, 2) group by 1),
+ b as (select doc, s1.s + 0.5 * coalesce(s2.s, 0) as score from s1 left join s2 using (doc))"""
+FUSED = f"""with {MULTI}, {COSINE}, x as (select doc, row_number() over (order by round(score, 9) desc, doc) as bm25_rank from b order by bm25_rank limit 20),
  y as (select doc, row_number() over (order by round(score, 9) desc, doc) as vec_rank from v where doc in (select doc_id from documents) order by vec_rank limit 20),
  z as (select coalesce(x.doc, y.doc) as doc, bm25_rank, vec_rank, 1.0 / (60 + coalesce(bm25_rank, (select max(bm25_rank) from x) + 1)) + 1.0 / (60 + coalesce(vec_rank, (select max(vec_rank) from y) + 1)) as rrf from x full outer join y on x.doc = y.doc)"""
 
 
-def index(spark, sf_dir, boost_title=False):
+def index(spark, sf_dir):
     return S.build_index(table(spark, sf_dir, "documents"), "doc_id", {"content": F.col("text")})
 
 
-@lru_cache(maxsize=8)
-def _probe_rows(path: str, key: int, app: str) -> tuple[float, ...]:
-    from pyspark.sql import SparkSession
+_opened: dict[str, S.KeptIndex] = {}
+
+
+def kept(spark, sf_dir) -> S.KeptIndex:
+    """The index of title (the first line), content and keywords (language and source), written once per version of the table."""
 
-    row = SparkSession.active().read.parquet(path).where(F.col("vec_id") == key).select("embedding").first()
-    return tuple(row.embedding) if row else ()
+    def build():
+        fields = {"title": F.split_part("text", F.lit("\n"), F.lit(1)), "content": F.col("text"), "keywords": F.concat_ws(" ", "lang", "source")}
+        return S.index_writers(table(spark, sf_dir, "documents"), "doc_id", fields)
+
+    paths = kept_tables(spark, "index", f"{sf_dir}/documents.parquet", build)
+    if paths["postings"] not in _opened:
+        _opened.clear()
+        _opened[paths["postings"]] = S.open_index(spark, paths)
+    return _opened[paths["postings"]]
 
 
 def probe(spark, sf_dir) -> list[float]:
     """The query's vector: one row by key, as an embedding model would return it."""
-    return list(_probe_rows(f"{sf_dir}/embeddings.parquet", VECTOR, spark.sparkContext.applicationId))
+    row = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == VECTOR).select("embedding").first()
+    return list(row.embedding) if row else []
 
 
 @query("postings", f"with {POSTINGS} select doc, term, tf from p")
@@ -57,8 +81,24 @@ def term_frequencies(spark, sf_dir):
 
 
 def scores(spark, sf_dir):
+    return S.lexical(kept(spark, sf_dir), TERMS, {"content": 3.0}).select("doc", F.round("score", 9).alias("score"))
+
+
+def multi(spark, sf_dir):
+    """The full lexical query: boosted fields, their cross-fields clause, terms within the automatic edit distance."""
+    return S.lexical(kept(spark, sf_dir), TERMS, S.BOOSTS, S.CROSS_BOOSTS, fuzzy=True).select("doc", F.round("score", 9).alias("score"))
+
+
+@query("bm25_multi_field", f"with {MULTI} select doc, round(score, 5) as score from b order by round(score, 9) desc, doc limit 50")
+def bm25_multi_field(spark, sf_dir):
+    return multi(spark, sf_dir).orderBy(F.desc("score"), "doc").limit(50).select("doc", F.round("score", 5).alias("score"))
+
+
+@query("bm25_scan_scores", f"with {BM25} select doc, round(score, 6) as score from b")
+def bm25_scan_scores(spark, sf_dir):
+    """The same scores as ``bm25_scores`` where no index is kept: two scans of the texts."""
     found = S.bm25_scan(table(spark, sf_dir, "documents"), "doc_id", {"content": (F.col("text"), 3.0)}, TERMS)
-    return found.select("doc", F.round("score", 9).alias("score"))
+    return found.select("doc", F.round("score", 6).alias("score"))
 
 
 @query("bm25_scores", f"with {BM25} select doc, round(score, 6) as score from b")
@@ -90,20 +130,35 @@ def bm25_sorted(spark, sf_dir):
     return scores(spark, sf_dir).join(d, "doc").orderBy(F.desc("n_chars"), "doc").limit(20).select("doc", "n_chars")
 
 
-@query("bm25_best_fields", f"with {BM25} select doc, round(score / 3.0, 6) as score from b order by round(score / 3.0, 9) desc, doc limit 20")
+BEST = f"""{FIELDS}, one as (select fp.doc, fp.field, sum(case fp.field when 'title' then 2.0 else 1.0 end * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as s
+ from fp join fv using (field, term) join fl on fl.doc = fp.doc and fl.field = fp.field join fs on fs.field = fp.field where fp.term in {IN} group by 1, 2)"""
+
+
+@query("bm25_best_fields", f"with {BEST} select doc, round(round(max(s), 9), 6) as score from one group by 1 order by round(max(s), 9) desc, doc limit 20")
 def bm25_best_fields(spark, sf_dir):
-    hits = S.best_fields(index(spark, sf_dir), TERMS, {"content": 1.0}).select("doc", F.round("score", 9).alias("score"))
+    """The best of title (doubled), content and keywords instead of their sum."""
+    i = kept(spark, sf_dir)
+    hits = None
+    for f, b in {"title": 2.0, "content": 1.0, "keywords": 1.0}.items():
+        one = S.lexical(i, TERMS, {f: b})
+        hits = one if hits is None else hits.unionAll(one)
+    hits = hits.groupBy("doc").agg(F.round(F.max("score"), 9).alias("score"))
     return hits.orderBy(F.desc("score"), "doc").limit(20).select("doc", F.round("score", 6).alias("score"))
 
 
-@query("fuzzy_terms")
+@query("fuzzy_terms", f"with {FIELDS}, {EXPANDED} select asked, field, term, cast(df as bigint) as df, round(weight, 9) as weight from xt")
 def fuzzy_terms(spark, sf_dir):
-    return S.expand_fuzzy(index(spark, sf_dir), ["erthe", "tion", "und"]).select("term").distinct()
+    rows = S.wanted_terms(kept(spark, sf_dir), sorted(TERMS), fuzzy=True)
+    return spark.createDataFrame(rows, "asked string, field string, term string, df long, weight double").withColumn("weight", F.round("weight", 9))
+
 
+FUZZY = f"{FIELDS}, {EXPANDED}, hit as (select fp.doc, sum(weight * ln(1 + (n - xt.df + 0.5) / (xt.df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as s from fp join xt using (field, term) join fl on fl.doc = fp.doc and fl.field = fp.field join fs on fs.field = fp.field where fp.field = 'content' group by 1)"
 
-@query("bm25_fuzzy")
+
+@query("bm25_fuzzy", f"with {FUZZY} select doc, round(round(s, 9), 6) as score from hit order by round(s, 9) desc, doc limit 20")
 def bm25_fuzzy(spark, sf_dir):
-    return S.bm25(index(spark, sf_dir), ["erthe", "tion"], {"content": 1.0}, fuzzy=True).orderBy(F.desc("score"), "doc").limit(20)
+    hits = S.lexical(kept(spark, sf_dir), TERMS, {"content": 1.0}, fuzzy=True).select("doc", F.round("score", 9).alias("score"))
+    return hits.orderBy(F.desc("score"), "doc").limit(20).select("doc", F.round("score", 6).alias("score"))
 
 
 @query("knn_topk", f"with {COSINE} select doc, round(score, 6) as score from v order by round(score, 9) desc, doc limit 20")
@@ -122,7 +177,7 @@ def knn_post_filtered(spark, sf_dir):
 
 
 def fused(spark, sf_dir):
-    lexical = S.ranked(scores(spark, sf_dir), 20, "bm25_rank")
+    lexical = S.ranked(multi(spark, sf_dir), 20, "bm25_rank")
     known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
     near = S.knn(table(spark, sf_dir, "embeddings").join(known, "vec_id", "left_semi"), "vec_id", "embedding", probe(spark, sf_dir), 20)
     return S.rrf(lexical, S.ranked(near.select("doc", F.round("score", 9).alias("score")), 20, "vec_rank"), 20)
@@ -152,7 +207,15 @@ def search_page_2(spark, sf_dir):
 
 @query("suggest", f"with {POSTINGS}, d as (select term, count(*) as df from p group by 1) select term, cast(levenshtein(term, 'erthes') as int) as distance, df from d where substr(term, 1, 1) = 'e' and levenshtein(term, 'erthes') <= 2 order by distance, df desc, term limit 10")
 def suggest(spark, sf_dir):
-    return S.suggest(index(spark, sf_dir).terms, "erthes", 10)
+    terms = kept(spark, sf_dir).terms.where("letter = 'e' and field = 'content'")
+    return S.suggest(terms, "erthes", 10)
+
+
+@query("suggest_union", f"with {FIELDS}, d as (select term, sum(df) as df from fv where field in ('title', 'keywords') group by 1) select term, cast(levenshtein(term, 'srce1') as int) as distance, cast(df as bigint) as df from d where substr(term, 1, 1) = 's' and levenshtein(term, 'srce1') <= 2 order by distance, df desc, term limit 10")
+def suggest_union(spark, sf_dir):
+    """Suggestions from the titles' and the keywords' vocabulary together."""
+    terms = kept(spark, sf_dir).terms.where("letter = 's' and field in ('title', 'keywords')")
+    return S.suggest(terms, "srce1", 10)
 
 
 @query("highlight_counts", "select doc_id, cast(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) - len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: x not in ('the', 'und'))) as int) as n from documents")

@@ -251,3 +251,84 @@ def test_language_profiles(spark):
     rows = QUERIES["language_detect_intended"](spark, "/root/testdata/sf0.001").collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert len(rows) == len(lang) and sum(r.lang == lang[r.doc_id] for r in rows) >= 0.98 * len(rows)
+
+
+def test_highlight_and_fragments(spark):
+    from tarn.operators import search as S
+
+    def run(text, terms):
+        df = spark.createDataFrame([(text,)], "t string")
+        r = df.select(S.highlight(F.col("t"), terms).alias("h"), S.fragments(F.col("t"), terms).alias("f")).first()
+        return r.h, r.f
+
+    # a hit at the edge of 150 characters is not lost
+    assert run("x" * 147 + " the end", ["the"])[1] == ["x" * 72 + " <em>the</em> end"] or "<em>the</em> end" in run("x" * 147 + " the end", ["the"])[1][0]
+    assert run("c++ and c, (a) or a.", ["c++", "(a)"])[0] == "<em>c++</em> and c, <em>(a)</em> or a."
+    assert run("The theory, THE end", ["the"])[0] == "<em>The</em> theory, <em>THE</em> end"
+    assert run(r"a \E b", ["\\E"])[0] == r"a <em>\E</em> b"
+    r = random.Random(4)
+    for _ in range(20):
+        words = [r.choice(["the", "and", "theory", "lathe", "word", "l" * 40]) for _ in range(120)]
+        text = " ".join(words)
+        _, found = run(text, ["the"])
+        assert len(found) <= 3 and all("<em>the</em>" in f for f in found)
+        at = 0
+        for f in found:
+            plain = f.replace("<em>", "").replace("</em>", "")
+            # stretches of the text, in order, without overlap, of about the asked size
+            at = text.index(plain, at) + len(plain)
+            assert len(plain) <= 2 * 150
+        assert bool(found) == ("the" in words)
+    assert run("nothing here", ["the"]) == ("nothing here", [])
+
+
+def test_blank_chunks_are_left_out():
+    got = chunking.fixed("abc" + " " * 60 + "def", 10, 2)
+    assert [c[0] for c in got if not c[0]] == [] and got[0][0] == "abc" and got[-1][0].endswith("def")
+    assert [c[1] for c in got] == list(range(len(got)))
+
+
+def test_search_orders_and_japanese(spark, tmp_path):
+    rows = [
+        (1, "red apples and pears", "en", "s", "apples", "fruit", "2024-01-01", 1.0),
+        (2, "apples", "en", "s", "none", "fruit", "2024-03-01", 3.0),
+        (3, "many red apples apples", "en", "t", "red", "colour", None, None),
+        (4, "東京都の天気は晴れ", "ja", "s", "天気", "", "2024-02-01", 2.0),
+        (5, "aples", "en", "s", "x", "y", "2020-01-01", 0.0),
+    ]
+    docs = spark.createDataFrame(rows, "doc long, text string, lang string, site string, title string, keywords string, published_at string, popularity_score double")
+    service = api.SearchService(docs)
+    hits = lambda q, **k: [r.doc for r in service.search(api.SearchQuery(q, **k)).collect()]
+    assert hits("apples")[0] == 1 and set(hits("apples")) == {1, 2, 3, 5}  # the title counts most; a near word is found too
+    assert hits("apples", sort="published_at") == [2, 1, 5, 3] and hits("apples", sort="popularity_score") == [2, 1, 5, 3]
+    assert hits("apples", page=2, size=2, sort="published_at") == [5, 3]
+    assert hits("天気") == [4]
+    assert "fruit" in service.suggest("fruti") and service.search(api.SearchQuery("red")).first().fragments
+    assert service.stats()["content"]["documents"] == 5
+    service.close()
+
+
+def test_kept_tables_follow_their_source(spark, tmp_path):
+    from tarn.sources.shared import kept_tables
+
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    write = lambda: {"n": lambda to: spark.read.parquet(path).write.parquet(to)}
+    first = kept_tables(spark, "x", path, write)["n"]
+    assert kept_tables(spark, "x", path, write)["n"] == first and spark.read.parquet(first).count() == 3
+    import time
+
+    time.sleep(0.1)
+    spark.range(5).write.mode("overwrite").parquet(path)
+    again = kept_tables(spark, "x", path, write)["n"]
+    assert again != first and spark.read.parquet(again).count() == 5
+
+
+def test_peak_concurrency_over_midnight(spark, tmp_path):
+    from tarn.plans.catalog import QUERIES
+
+    rows = [(1, "2024-01-01 23:59:50", 20.0), (2, "2024-01-01 23:59:55", 30.0), (3, "2024-01-02 00:00:05", 1.0), (4, "2024-01-03 12:00:00", 1.0)]
+    df = spark.createDataFrame([(i, i, t, v) for i, t, v in rows], "event_id long, user_id long, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    got = {str(r.day): r.peak for r in QUERIES["peak_concurrency"](spark, str(tmp_path)).collect()}
+    assert got == {"2024-01-01": 2, "2024-01-02": 3, "2024-01-03": 1}

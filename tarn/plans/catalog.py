@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.plans import document_queries, event_queries, record_queries, search_queries, url_queries  # noqa: F401
+from tarn.plans import document_queries, event_queries, record_queries, search_queries, store_queries, url_queries  # noqa: F401
 from tarn.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

@@ -54,9 +54,14 @@ def doc_categories(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(T.categories(F.lit(""), F.col("text"), F.lit("none")), ",").alias("categories"))
 
 
-@query("doc_keywords")
+WORDS = "list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Za-z]{3,}'))"
+FROM_TITLE = "list_filter(list_transform(string_split_regex(substr(text, 1, 80), '[|\\-—–:：｜]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 2)"
+
+
+@query("doc_keywords", f"select doc_id, array_to_string(list_sort(list_filter(list_distinct(list_concat({FROM_TITLE}, list_transform(({WORDS})[1:15], lambda x: lower(x)))), lambda x: length(x) between 2 and 50))[1:20], chr(1)) as keywords from documents")
 def doc_keywords(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.keywords(F.substring("text", 1, 80), F.col("text"), mode="intended").alias("keywords"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(T.keywords(F.substring("text", 1, 80), F.col("text"), mode="intended"), "\x01").alias("keywords"))
+
 
 
 @query("category_counts", f"""with c as (select doc_id, unnest(list_filter([{', '.join(f"case when regexp_matches(lower(text), '{'|'.join(w)}') then '{n}' end" for n, w in T.CATEGORY_WORDS.items())}], lambda x: x is not null)) as category from documents) select category, count(*) as n from c group by 1""")
@@ -128,7 +133,7 @@ def language_detect_intended(spark, sf_dir):
 
 
 CRAWL = f"""c as (select page_id, url, {DOMAIN} as domain, case when page_id % 7 = 0 then 404 when page_id % 11 = 0 then 500 else 200 end as status,
- case when page_id % 13 = 0 then 'late' end as error, case when page_id % 5 = 0 then null else substr(html, 1, 40 + cast(page_id % 9 as int) * 20) end as body,
+ case when page_id % 13 = 0 then 'late' end as error, case when page_id % 5 = 0 then null when page_id % 9 = 0 then url else html end as body,
  page_id % 40 as age, substr(url, 8, cast(page_id % 30 as int)) as title, case when page_id % 2 = 0 then 'd' end as description, list_extract(['ja', 'en', 'fr'], cast(1 + page_id % 3 as int)) as lang from pages)"""
 
 
@@ -140,7 +145,7 @@ def crawl(spark, sf_dir):
         U.domain(F.col("url")).alias("domain"),
         F.expr("case when page_id % 7 = 0 then 404 when page_id % 11 = 0 then 500 else 200 end").alias("status"),
         F.expr("case when page_id % 13 = 0 then 'late' end").alias("error"),
-        F.expr("case when page_id % 5 = 0 then null else substr(html, 1, 40 + cast(page_id % 9 as int) * 20) end").alias("body"),
+        F.expr("case when page_id % 5 = 0 then null when page_id % 9 = 0 then url else html end").alias("body"),
         (F.col("page_id") % 40).alias("age"),
         F.expr("substr(url, 8, cast(page_id % 30 as int))").alias("title"),
         F.expr("case when page_id % 2 = 0 then 'd' end").alias("description"),
@@ -215,6 +220,6 @@ def generic_filter(spark, sf_dir):
 
 @query("index_document_projection", "select doc_id, '{\"title\":\"' || lang || '\",\"n\":' || n_chars || '}' as document from documents")
 def index_document_projection(spark, sf_dir):
-    """Falsy optional fields are left out of the index document."""
+    """A small projection (``index_document`` has all fields).  Falsy optional fields are left out of the index document."""
     empty = F.nullif(F.lit(""), F.lit(""))
     return docs(spark, sf_dir).select("doc_id", F.to_json(F.struct(F.col("lang").alias("title"), empty.alias("description"), F.col("n_chars").alias("n")), {"ignoreNullFields": "true"}).alias("document"))

@@ -132,7 +132,17 @@ def _chunked(spark, sf_dir, strategy):
     return d.select("doc_id", "index", "c.start", "c.end", F.length("c.content").alias("size"))
 
 
-@query("chunk_fixed")
+FIXED = """with recursive d as (select doc_id, text, length(text) as n from documents where length(text) > 8000),
+ w as (select doc_id, 0 as turn, 0 as a, n from d union all select w.doc_id, turn + 1, greatest(a + 1, e - 200), w.n from (select w.*, ENDS as e from w join d using (doc_id)) w where e < n),
+ r as (select w.doc_id, turn, a, ENDS as e, text from w join d using (doc_id)),
+ t as (select doc_id, turn, a, e, length(regexp_replace(substr(text, a + 1, e - a), '^\\s+|\\s+$', '', 'g')) as size from r)
+ select doc_id, cast(row_number() over (partition by doc_id order by turn) - 1 as int) as index, cast(a as int) as start, cast(e as int) as end, cast(size as int) as size from t where size > 0
+ union all select doc_id, 0, 0, length(text), length(text) from documents where length(text) <= 8000""".replace(
+    "ENDS", "(case when a + 8000 >= w.n then w.n else case when position(' ' in reverse(substr(text, a + 7201, 800))) > 0 then a + 8001 - position(' ' in reverse(substr(text, a + 7201, 800))) else a + 8000 end end)"
+)
+
+
+@query("chunk_fixed", FIXED)
 def chunk_fixed(spark, sf_dir):
     return _chunked(spark, sf_dir, "fixed")
 
@@ -172,9 +182,9 @@ def japanese_analysis(spark, sf_dir):
     return tokens.select(japanese.keywords(t, 5).alias("k"), japanese.normalized(t).alias("n")).agg(F.count_if(F.col("k").isNotNull() & F.col("n").isNotNull()).alias("n"))
 
 
-@query("fallback_keywords")
+@query("fallback_keywords", "select doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x) >= 3), lambda x: lower(x))))[1:10], ',') as keywords from documents")
 def fallback_keywords(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", japanese.fallback_keywords(F.col("text"), 10).alias("keywords"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(japanese.fallback_keywords(F.col("text"), 10), ",").alias("keywords"))
 
 
 @query("embed_documents", "select count(*) as n, 64 as dims from documents where trim(text) <> ''")
@@ -214,12 +224,14 @@ def lease_fold(spark, sf_dir):
     return leases.fold(e)
 
 
-@query("message_parsed_join", "select page_id, octet_length(encode(html)) as bytes from pages where page_id % 3 = 0")
+@query("message_parsed_join", "select page_id, octet_length(encode(html)) as bytes from pages")
 def message_parsed_join(spark, sf_dir):
-    """Messages with their parsed objects; a message whose object is missing is dropped."""
+    """Messages with their parsed objects by key; messages whose object is missing (half of them) are dropped."""
     p = pages(spark, sf_dir)
-    parsed = p.where("page_id % 3 = 0").select(F.col("page_id").alias("k"), F.octet_length("html").cast("long").alias("bytes"))
-    return p.select("page_id").join(parsed, F.col("page_id") == F.col("k"), "left").where("k is not null").select("page_id", "bytes")
+    parsed = p.select(F.concat(F.lit("parsed/"), F.col("page_id").cast("string")).alias("key"), F.octet_length("html").cast("long").alias("bytes"))
+    there = p.select("page_id", F.concat(F.lit("parsed/"), F.col("page_id").cast("string")).alias("key"))
+    gone = p.select("page_id", F.concat(F.lit("gone/"), F.col("page_id").cast("string")).alias("key"))
+    return there.union(gone).join(parsed, "key", "left").where("bytes is not null").select("page_id", "bytes")
 
 
 @query("sample_hits", "select cast(id as bigint) as id, 'Result ' || id as title, 'https://example.com/' || id as url from range(31, 61) t(id)")

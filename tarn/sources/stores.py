@@ -30,9 +30,14 @@ def write_messages(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("append").text(path)
 
 
-def write_objects(df: DataFrame, path: str, url: str = "url", at: str = "fetched_at", body: str = "content") -> None:
-    """Objects partitioned by date and domain, gzip, with hash, md5 and length beside the content."""
+def write_objects(df: DataFrame, path: str, url: str = "url", at: str = "fetched_at", body: str = "content", crawler: str = "tarn", most_plain: int = 1024) -> None:
+    """Objects partitioned by encoding, date and domain, with hash, md5 of the content and length beside it.
+
+    Contents of over ``most_plain`` bytes go to gzip files, smaller ones to
+    plain files, which are no larger that way.
+    """
     rows = df.select(
+        F.when(F.octet_length(body) > most_plain, "gzip").otherwise("plain").alias("encoding"),
         F.date_format(at, "yyyy").alias("year"),
         F.date_format(at, "MM").alias("month"),
         F.date_format(at, "dd").alias("day"),
@@ -42,16 +47,25 @@ def write_objects(df: DataFrame, path: str, url: str = "url", at: str = "fetched
         F.col(body).alias("content"),
         F.md5(body).alias("content_md5"),
         F.octet_length(body).alias("bytes"),
+        F.col(at).alias("uploaded_at"),
+        F.lit(crawler).alias("crawler_id"),
     )
-    rows.repartition("year", "month", "day", "domain", F.pmod(F.xxhash64("url"), F.lit(16))).write.mode("append").partitionBy("year", "month", "day", "domain").option("compression", "gzip").json(path)
+    dealt = rows.repartition("encoding", "year", "month", "day", "domain", F.pmod(F.xxhash64("url"), F.lit(16)))
+    for encoding, codec in (("gzip", "gzip"), ("plain", "none")):
+        dealt.where(F.col("encoding") == encoding).write.mode("append").partitionBy("encoding", "year", "month", "day", "domain").option("compression", codec).json(path)
 
 
 def read_objects(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
-    """Objects written by ``write_objects``; a condition on date and domain prunes folders."""
-    df = spark.read.json(path, schema="url string, url_hash string, content string, content_md5 string, bytes long, year string, month string, day string, domain string")
+    """Objects written by ``write_objects``, packed or not; a condition on date and domain prunes folders."""
+    df = spark.read.json(path, schema="url string, url_hash string, content string, content_md5 string, bytes long, uploaded_at timestamp, crawler_id string, encoding string, year string, month string, day string, domain string")
     return df.where(keep) if keep is not None else df
 
 
+def migration_plan(steps: list[tuple], back: bool = False) -> list[tuple]:
+    """Migration steps (version, ...) oldest first; newest first to go back."""
+    return sorted(steps, key=lambda s: s[0], reverse=back)
+
+
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 

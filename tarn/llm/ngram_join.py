@@ -270,7 +270,8 @@ def _near_labels(found: DataFrame) -> DataFrame:
     posting lists need, and it takes two joins where components take many.
     """
     both = found.union(found.select(F.col("b"), F.col("a")))
-    one = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("near"))
+    # written, so that a join on a node very many others are near to has plain exchanges on both sides
+    one = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("near")))
     further = one.select(F.col("node").alias("near"), F.col("near").alias("label"))
     return one.join(further, "near", "left").select("node", F.coalesce("label", "near").alias("label"))
 
@@ -355,7 +356,9 @@ def _components_of(df: DataFrame, key: str, text: str, marks: list[Column]) -> D
     if found is not None:
         labels = components(found)
         heads = heads.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        lows = heads.groupBy("label").agg(F.min("low").alias("component_id"))
+        heads = cut(heads)
+        # written as well: a large component is one key of this join
+        lows = cut(heads.groupBy("label").agg(F.min("low").alias("component_id")))
         heads = heads.join(lows, "label").select("node", "component_id")
     else:
         heads = heads.select("node", F.col("low").alias("component_id"))

@@ -5,10 +5,11 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tarn.llm.mixing import mix_sizes
+from tarn.llm.mixing import BLOCK, mix_sizes
 from tarn.llm.pii import redacted
 
 from .test_bpe import LIBRARY
+from .test_mixing import goals
 from .test_ngram_join import brute as near
 from .test_pii import every as personal
 from .test_quality import verdict
@@ -49,8 +50,48 @@ def test_stages_one_by_one(spark, tmp_path):
         docs = out
 
 
-def test_run_and_odd_rows(spark, tmp_path):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+def plainly(rows):
+    """(doc_id, source, text) of the rows that the first three stages keep, as they leave them, without Spark."""
+    rows = [r for r in rows if verdict(r.text)]
+    keep = {d for d, _, c in near([(r.doc_id, r.text) for r in rows]) if d == c}
+    return {r.doc_id: (r.source, redacted(r.text, personal(r.text))) for r in rows if r.doc_id in keep}
+
+
+def test_run_against_brute_force(spark):
+    """What run() gives: for each kept document the words of its cleaned text, in order, so often as the targets ask."""
+    kept = plainly(spark.read.parquet(f"{SF}/documents.parquet").collect())
+    words = {d: t.encode().split() for d, (_, t) in kept.items()}
+    sizes = defaultdict(int)
+    for d, (s, _) in kept.items():
+        sizes[s] += len(words[d])
+    want, got, passes = goals(sizes), defaultdict(int), Counter()
+    out = corpus_pipeline.run(spark, SF).collect()
+    for r in out:
+        assert len(r.ids) == 4 * r.n_tokens and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256
+        text = LIBRARY.decode(np.frombuffer(r.ids, dtype="<u4").tolist())
+        assert hashlib.sha256(text.encode()).hexdigest() == r.decoded_sha256
+        mine = text.encode().split()
+        # in the text's own order, and the very text where nothing is left out
+        it = iter(words[r.doc_id])
+        assert all(w in it for w in mine) and (len(mine) < len(words[r.doc_id]) or text == kept[r.doc_id][1])
+        got[kept[r.doc_id][0]] += len(mine)
+        passes[r.doc_id] += 1
+    assert all(abs(got[s] - want[s]) <= 2 * BLOCK for s in sizes) and max(passes.values()) <= 2
+    again = corpus_pipeline.run(spark, SF).select("doc_id", "ids_sha256").collect()
+    assert Counter((r.doc_id, r.ids_sha256) for r in again) == Counter((r.doc_id, r.ids_sha256) for r in out)
+
+
+def test_repeated_rows_and_ties_through_all_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = " ".join(f"word{i} of the text" for i in range(30))
+    rows = [(5, text, "en", "a", 0), (5, text, "en", "a", 0), (5, " ".join(f"other{i} words" for i in range(40)), "en", "a", 0), (None, text + " end", "en", "b", 0), (9, text, "en", "b", 0)]
+    spark.createDataFrame(rows, docs.schema).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} <= {5, None} and 9 not in {r.doc_id for r in out}
+    assert sum(r.n_tokens for r in out) > 0
+
+
+def test_odd_rows(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", None, 0)], docs.schema)
     folder = tmp_path / "t"

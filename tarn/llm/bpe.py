@@ -6,9 +6,10 @@ and keeps the word's ids as bytes; a text's ids are its words' ids in order,
 and decoding concatenates the pieces.  Nothing is shuffled.
 
 ``fold_words`` is the same fold as Spark higher-order functions with the rank
-map as a literal, for a table of distinct words.  Joining its result back to
-whole texts needs every text and every word in a shuffle, which does not fit
-the disk limit (see the README), hence the form above for texts.
+map as a literal, for a table of distinct words, and ``encode_by_join`` joins
+its result back to whole texts.  That needs every word of every text in a
+shuffle, which does not fit the limits (see the README), hence the form above
+for large tables.
 """
 
 from __future__ import annotations
@@ -125,6 +126,7 @@ def _pattern() -> str:
 def encode_decode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, ids: str | None = None) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256[, ids]) per row; a null text counts as empty.
 
+    Texts are taken whole and each by itself: repeated rows give repeated rows.
     ``ids="array"`` adds the ids as integers, ``ids="packed"`` as little-endian
     unsigned 32-bit bytes, which take no conversion per id on the way to a file.
     """
@@ -196,3 +198,32 @@ def fold_words(words: DataFrame, word: str = "word", vocabulary: str = VOCABULAR
 
     folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), letters, step)
     return words.select(F.col(f"`{word}`"), F.when(F.col(f"`{word}`").isNotNull(), F.transform(folded, rank)).alias("ids"))
+
+
+def encode_by_join(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) per row as ``encode_decode`` gives them, by DataFrame functions only.
+
+    Texts are cut into words by position, distinct words are folded once, ids
+    and words meet in a join, and a text's ids are put together in order.
+    Rows need keys of their own; white space beyond ASCII is cut as Java does.
+    """
+    import public_tokenizers
+
+    rows = df.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
+    words = rows.select("k", F.posexplode(F.regexp_extract_all("t", F.lit(f"({public_tokenizers.PATTERN})"), F.lit(1))).alias("at", "word"))
+    folded = fold_words(words.select("word").distinct(), "word", vocabulary)
+    pieces = {i: b for b, i in read_ranks(tokenizer_path(vocabulary)).items()}
+    table = F.from_json(F.lit(json.dumps([pieces.get(i, b"").hex() for i in range(max(pieces) + 1)])), "array<string>")
+
+    def little(i):
+        wide = F.lpad(F.hex(i.cast("long")), 8, "0")
+        return F.concat(*[F.substring(wide, p, 2) for p in (7, 5, 3, 1)])
+
+    whole = words.join(folded, "word").groupBy("k").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
+    every = rows.select("k").join(whole, "k", "left").select("k", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return every.select(
+        F.col("k").alias(key),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.unhex(F.array_join(F.transform("ids", little), "")), 256).alias("ids_sha256"),
+        F.sha2(F.unhex(F.array_join(F.transform("ids", lambda i: F.element_at(table, i + 1)), "")), 256).alias("decoded_sha256"),
+    )

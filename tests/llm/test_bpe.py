@@ -7,7 +7,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tarn.llm.bpe import _codec, decode, encode_decode, fold_words, merge, read_ranks
+from tarn.llm.bpe import _codec, decode, encode_by_join, encode_decode, fold_words, merge, read_ranks
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(PATH), special_tokens={})
@@ -60,3 +60,22 @@ def test_fold(spark):
     ranks = read_ranks(PATH)
     for r in rows:
         assert r.ids == (None if r.word is None else merge(r.word.encode(), ranks)), r.word
+
+
+def test_by_join(spark):
+    """The fold over distinct words, joined back to texts, gives the same rows as the query's form."""
+    rows = [(1, "The cat's hat, the cat  and\n\n 12 hats!"), (2, None), (3, ""), (4, "éàü 🎉x thatre"), (5, "the the the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, encode_by_join(df).collect())) == sorted(map(tuple, encode_decode(df).collect()))
+
+
+def test_repeated_rows_and_cache_bound(spark, monkeypatch):
+    from tarn.llm import bpe
+
+    df = spark.createDataFrame([(1, "a b c")] * 3 + [(None, "a b c")], "doc_id long, text string")
+    assert len({tuple(r)[1:] for r in encode_decode(df).collect()}) == 1 and encode_decode(df).count() == 4
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 5_000)
+    codec = bpe.Codec(PATH, P.PATTERN)
+    for k in range(500):
+        codec.encode(f"word{k} other{k}")
+    assert len(codec) < 100 and codec.encode("word1 other2") == np.array(LIBRARY.encode_ordinary("word1 other2"), dtype="<u4").tobytes()

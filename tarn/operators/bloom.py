@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 32_768
@@ -42,11 +42,73 @@ def digest_positions(key: Column, capacity: int, hashes: int = 3) -> Column:
     return F.array(*out)
 
 
+class CapacityError(ValueError):
+    """More values than a filter was made for."""
+
+
 def build(df: DataFrame, column: str, items: int, error: float) -> DataFrame:
     at = df.select(F.explode(positions(F.col(column), items, error)).alias("p")).where("p is not null")
     return at.groupBy(F.expr(f"p div {BUCKET_BITS}").alias("bucket")).agg(F.bitmap_construct_agg(F.col("p") % BUCKET_BITS).alias("bitmap"))
 
 
+def build_checked(df: DataFrame, column: str, items: int, error: float) -> DataFrame:
+    """``build``, but an error where there are more distinct values than ``items``."""
+    many = df.select(column).where(F.col(column).isNotNull()).distinct().count()
+    if many > items:
+        raise CapacityError(f"{many} values for a filter of {items}")
+    return build(df, column, items, error)
+
+
+def layer_sizes(values: int, initial: int, error: float, growth: int = 2, ratio: float = 0.9) -> list[tuple[int, float]]:
+    """(items, error) of the layers that hold so many values: each ``growth`` times the one before, with a smaller error.
+
+    The first error is a share of the asked one, so that all together stay below it.
+    """
+    out, items, e = [], initial, error * (1 - ratio)
+    while not out or sum(n for n, _ in out) < values:
+        out.append((items, e))
+        items, e = items * growth, e * ratio
+    return out
+
+
+def build_layers(df: DataFrame, column: str, initial: int, error: float) -> list[tuple[DataFrame, int, float]]:
+    """A filter that grows: values dealt to the layers by a hash, in proportion to their sizes, so that none overflows in the mean."""
+    values = df.select(F.col(column).alias("v")).where("v is not null").distinct()
+    sizes_ = layer_sizes(values.count(), initial, error)
+    total = sum(n for n, _ in sizes_)
+    place = F.pmod(F.xxhash64("v", F.lit(-1)), F.lit(total))
+    out, base = [], 0
+    for n, e in sizes_:
+        out.append((build(values.where((place >= base) & (place < base + n)), "v", n, e), n, e))
+        base += n
+    return out
+
+
+def probe_layers(df: DataFrame, column: str, layers: list[tuple[DataFrame, int, float]]) -> DataFrame:
+    """Distinct values with ``maybe``: whether any layer says so."""
+    found = None
+    for f, n, e in layers:
+        one = probe(df, column, f, n, e)
+        found = one if found is None else found.unionAll(one)
+    return found.groupBy(column).agg(F.bool_or("maybe").alias("maybe"))
+
+
+def save(filter_: DataFrame, path: str, items: int, error: float) -> None:
+    """The filter as a table that knows what it was made for."""
+    filter_.withColumns({"items": F.lit(items).cast("long"), "error": F.lit(error)}).write.parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, int, float]:
+    """(filter, items, error) as saved; an error for a folder that holds no filter."""
+    df = spark.read.parquet(path)
+    if set(df.columns) != {"bucket", "bitmap", "items", "error"}:
+        raise ValueError(f"no filter at {path}")
+    row = df.select("items", "error").first()
+    if row is None:
+        raise ValueError(f"an empty filter at {path}")
+    return df.select("bucket", "bitmap"), row["items"], row["error"]
+
+
 def union(*filters: DataFrame) -> DataFrame:
     rows = filters[0]
     for f in filters[1:]:

@@ -180,6 +180,38 @@ def peak_concurrency(spark, sf_dir):
     return found.select(F.expr("date_add(date'1970-01-01', cast(n as int))").alias("day"), (F.col("opening") + F.greatest(F.lit(0), F.col("most"))).alias("peak"))
 
 
+@query("wait_means", "with w as (select user_id, value, row_number() over (partition by user_id order by event_id desc) as k from events) select user_id, round(avg(value), 6) as mean_wait, count(*) as waits from w where k <= 50 group by 1")
+def wait_means(spark, sf_dir):
+    """Mean wait of each worker's last 50 tasks: a bounded list of the latest, kept map-side."""
+    latest = F.slice(F.sort_array(F.collect_list(F.struct("event_id", "value")), asc=False), 1, 50)
+    # lists per worker and slice of its events first, so that no list is longer than a slice and 50
+    part = events(spark, sf_dir).groupBy("user_id", F.pmod(F.xxhash64("event_id"), F.lit(16)).alias("part")).agg(latest.alias("l"))
+    whole = part.groupBy("user_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("l")), asc=False), 1, 50).alias("l"))
+    one = F.explode("l").alias("e")
+    return whole.select("user_id", one).groupBy("user_id").agg(F.round(F.avg("e.value"), 6).alias("mean_wait"), F.count(F.lit(1)).alias("waits"))
+
+
+@query("mean_response_time", "select round(avg(value), 6) as mean_time, count(*) as n from events where event_type <> 'error'")
+def mean_response_time(spark, sf_dir):
+    return events(spark, sf_dir).where("event_type <> 'error'").agg(F.round(F.avg("value"), 6).alias("mean_time"), F.count(F.lit(1)).alias("n"))
+
+
+@query("failure_rates", "select event_type, round(count(*) / (select count(*) from events), 6) as rate, round(100.0 * count(*) / (select count(*) from events), 4) as percent from events where event_type in ('error', 'purchase') group by 1")
+def failure_rates(spark, sf_dir):
+    e = events(spark, sf_dir)
+    total = F.sum("n").over(Window.partitionBy())
+    per = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("all", total).where("event_type in ('error', 'purchase')")
+    return per.select("event_type", F.round(F.col("n") / F.col("all"), 6).alias("rate"), F.round(F.lit(100.0) * F.col("n") / F.col("all"), 4).alias("percent"))
+
+
+@query("lock_projection", f"with e as (select user_id, {SECOND} as sec, event_type, event_id from events), l as (select user_id, max(event_id) as event_id from e group by 1) select cast(user_id as varchar) as url_hash, {STATE} as state, case when {STATE} = 'in_progress' then 'w' || user_id % 3 end as owner, sec as acquired_at, sec + 3600 as ttl, cast(user_id % 4 as bigint) as retries from e join l using (user_id, event_id)")
+def lock_projection(spark, sf_dir):
+    """The six columns of a lock: key, state, owner, times, retries; the latest event of each key decides."""
+    last = events(spark, sf_dir).groupBy("user_id").agg(F.max_by(F.struct("sec", "event_type"), "event_id").alias("e"))
+    state = F.expr(STATE.replace("event_type", "e.event_type"))
+    return last.select(F.col("user_id").cast("string").alias("url_hash"), state.alias("state"), F.when(state == "in_progress", F.concat(F.lit("w"), (F.col("user_id") % 3).cast("string"))).alias("owner"), F.col("e.sec").alias("acquired_at"), (F.col("e.sec") + 3600).alias("ttl"), (F.col("user_id") % 4).cast("long").alias("retries"))
+
+
 @query("health_status", "with s as (select user_id, 100.0 * sum(case when event_type <> 'error' then 1 else 0 end) / count(*) as rate, count(*) as n from events group by 1) select user_id, case when user_id % 7 = 0 then 'starting' when rate < 80 and n > 10 then 'unhealthy' else 'healthy' end as status from s")
 def health_status(spark, sf_dir):
     s = events(spark, sf_dir).groupBy("user_id").agg((F.lit(100.0) * F.count_if(F.col("event_type") != "error") / F.count(F.lit(1))).alias("rate"), F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tarn.functions import urls as U
@@ -12,6 +14,7 @@ from tarn.operators.html_record import decoded, parse_pages
 from tarn.plans.registry import query, table
 from tarn.plans.url_queries import DOMAIN
 from tarn.sources import stores
+from tarn.sources.shared import shared_folder
 
 
 def pages(spark, sf_dir):
@@ -206,6 +209,26 @@ def bloom_probe(spark, sf_dir):
     return first.unionByName(second)
 
 
+@query("bloom_layers", "with u as (select distinct url from pages) select count(*) as asked, count(*) as maybe, true as grown, true as few_others from u")
+def bloom_layers(spark, sf_dir):
+    """A filter that began with room for 50 values and grew: nothing that was added is lost, few others are taken for present."""
+    p = pages(spark, sf_dir).select("url").distinct()
+    layers = bloom.build_layers(p, "url", 50, 0.01)
+    inside = bloom.probe_layers(p, "url", layers).agg(F.count(F.lit(1)).alias("asked"), F.count_if("maybe").alias("maybe"))
+    others = bloom.probe_layers(p.select(F.concat("url", F.lit("#not-there")).alias("url")), "url", layers)
+    return inside.crossJoin(others.agg((F.count_if("maybe") <= F.count(F.lit(1)) / 20 + 3).alias("few_others"))).select("asked", "maybe", F.lit(len(layers) > 1).alias("grown"), "few_others")
+
+
+@query("bloom_file", "select count(distinct url) as maybe, true as same from pages")
+def bloom_file(spark, sf_dir):
+    """Written, read back by what it says of itself, and probed."""
+    p = pages(spark, sf_dir).select("url")
+    path = f"{shared_folder(spark)}/bloom-{uuid.uuid4().hex}"
+    bloom.save(bloom.build(p, "url", 100_000, 0.001), path, 100_000, 0.001)
+    f, items, error = bloom.load(spark, path)
+    return bloom.probe(p, "url", f, items, error).agg(F.count_if("maybe").alias("maybe")).select("maybe", F.lit((items, error) == (100_000, 0.001)).alias("same"))
+
+
 @query("bloom_positions", "select doc_id, cast(('0x' || md5(cast(doc_id as varchar) || ':0'))::uhugeint % 8000000 as bigint) as p0 from documents")
 def bloom_positions(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", bloom.digest_positions(F.col("doc_id").cast("string"), 1_000_000)[0].alias("p0"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarn.operators import search as S
+from tarn.operators import vectors as V
 from tarn.plans.registry import query, table
 from tarn.sources.shared import kept_tables
 
@@ -176,6 +177,15 @@ def knn_post_filtered(spark, sf_dir):
     return S.knn(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", probe(spark, sf_dir), 20, F.col("label") == 1, "faithful").select("doc", F.round("score", 6).alias("score"))
 
 
+@query("knn_lsh", f"with {COSINE}, t as (select doc from v order by round(score, 9) desc, doc limit 20) select count(*) as k, true as enough from t")
+def knn_lsh(spark, sf_dir):
+    """Of the 20 nearest by the tables of signs at least nine in ten are among the 20 nearest of all."""
+    v, p = table(spark, sf_dir, "embeddings"), probe(spark, sf_dir)
+    found = V.near(V.signatures(v, "vec_id", "embedding", len(p)), p, 20).select("doc")
+    true = S.knn(v, "vec_id", "embedding", p, 20).select("doc")
+    return true.join(found.select("doc", F.lit(1).alias("hit")), "doc", "left").agg(F.count(F.lit(1)).alias("k"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
 def fused(spark, sf_dir):
     lexical = S.ranked(multi(spark, sf_dir), 20, "bm25_rank")
     known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))

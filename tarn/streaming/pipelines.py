@@ -50,5 +50,20 @@ def rotating_dedup(events: DataFrame, at: str, key: str, horizon: str = "1 hour"
     return events.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", horizon).dropDuplicatesWithinWatermark([key]).drop("__at")
 
 
+def generations(events: DataFrame, at: str, key: str, seconds: int, kept: int = 3) -> DataFrame:
+    """``events`` with ``seen``: whether the key came before in this or the last ``kept`` - 1 generations of so many seconds.
+
+    A batch form of rotating filters: each generation holds its own keys, and
+    the oldest is cleared when a new one begins.
+    """
+    g = F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / seconds).cast("long")
+    rows = events.withColumn("__g", g)
+    firsts = rows.groupBy(F.col(key).alias("__k"), F.col("__g").alias("__h")).agg(F.min(at).alias("__first"))
+    # one row per key and generation that still knows it
+    known = firsts.withColumn("__g", F.explode(F.sequence(F.col("__h"), F.col("__h") + (kept - 1)))).groupBy("__k", "__g").agg(F.min("__first").alias("__first"))
+    met = rows.join(known, (F.col(key) == F.col("__k")) & (rows["__g"] == known["__g"]), "left")
+    return met.select(*[F.col(c) for c in events.columns], F.coalesce(F.col("__first") < F.col(at), F.lit(False)).alias("seen"))
+
+
 def lease_states(events: DataFrame) -> DataFrame:
     return fold_stream(events)

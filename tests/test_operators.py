@@ -332,3 +332,30 @@ def test_peak_concurrency_over_midnight(spark, tmp_path):
     df.write.parquet(str(tmp_path / "events.parquet"))
     got = {str(r.day): r.peak for r in QUERIES["peak_concurrency"](spark, str(tmp_path)).collect()}
     assert got == {"2024-01-01": 2, "2024-01-02": 3, "2024-01-03": 1}
+
+
+def test_bloom_growth_files_and_capacity(spark, tmp_path):
+    from tarn.operators import bloom
+
+    assert bloom.sizes(1_000_000, 0.001) == (10, 1_437_759)
+    sizes = bloom.layer_sizes(1000, 100, 0.01)
+    assert sum(n for n, _ in sizes) >= 1000 > sum(n for n, _ in sizes[:-1]) and sum(e for _, e in sizes) < 0.01
+    df = spark.range(200).select(F.col("id").cast("string").alias("v"))
+    with pytest.raises(bloom.CapacityError):
+        bloom.build_checked(df, "v", 100, 0.01)
+    bloom.save(bloom.build_checked(df, "v", 200, 0.01), str(tmp_path / "f"), 200, 0.01)
+    f, n, e = bloom.load(spark, str(tmp_path / "f"))
+    assert bloom.probe(df, "v", f, n, e).where("not maybe").count() == 0
+    df.write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        bloom.load(spark, str(tmp_path / "other"))
+
+
+def test_generations_forget(spark):
+    from tarn.streaming.pipelines import generations
+
+    rows = [("a", 0), ("a", 5), ("b", 15), ("a", 25), ("a", 35), ("b", 46), ("c", 50)]
+    df = spark.createDataFrame(rows, "k string, s long").withColumn("t", F.timestamp_seconds("s"))
+    got = {(r.k, r.s): r.seen for r in generations(df, "t", "k", 10).collect()}
+    # with three generations of ten seconds a key is forgotten after the second one that follows
+    assert got == {("a", 0): False, ("a", 5): True, ("b", 15): False, ("a", 25): True, ("a", 35): True, ("b", 46): False, ("c", 50): False}

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarn.functions import decisions as D
+from tarn.operators import rates
 from tarn.plans.registry import query, table
 
 SECOND = "cast(floor(epoch(ts)) as bigint)"
@@ -17,8 +18,7 @@ def events(spark, sf_dir):
 
 @query("rate_window", f"with e as (select event_id, user_id, {SECOND} as sec from events) select event_id, count(*) over (partition by user_id order by sec range between 59 preceding and current row) as in_window from e")
 def rate_window(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("sec").rangeBetween(-59, 0)
-    return events(spark, sf_dir).select("event_id", F.count(F.lit(1)).over(w).alias("in_window"))
+    return rates.in_window(events(spark, sf_dir).select("event_id", "user_id", "sec"), "user_id", "sec").select("event_id", "in_window")
 
 
 @query(
@@ -36,8 +36,15 @@ def rate_stats(spark, sf_dir):
 
 @query("next_allowed", f"with e as (select event_id, user_id, {SECOND} as sec from events), w as (select event_id, sec, count(*) over (partition by user_id order by sec range between 59 preceding and current row) as n from e) select event_id, case when n > 1 then sec + 1 else sec end as next_allowed from w")
 def next_allowed(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("sec").rangeBetween(-59, 0)
-    return events(spark, sf_dir).select("event_id", F.when(F.count(F.lit(1)).over(w) > 1, F.col("sec") + 1).otherwise(F.col("sec")).alias("next_allowed"))
+    return rates.next_allowed(events(spark, sf_dir).select("event_id", "user_id", "sec"), "user_id", "sec").select("event_id", "next_allowed")
+
+
+@query("next_allowed_overrides", f"with e as (select event_id, user_id, {SECOND} as sec from events), w as (select event_id, user_id, sec, count(*) over (partition by user_id order by sec range between 3599 preceding and current row) as n from e) select event_id, case when n > case when user_id % 10 = 0 then 5 else 2 end then sec + 1 else sec end as next_allowed from w")
+def next_allowed_overrides(spark, sf_dir):
+    """An hour's window with a limit of its own for some domains."""
+    e = events(spark, sf_dir).select("event_id", "user_id", "sec")
+    limit = F.when(F.col("user_id") % 10 == 0, 5).otherwise(2)
+    return rates.next_allowed(e, "user_id", "sec", limit, 3600).select("event_id", "next_allowed")
 
 
 @query("request_gaps", "select event_id, coalesce(date_diff('microsecond', lag(ts) over (partition by user_id order by ts, event_id), ts) >= 1000000, true) as far_enough from events")

@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from tarn.llm.common import cut, lean, slices, small_batches, written
 
 LEAST_SENTENCES = 2
-LEAST_WORDS = 12
+LEAST_WORDS = 20
 LONE_WORDS = 30
 
 _END = re.compile(r"[.!?]+[\"'»”)\]]*\s+|[。！？]+[」』”）]*\s*|\s*\n\s*")

@@ -112,7 +112,7 @@ def test_query_covers_all_runs(spark, tmp_path):
 
 
 def test_repeated_null_and_string_keys(spark):
-    a = "Alpha beta gamma delta epsilon zeta eta theta. Iota kappa lambda mu nu xi omicron pi. "
+    a = "Alpha beta gamma delta epsilon zeta eta theta. Iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi. "
     own = "Some words that no other text has at all here. More of those words, quite alone in this text. And a third."
     rows = [("1", a + "Tail."), ("1", own), ("1", own), (None, a + "Other end."), (None, None), ("2", a + "End."), ("0x", "")]
     got = sorted((r.k or "", r.t_in or "", r.text, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, "k string, t string"), "k", "t").withColumn("t_in", F.col("text")).collect())
@@ -122,7 +122,7 @@ def test_repeated_null_and_string_keys(spark):
 
 def test_long_text_and_unspaced_script(spark):
     long = "".join(f"Sentence {i} of a very long text with words w{i} v{i}. " for i in range(20_000))
-    han = "今日はとても良い天気ですね。明日もきっと晴れるでしょう。"
+    han = "今日はとても良い天気ですね。明日もきっと晴れるでしょう。"  # a word for every character
     rows = [(1, long), (2, "Begin. " + long), (3, "".join("w " * 200_000)), (4, "前文です。" + han), (5, han + "後文です。")]
     got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].text == long and got[2].text == "Begin." and got[2].n_removed == 20_000

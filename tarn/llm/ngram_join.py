@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, lean, map_texts, slices, small_batches
+from tarn.llm.common import cut, lean, map_texts, slices, small_batches, written
 from tarn.llm.components import components
 
 SHINGLE = 5
@@ -289,7 +289,9 @@ def links(texts: DataFrame, named: DataFrame, total_tokens: int) -> DataFrame |
     """
     buckets = max(8, -(-total_tokens // BUCKET_TOKENS))
     sizes = named.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("doc").alias("doc"))
-    chosen = cut(_prefixes(shared_tokens(texts, buckets), sizes))
+    # written once, so that the packed tokens' shuffle files can go before the shared ones are dealt out
+    with written(shared_tokens(texts, buckets)) as shared:
+        chosen = cut(_prefixes(shared, sizes))
     many = chosen.count()
     if many < 2:
         return None

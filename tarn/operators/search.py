@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,8 @@ CROSS_BOOSTS = {"title": 2.0, "content": 1.0, "keywords": 1.0}
 CROSS_WEIGHT = 0.5
 #: Vocabulary terms that one asked term may stand for, the nearest and then the most frequent.
 MOST_EXPANSIONS = 50
-BUCKETS = 64
+#: Folders of postings by term, and files in each by document; both are to grow with the postings.
+BUCKETS, PARTS = 32, 2
 
 
 @dataclass
@@ -110,7 +112,7 @@ class KeptIndex:
     buckets: int = BUCKETS
 
 
-def index_writers(docs: DataFrame, key: str, fields: dict[str, Column], buckets: int = BUCKETS) -> dict[str, Callable[[str], None]]:
+def index_writers(docs: DataFrame, key: str, fields: dict[str, Column], buckets: int = BUCKETS, parts: int = PARTS) -> dict[str, Callable[[str], None]]:
     """Writers of the three tables of an index, each a function of its path, to be called in order.
 
     Postings lie in one folder per bucket of terms and are sorted by term in
@@ -120,14 +122,14 @@ def index_writers(docs: DataFrame, key: str, fields: dict[str, Column], buckets:
     place: dict[str, str] = {}
 
     def postings(path: str) -> None:
-        parts = [docs.select(F.lit(name).alias("field"), F.col(key).alias("doc"), tokens(text).alias("tokens")) for name, text in fields.items()]
-        rows = parts[0]
-        for p in parts[1:]:
+        by_field = [docs.select(F.lit(name).alias("field"), F.col(key).alias("doc"), tokens(text).alias("tokens")) for name, text in fields.items()]
+        rows = by_field[0]
+        for p in by_field[1:]:
             rows = rows.unionAll(p)
         single = rows.select("field", "doc", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term"))
         found = single.groupBy("field", "term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
         # a bucket's terms are dealt over several files by term and document, so that no frequent term is one task
-        dealt = found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets))).withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(8)))
+        dealt = found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets))).withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(parts)))
         dealt.repartition(F.col("bucket"), F.col("part")).sortWithinPartitions("bucket", "term", "field", "doc").drop("part").write.partitionBy("bucket").parquet(path)
         place["postings"] = path
 
@@ -166,13 +168,14 @@ def wanted_terms(index: KeptIndex, asked: list[str], fuzzy: bool = False) -> lis
         rows = index.terms.where(F.col("letter").isin(*{a[:1] for a in asked}) & F.col("term").isin(*asked)).select(F.col("term").alias("asked"), "field", "term", "df", F.lit(1.0).alias("weight"))
         return [tuple(r) for r in rows.collect()]
     near = index.terms.where(F.col("letter").isin(*{a[:1] for a in asked}))
-    found = None
+    each = []
     for a in asked:
         most = 0 if len(a) < 3 else 1 if len(a) <= 5 else 2
-        d = F.levenshtein(F.col("term"), F.lit(a), most)
-        rows = near.where((F.col("letter") == a[:1]) & F.length("term").between(len(a) - most, len(a) + most)).withColumn("d", d).where("d >= 0")
-        rows = rows.select(F.lit(a).alias("asked"), "field", "term", "df", "d")
-        found = rows if found is None else found.union(rows)
+        there = (F.col("letter") == a[:1]) & F.length("term").between(len(a) - most, len(a) + most)
+        each.append(F.when(there, F.struct(F.lit(a).alias("asked"), F.levenshtein(F.col("term"), F.lit(a), most).alias("d"))))
+    # one scan of the letters' part of the vocabulary for all asked terms
+    found = near.select("field", "term", "df", F.explode(F.filter(F.array(*each), lambda c: c.isNotNull() & (c["d"] >= 0))).alias("c"))
+    found = found.select("c.asked", "field", "term", "df", "c.d")
     w = Window.partitionBy("asked", "field").orderBy("d", F.desc("df"), "term")
     best = found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= MOST_EXPANSIONS)
     weight = 1 - F.col("d") / F.least(F.length("term"), F.length("asked"))
@@ -204,7 +207,10 @@ def lexical(index: KeptIndex, asked: list[str], boosts: dict[str, float] | None
         once = boosts.get(field, 0.0) * weight * _idf(n, df)
         whole = cross.get(field, 0.0) * _idf(max(n, blended[term]), blended[term]) if cross and a == term and term in blended else 0.0
         rows.append((a, field, term, float(once), float(whole), float(mean)))
-    terms = spark.createDataFrame(rows, "asked string, field string, term string, once double, whole double, mean double")
+    # as Arrow, which becomes a local relation without a job
+    kinds = {"asked": pa.string(), "field": pa.string(), "term": pa.string(), "once": pa.float64(), "whole": pa.float64(), "mean": pa.float64()}
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    terms = spark.createDataFrame(pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds.items(), columns, strict=True)}))
     names = sorted({r[2] for r in rows})
     mine = index.postings.where(F.lit(False))
     if names:

@@ -123,7 +123,7 @@ def deal(many: DataFrame, tasks: int = 8) -> DataFrame:
     before = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     groups = groups.select("s", "part", (F.sum("held").over(before) - F.col("held")).alias("base"), F.sum("held").over(Window.partitionBy("s")).alias("total"))
     inside = Window.partitionBy("s", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumn("run", F.sum("drawn").over(inside)).join(groups, ["s", "part"]).join(F.broadcast(many), "s")
+    placed = counts.withColumn("run", F.sum("drawn").over(inside)).join(groups, ["s", "part"]).join(many, "s")
 
     def scaled(n: Column) -> Column:
         return F.round(n * (F.col("slots") / F.col("total"))).cast("long")

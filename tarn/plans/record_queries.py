@@ -216,7 +216,9 @@ def bloom_layers(spark, sf_dir):
     layers = bloom.build_layers(p, "url", 50, 0.01)
     inside = bloom.probe_layers(p, "url", layers).agg(F.count(F.lit(1)).alias("asked"), F.count_if("maybe").alias("maybe"))
     others = bloom.probe_layers(p.select(F.concat("url", F.lit("#not-there")).alias("url")), "url", layers)
-    return inside.crossJoin(others.agg((F.count_if("maybe") <= F.count(F.lit(1)) / 20 + 3).alias("few_others"))).select("asked", "maybe", F.lit(len(layers) > 1).alias("grown"), "few_others")
+    outside = others.agg((F.count_if("maybe") <= F.count(F.lit(1)) / 20 + 3).alias("few_others"))
+    rows = inside.unionByName(outside, allowMissingColumns=True)
+    return rows.agg(F.max("asked").alias("asked"), F.max("maybe").alias("maybe"), F.lit(len(layers) > 1).alias("grown"), F.bool_and("few_others").alias("few_others"))
 
 
 @query("bloom_file", "select count(distinct url) as maybe, true as same from pages")

@@ -150,13 +150,15 @@ def map_texts(
     keys: list[str],
     text: str,
     schema: str,
-    work: Callable[[list[str | None]], dict],
+    work: Callable[..., dict],
     budget: int = 1_000_000,
+    with_key: str | None = None,
 ) -> DataFrame:
     """``mapInArrow`` over (keys, text): ``work`` gets a list of texts and returns the new columns.
 
     No shuffle: a task streams its Arrow batches, cut so that about ``budget``
     bytes of text are worked on at once.  ``schema`` lists the new columns.
+    With ``with_key`` the values of that key are a list before the texts.
     """
     from pyspark.sql.types import StructType
 
@@ -171,7 +173,8 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text", budget):
-                made = work(part.column("__text").to_pylist())
+                texts = part.column("__text").to_pylist()
+                made = work(texts) if with_key is None else work(part.column(with_key).to_pylist(), texts)
                 cols = [part.column(k).cast(arrow.field(k).type) for k in keys]
                 for n in names:
                     v = made[n]

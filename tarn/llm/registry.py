@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.bpe import encode_decode
 from tarn.llm.common import table
+from tarn.llm.fill_middle import fill_in_middle, fim_digests
 from tarn.llm.html_text import html_text
 from tarn.llm.language import language_id
 from tarn.llm.media import encode_media, media_digests
 from tarn.llm.mixing import mix_sizes
 from tarn.llm.ngram_join import ngram_components
+from tarn.llm.periodic import periodic_runs, planted, run_digests
 from tarn.llm.pii import pii_spans
 from tarn.llm.quality import quality
 from tarn.llm.substring_dedup import remove_repeats
@@ -59,6 +61,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digests(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_source_mixing": op2_source_mixing,
@@ -70,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {

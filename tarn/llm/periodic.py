@@ -13,13 +13,13 @@ complement holds every true stretch and hardly another one, and the other
 planes are only shifted for a lag that is still open.  In a very long text
 (``SIEVE_WORDS``) a lag over ``SIEVE_LAG`` is first asked at a few places: a
 stretch of q holds at least four neighbouring multiples of q // 4, so a lag
-without four such equal pairs in a row has no run.  Both only save work; no
-lag and no text is left out.
+without four such equal pairs in a row has no run.  All of this only saves
+work; no lag and no text is left out.
 """
 
 from __future__ import annotations
 
-from itertools import count
+from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ from tarn.llm.common import WORD, map_texts
 LEAST_WORDS = 12
 LEAST_PERIODS = 2
 HEAD_PLANES = 4
+GROUP_WORDS = 16_384
 SIEVE_WORDS = 30_000
 SIEVE_LAG = 32
 
@@ -42,7 +43,9 @@ def numbered(words: list[bytes]) -> np.ndarray:
     order: dict[bytes, int] = {}
     fresh = count()
     first = np.fromiter(map(order.setdefault, words, fresh), dtype=np.int64, count=len(words))
-    return np.unique(first, return_inverse=True)[1]
+    number = np.zeros(len(words), dtype=np.int64)
+    number[first[first == np.arange(len(words))]] = np.arange(len(order))
+    return number[first]
 
 
 def planes(ids: np.ndarray) -> list[int]:
@@ -89,39 +92,49 @@ def worth(ids: np.ndarray, q: int, long_runs: list[tuple[int, int, int]]) -> boo
     return len(rows) > 0
 
 
-def runs_of(ids: np.ndarray) -> list[tuple[int, int, int]]:
+def runs_of(ids: np.ndarray, ends: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """(start, length, period) of all runs, by period.
 
     A run is a longest stretch of smallest period q with ``LEAST_WORDS`` words
     and ``LEAST_PERIODS`` periods or more.  Lags go up, so a stretch that a
     smaller period has already is a multiple of it and no run of its own.
+
+    ``ids`` may hold several texts, one after the other, that end at ``ends``:
+    the bits of a lag that reach over a text's end are masked.
     """
     n = len(ids)
-    if n < LEAST_WORDS:
+    ends = np.array([n]) if ends is None else ends
+    longest = int(np.diff(ends, prepend=0).max()) if len(ends) else 0
+    if longest < LEAST_WORDS:
         return []
     every = planes(ids)
     head, tail = every[:HEAD_PLANES], every[HEAD_PLANES:]
-    ones = (1 << n) - 1
+    last = np.zeros(n, dtype=np.uint8)
+    last[ends - 1] = 1
+    over = int.from_bytes(np.packbits(last, bitorder="little").tobytes(), "little")
+    inside = (1 << n) - 1
     found: list[tuple[int, int, int]] = []
     known: set[tuple[int, int]] = set()
+    sieved = longest == n > SIEVE_WORDS
     long_runs: list[tuple[int, int, int]] = []
-    for q in range(1, n // LEAST_PERIODS + 1):
+    for q in range(1, longest // LEAST_PERIODS + 1):
         least = max((LEAST_PERIODS - 1) * q, LEAST_WORDS - q)
-        if n > SIEVE_WORDS and q > SIEVE_LAG:
+        # a bit goes when the word q places on is the first of another text
+        inside = (inside | over) ^ over if q == 1 else inside & ~(over >> q - 1)
+        if sieved and q > SIEVE_LAG:
             long_runs = [r for r in long_runs if r[1] >= LEAST_PERIODS * q]
             if not worth(ids, q, long_runs):
                 continue
-        inside = ones >> q
         differ = 0
         for p in head:
             differ |= p ^ p >> q
-        starts = isolated(differ & inside ^ inside, least)
+        starts = isolated(inside & ~differ, least)
         if not starts:
             continue
         if tail:
             for p in tail:
                 differ |= p ^ p >> q
-            starts = isolated(differ & inside ^ inside, least)
+            starts = isolated(inside & ~differ, least)
             if not starts:
                 continue
         for a, b in zip(*(x.tolist() for x in stretches(starts, n)), strict=True):
@@ -129,11 +142,39 @@ def runs_of(ids: np.ndarray) -> list[tuple[int, int, int]]:
             if (a, length) not in known:
                 known.add((a, length))
                 found.append((a, length, q))
-                if n > SIEVE_WORDS and length >= LEAST_PERIODS * SIEVE_LAG:
+                if sieved and length >= LEAST_PERIODS * SIEVE_LAG:
                     long_runs.append((a, length, q))
     return found
 
 
+def runs_of_each(texts: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+    """``runs_of`` for each text, by start, then period.
+
+    Texts of like lengths share big integers up to ``GROUP_WORDS`` bits: an
+    operation on a few hundred bits costs as much as one on some thousands.
+    """
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    group: list[int] = []
+    words = 0
+
+    def close() -> None:
+        if group:
+            ends = np.cumsum([len(texts[d]) for d in group])
+            for start, length, period in sorted((a, length, q) for a, length, q in runs_of(np.concatenate([texts[d] for d in group]), ends)):
+                at = int(np.searchsorted(ends, start, side="right"))
+                out[group[at]].append((start - (int(ends[at - 1]) if at else 0), length, period))
+            group.clear()
+
+    for d in sorted((d for d, ids in enumerate(texts) if len(ids) >= LEAST_WORDS), key=lambda d: len(texts[d])):
+        if words + len(texts[d]) > GROUP_WORDS:
+            close()
+            words = 0
+        group.append(d)
+        words += len(texts[d])
+    close()
+    return out
+
+
 def kept_words(n: int, runs: list[tuple[int, int, int]]) -> np.ndarray:
     """Which of n words stay: those that no run holds after its first period."""
     edge = np.zeros(n + 1, dtype=np.int64)
@@ -145,20 +186,17 @@ def kept_words(n: int, runs: list[tuple[int, int, int]]) -> np.ndarray:
 
 def measure(texts: list[str | None]) -> dict:
     """The columns of SCHEMA for a list of texts."""
-    sizes, per, flat, texts_out = [], [], [], []
-    for text in texts:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        runs = sorted((a, length, q) for a, length, q in runs_of(numbered(words))) if len(words) >= LEAST_WORDS else []
-        sizes.append(len(words))
-        per.append(len(runs))
-        flat += runs
-        if runs:
-            words = [words[i] for i in np.flatnonzero(kept_words(len(words), runs)).tolist()]
-        texts_out.append(b" ".join(words))
+    words_of = [(text or "").encode("utf-8", "surrogatepass").split() for text in texts]
+    runs_by_text = runs_of_each([numbered(words) for words in words_of])
+    collapsed = []
+    for words, runs in zip(words_of, runs_by_text, strict=True):
+        stay = compress(words, kept_words(len(words), runs).tolist()) if runs else words
+        collapsed.append(b" ".join(stay))
+    flat = [r for runs in runs_by_text for r in runs]
     columns = np.array(flat, dtype=np.int64).reshape(-1, 3).T
     structs = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["start", "length", "period"])
-    ends = np.concatenate(([0], np.cumsum(per))).astype(np.int32)
-    return {"n_words": sizes, "runs": pa.ListArray.from_arrays(pa.array(ends), structs), "collapsed": pa.array(texts_out, pa.binary()).cast(pa.string())}
+    ends = np.cumsum([0, *map(len, runs_by_text)]).astype(np.int32)
+    return {"n_words": list(map(len, words_of)), "runs": pa.ListArray.from_arrays(pa.array(ends), structs), "collapsed": pa.array(collapsed, pa.binary()).cast(pa.string())}
 
 
 def periodic_runs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

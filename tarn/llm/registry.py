@@ -15,6 +15,7 @@ from tarn.llm.media import encode_media, media_digests
 from tarn.llm.mixing import mix_sizes
 from tarn.llm.ngram_join import ngram_components
 from tarn.llm.periodic import periodic_runs, planted, run_digests
+from tarn.llm.pieces import piece_digests
 from tarn.llm.pii import pii_spans
 from tarn.llm.quality import quality
 from tarn.llm.substring_dedup import remove_repeats
@@ -65,6 +66,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_digests(fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(planted(table(spark, sf_dir, "documents"))))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_sentencepiece": op12_sentencepiece,
     "op13_periodic_runs": op13_periodic_runs,
 }
 

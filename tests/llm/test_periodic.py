@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import tarn.llm.periodic as periodic
 from pyspark.sql import functions as F
-from tarn.llm.periodic import isolated, kept_words, measure, numbered, periodic_runs, planes, planted, run_digests, runs_of, worth
+from tarn.llm.periodic import isolated, kept_words, measure, numbered, periodic_runs, planes, planted, run_digests, runs_of, runs_of_each, worth
 
 
 def plain_runs(words):
@@ -69,6 +69,14 @@ def test_random_words():
                 assert sorted(runs_of(numbered(words))) == plain_runs(words)
 
 
+def test_texts_that_share_integers(monkeypatch):
+    r = random.Random(5)
+    texts = [made_of_repeats(r, r.randrange(0, 90), r.choice((1, 2, 9))) for _ in range(120)]
+    for size in (1, 50, 300, 100_000):
+        monkeypatch.setattr(periodic, "GROUP_WORDS", size)
+        assert runs_of_each([numbered(t) for t in texts]) == [plain_runs(t) for t in texts]
+
+
 def test_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in df.collect()}

@@ -6,7 +6,7 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -31,8 +31,11 @@ CONTRACTS = {
     "op8": ["doc_id", "text", "n_sentences", "n_removed"],
     "op9": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op10": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+    "op11": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    "op12": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op13": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
-KINDS = {"size": "bigint", "taken": "bigint", "target": "double", "score": "double", "kept": "boolean", "base_failed": "boolean", "held_out": "boolean", "over_limit": "boolean", "n_chars": "bigint", "tail_crc32": "bigint"}
+KINDS = {"size": "bigint", "taken": "bigint", "target": "double", "score": "double", "kept": "boolean", "base_failed": "boolean", "held_out": "boolean", "over_limit": "boolean", "n_chars": "bigint", "tail_crc32": "bigint", "n": "bigint", "prefix_chars": "bigint", "middle_chars": "bigint", "start": "bigint", "length": "bigint", "period": "bigint", "exponent_milli": "bigint"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -150,12 +150,23 @@ def chunk_fixed(spark, sf_dir):
     return _chunked(spark, sf_dir, "fixed")
 
 
-@query("chunk_sentence")
+#: Sentences of long texts, packed by lengths; a chunk is a stretch of all of them joined.
+SENTENCES = r"""with recursive d as (select doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+\s+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as p from documents where length(text) > 8000),
+ w as (select doc_id, 1 as i, 0 as a, length(p[1]) as b, -1 as ca, -1 as cb from d
+  union all select doc_id, i + 1, case when b + 1 + length(p[i + 1]) - a > 8000 then greatest(a, b - 200) else a end, b + 1 + length(p[i + 1]),
+   case when b + 1 + length(p[i + 1]) - a > 8000 then a else -1 end, case when b + 1 + length(p[i + 1]) - a > 8000 then b else -1 end from w join d using (doc_id) where i < len(p)),
+ c as (select doc_id, i, ca as a, cb as b from w where cb > 0 union all select doc_id, i + 1, a, b from w join d using (doc_id) where i = len(p))
+ select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as int) as index, cast(position(p[1] in text) - 1 as int) as start, cast(position(p[1] in text) - 1 + b - a as int) as end,
+  cast(length(trim(substr(array_to_string(p, ' '), a + 1, b - a))) as int) as size from c join d using (doc_id)
+ union all select doc_id, 0, 0, length(text), length(text) from documents where length(text) <= 8000"""
+
+
+@query("chunk_sentence", SENTENCES)
 def chunk_sentence(spark, sf_dir):
     return _chunked(spark, sf_dir, "sentence")
 
 
-@query("chunk_semantic")
+@query("chunk_semantic", SENTENCES)
 def chunk_semantic(spark, sf_dir):
     return _chunked(spark, sf_dir, "semantic")
 
@@ -166,9 +177,9 @@ def chunk_short_documents(spark, sf_dir):
     return d.agg(F.count_if((F.length("text") <= chunking.MAX_SIZE) & (F.size("c") == 1) & (F.col("c")[0]["content"] == F.col("text"))).alias("n"))
 
 
-@query("chunk_children")
+@query("chunk_children", f"with k as ({SENTENCES}) select doc_id || '_chunk_' || index as id, source || ' (Part ' || (index + 1) || ')' as title, case when length(text) > 8000 then 'en' else lang end as language, size as content_length from k join documents using (doc_id)")
 def chunk_children(spark, sf_dir):
-    return chunking.child_documents(docs(spark, sf_dir), "doc_id", "source", "text", "lang")
+    return chunking.child_documents(docs(spark, sf_dir), "doc_id", "source", "text", "lang").drop("content")
 
 
 @query("japanese_features", "select '東京都' as keyword, '東京都庁舎' as phrase")

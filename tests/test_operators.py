@@ -70,19 +70,30 @@ def test_decisions(spark):
     assert one(spark, D.index_priority(F.lit("example.com"), F.lit(-1), F.lit("a long title"), F.lit("d"), F.lit("en"))) == 19
 
 
-def test_chunks():
-    spans = [c[2:4] for c in chunking.fixed("abcd efgh ijkl mnop qrst", 10, 3)]
+def cut(spark, strategy, text, *how):
+    df = spark.createDataFrame([(text,)], "t string")
+    return [tuple(c) for c in df.select(strategy(F.col("t"), *how).alias("c")).first().c]
+
+
+def test_chunks(spark):
+    spans = [c[2:4] for c in cut(spark, chunking.fixed, "abcd efgh ijkl mnop qrst", 10, 3)]
     assert spans == [(0, 10), (7, 17), (14, 24)]
-    assert len(chunking.fixed("a" * 20, 5, 5)) == 16
-    got = chunking.by_sentence("One two three. Four five six! Seven eight nine? Ten.", 20, 4)
+    assert len(cut(spark, chunking.fixed, "a" * 20, 5, 5)) == 16
+    told = "One two three. Four five six! Seven eight nine? Ten."
+    got = cut(spark, chunking.by_sentence, told, 20, 4)
     assert [c[0] for c in got] == ["One two three", "hree Four five six", "six Seven eight nine", "nine Ten."]
-    assert {c[2] for c in got} <= {0, -1}
+    assert [c[2] for c in got] == [0] * 4 and [c[3] for c in got] == [13, 18, 21, 9]
+    assert [c[0] for c in cut(spark, chunking.by_sentence, told, 20, 0)] == ["One two three", "One two three Four five six", "One two three Four five six Seven eight nine", "One two three Four five six Seven eight nine Ten."]
     text = "".join(random.Random(1).choice("abc d. ") for _ in range(500))
     covered = set()
-    for c in chunking.fixed(text, 50, 10):
+    for c in cut(spark, chunking.fixed, text, 50, 10):
         covered |= set(range(c[2], c[3]))
     assert covered == set(range(len(text)))
-    assert [c[4] for c in chunking.semantic("これは日本語の文章です" * 5, 20, 0)][0] == "ja"
+    japanese_text = "これは日本語の文章です" * 5
+    got = cut(spark, chunking.semantic, japanese_text, 20, 0)
+    assert {c[4] for c in got} == {"ja"} and all(len(c[0]) <= 20 for c in got) and "".join(c[0] for c in got).replace(" ", "") == japanese_text
+    assert [c[0] for c in cut(spark, chunking.by_sentence, "一つの文。\u3000二つ目の文！三つ目？", 8, 2)] == ["一つの文", "の文 二つ目の文", "の文 三つ目"]
+    assert cut(spark, chunking.chunks, "short", "nonsense") == [("short", 0, 0, 5, "unknown")]
 
 
 def test_rrf(spark):
@@ -282,10 +293,14 @@ def test_highlight_and_fragments(spark):
     assert run("nothing here", ["the"]) == ("nothing here", [])
 
 
-def test_blank_chunks_are_left_out():
-    got = chunking.fixed("abc" + " " * 60 + "def", 10, 2)
+def test_blank_chunks_are_left_out(spark):
+    got = cut(spark, chunking.fixed, "abc" + " " * 60 + "def", 10, 2)
     assert [c[0] for c in got if not c[0]] == [] and got[0][0] == "abc" and got[-1][0].endswith("def")
     assert [c[1] for c in got] == list(range(len(got)))
+    # ends of sentences alone leave nothing
+    assert cut(spark, chunking.chunks, "?! " * 5000) == []
+    df = spark.createDataFrame([(None,)], "t string")
+    assert df.select(chunking.chunks(F.col("t")).alias("c")).first().c[0].content is None
 
 
 def test_search_orders_and_japanese(spark, tmp_path):

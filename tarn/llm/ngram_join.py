@@ -20,8 +20,12 @@ alone.  Every pair that is ever compared shares prefix tokens under all three.
   common tokens.  (The first common token of a link always leaves room.)
 * Rather than all pairs, every list first compares its members with one pivot,
   twice; links merge into components, and lists within one component are done.
-* Of lists that still mix components, all pairs of different components that
-  pass the filters are compared, so no link between components is lost.
+* Of lists that still mix components, pairs of different components that pass
+  the filters are compared, so no link between components is lost.  Before any
+  pair is made, every list is told by classes of set size, each with the most
+  tokens a member has left after the list's one; a member goes on only for the
+  classes in which that leaves room for a link, and meets only members that go
+  on for its own class.
 """
 
 from __future__ import annotations
@@ -47,6 +51,8 @@ SLICE_BYTES = 2_000_000
 HOT_NODES = 64
 HOT = 1 << 40
 PIVOT_ROUNDS = 2
+#: Sizes of sets in one class of a list differ by less than this factor.
+CLASS = 1.15
 #: Up to so many ids the survivors are broadcast to the text scan; beyond, the texts are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -230,6 +236,24 @@ def _room(n: str, at: str, m: str, place: str) -> str:
     return f"least({n}, {m}) * 100 >= greatest({n}, {m}) * {PERCENT} and {100 + PERCENT} * {most} >= {PERCENT} * ({n} + {m})"
 
 
+def _open_members(rows: DataFrame) -> DataFrame:
+    """(token, node, n, at, label, c, other): members of lists for each size class in which they may have a link.
+
+    A class is known by its sizes, the most tokens a member has left from the
+    list's token on, and whether it has another component.  A member and a
+    class cannot meet if that leaves too few common tokens even for the
+    smallest set of the class; texts that share boilerplate beside words of
+    their own end here.
+    """
+    rows = rows.withColumn("c", F.floor(F.log("n") / float(np.log(CLASS))).cast("int"))
+    per = rows.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("left"), F.min("label").alias("low"), F.max("label").alias("high"))
+    # a row for each class of a token: as many as powers of CLASS between the sizes of all sets
+    lists = cut(per.groupBy("token").agg(F.collect_list(F.struct("c", "least", "most", "left", "low", "high")).alias("classes")))
+    fits = f"x.most * 100 >= n * {PERCENT} and n * 100 >= x.least * {PERCENT} and {100 + PERCENT} * least(n - at, x.left) >= {PERCENT} * (n + x.least)"
+    some = f"transform(filter(classes, x -> {fits} and not (x.low = label and x.high = label)), x -> x.c)"
+    return cut(rows.join(lists, "token").select("token", "node", "n", "at", "label", "c", F.explode(F.expr(some)).alias("other")))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links among (a, b): prefixes must meet under the other two orders as well, then the sets are compared."""
     third = F.expr(f"slice(tokens, 1, {_need('size(tokens)')})")
@@ -309,10 +333,11 @@ def links(texts: DataFrame, named: DataFrame, total_tokens: int) -> DataFrame |
         mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
         return cut(rows.join(mixed, "token", "left_semi"))
 
-    def compared(rows: DataFrame, others: DataFrame, which: str) -> DataFrame:
-        """Links between rows and others of one list: (token, node, n, at, label) on both sides."""
-        to = others.select("token", F.col("node").alias("p"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("label").alias("pl"))
-        pairs = rows.join(to, "token").where(f"{which} and {_room('n', 'at', 'm', 'place')}")
+    def compared(rows: DataFrame, others: DataFrame, which: str, classes: bool = False) -> DataFrame:
+        """Links between rows and others of one list: (token, node, n, at, label) on both sides, with ``classes`` also (c, other)."""
+        more = [F.col("other").alias("c"), F.col("c").alias("other")] if classes else []
+        to = others.select("token", F.col("node").alias("p"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("label").alias("pl"), *more)
+        pairs = rows.join(to, ["token", "c", "other"] if classes else "token").where(f"{which} and {_room('n', 'at', 'm', 'place')}")
         return cut(_verify(pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct(), sets))
 
     found: DataFrame | None = None
@@ -329,8 +354,8 @@ def links(texts: DataFrame, named: DataFrame, total_tokens: int) -> DataFrame |
     rest = postings(labels)
     if rest.limit(1).count():
         labels = components(found)
-        rest = postings(labels)
-        found = found.union(compared(rest, rest, "node < p and label <> pl"))
+        rest = _open_members(postings(labels))
+        found = found.union(compared(rest, rest, "node < p and label <> pl", classes=True))
     return found
 
 

@@ -135,3 +135,31 @@ def test_long_text_and_extra_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("token", F.lit(1)).withColumn("component_id", F.lit("x"))
     got = sorted(tuple(r) for r in ngram_components(df).collect())
     assert got == [(1, 99_996, 1), (2, 99_997, 1), (3, got[2][1], 3), (4, 1, 4)]
+
+
+def test_boilerplate_makes_no_pairs(spark, monkeypatch):
+    """Texts that share four fifths of their words have no links, and their lists end before any pair."""
+    left = []
+    open_members = ngram_join._open_members
+
+    def spy(rows):
+        kept = open_members(rows)
+        left.append((rows.count(), kept.count()))
+        return kept
+
+    monkeypatch.setattr(ngram_join, "_open_members", spy)
+    common = " ".join(f"c{i}" for i in range(240))
+    rows = [(i, common + " " + " ".join(f"o{i}x{j}" for j in range(60))) for i in range(200)]
+    # near copies of one of them still meet
+    rows += [(1000 + i, rows[7][1] + f" end{i}") for i in range(3)]
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: 7 if k >= 1000 else k for k, _ in rows}
+    assert left and left[0][0] > 200 and left[0][1] <= 16
+
+
+def test_size_classes_lose_no_link(spark):
+    """Sizes from far below to far above each other: links across classes are found by lists alone."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(n, " ".join(words[:n])) for n in range(60, 400, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram_components(df).collect()) == brute(rows)

@@ -5,13 +5,18 @@ of an article (scripts, menus, forms, side bars, notices, adverts, comments)
 are set aside by tag, role and class: a container by any part of its class
 name outside an article; a paragraph, and everything inside an article, only
 if the whole name says so (``related-posts``, but not ``related-work`` or
-``notice-board-story``).  The first pass decides the other blocks by length,
-stop-word density and link density; short or unclear blocks stay open, and so
-do short linked ones inside an article, which may well be part of it.  In the
-second pass an open block takes the label of its nearest decided neighbours
-inside the same container.  Inside an article it takes that of both, or if
-they differ of the nearer one (of equally near ones good); outside it is good
-only if both are, or if it is a heading right before good text.
+``notice-board-story``).  Of the elements inside a paragraph only hidden ones
+go, whatever their names.
+
+The first pass decides the other blocks by length, stop-word density and link
+density; short or unclear blocks stay open, and so do short linked ones inside
+an article, which may well be part of it.  In the second pass an open block
+takes the label of its nearest decided neighbours.  Inside an article it takes
+that of both, or if they differ of the nearer one (of equally near ones good).
+On a page without an article it is good if both are, if it is a heading right
+before good text, or if the good one shares its container and the other one
+does not; the page's edges count as bad.  Beside an article, blocks that the
+first pass finds good stay as far as they join it without a break.
 """
 
 from __future__ import annotations
@@ -69,7 +74,7 @@ HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|head)(?:$|[\s_-])", re.I)
 ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article(?:-?body)?|post-?(?:body|content)|entry-?content|main-?content|story(?:-?body)?)(?:$|[\s_-])", re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -78,20 +83,24 @@ class Block:
     parts: list[str] = field(default_factory=list)
     links: int = 0
     zone: int = -1
+    parent: int = 0
     heading: bool = False
     dropped: bool = False
     text: str = ""
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    if "=" not in raw and "hidden" not in raw:
-        return {}
-    found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
-    if re.search(r"(?:^|\s)hidden(?:\s|/|$)", raw):
-        found["hidden"] = ""
+    """Attributes by lower-case name, of equal names the first; one without a value has the empty one."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(raw) if raw.strip(" /") else ():
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
     return found
 
 
+def _hidden(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
 def _wholly(names: str) -> bool:
     """Whether one of the class names is made of dropped names and plain parts only."""
     for one in names.split():
@@ -113,9 +122,7 @@ def _drops(name: str, attrs: dict[str, str], in_article: bool) -> bool:
     if not attrs:
         return False
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    if attrs.get("role", "").lower() in DROPPED_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
-    if "display:none" in attrs.get("style", "").replace(" ", ""):
+    if attrs.get("role", "").lower() in DROPPED_ROLES or _hidden(attrs):
         return True
     if name in ("html", "body", "article", "main"):
         # of the page's frame and the article itself only an explicit comment class counts
@@ -129,9 +136,9 @@ def blocks_of(page: str) -> list[Block]:
     """All blocks with text, in page order."""
     found: list[Block] = []
     block = Block()
-    stack: list[tuple[str, bool, int]] = []  # open containers: name, dropped, zone
+    stack: list[tuple[str, bool, int, int]] = []  # open containers: name, dropped, zone, number
     inline: list[str] = []  # open inline elements that are set aside
-    links = zones = 0
+    links = zones = numbers = 0
     piece_dropped = False  # the open paragraph-like element is set aside
 
     def close(heading: bool = False) -> None:
@@ -152,7 +159,7 @@ def blocks_of(page: str) -> list[Block]:
             if block.parts and (block.dropped != dropped or block.zone != zone):
                 close(block.heading)
             text = page[at:end]
-            block.dropped, block.zone = dropped, zone
+            block.dropped, block.zone, block.parent = dropped, zone, stack[-1][3] if stack else 0
             block.parts.append(text)
             if links:
                 block.links += len(text.strip())
@@ -175,7 +182,7 @@ def blocks_of(page: str) -> list[Block]:
             if not inline:
                 block.parts.append("&lt;")
                 block.dropped = piece_dropped or bool(stack and stack[-1][1])
-                block.zone = stack[-1][2] if stack else -1
+                block.zone, block.parent = stack[-1][2:] if stack else (-1, 0)
             at = lt + 1
             continue
         at = m.end()
@@ -195,8 +202,7 @@ def blocks_of(page: str) -> list[Block]:
                 if name in inline:
                     del inline[len(inline) - 1 - inline[::-1].index(name) :]
             elif raw and not raw.endswith("/") and name != "img" and name != "input" and name != "link" and name != "meta":
-                attrs = _attributes(raw)
-                if attrs and _drops(name, attrs, bool(stack) and stack[-1][2] >= 0):
+                if _hidden(_attributes(raw)):
                     inline.append(name)
             continue
         heading = len(name) == 2 and name[0] == "h" and name[1] in "123456" and not closing
@@ -221,7 +227,8 @@ def blocks_of(page: str) -> list[Block]:
                 names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
                 if not dropped and zone < 0 and (name in ("article", "main") or attrs.get("role") in ("main", "article") or ARTICLE_NAMES.search(names)):
                     zone, zones = zones, zones + 1
-                stack.append((name, dropped, zone))
+                numbers += 1
+                stack.append((name, dropped, zone, numbers))
         elif not closing:
             piece_dropped = bool(raw) and _drops(name, _attributes(raw), bool(stack) and stack[-1][2] >= 0)
     close()
@@ -246,16 +253,10 @@ def first_pass(b: Block) -> int:
     return BAD if linked else OPEN
 
 
-def extract(page: str | None) -> tuple[str, int, int]:
-    """(text, blocks kept, blocks left out)."""
-    if not page:
-        return "", 0, 0
-    blocks = blocks_of(page)
-    inside = any(b.zone >= 0 and not b.dropped for b in blocks)
-    labels = [BAD if inside and b.zone < 0 else first_pass(b) for b in blocks]
-    final = list(labels)
-    n = len(blocks)
-    # the nearest decided block of the same zone on either side: (label, distance)
+def _inside(blocks: list[Block], labels: list[int]) -> list[int]:
+    """Labels of a page with an article: open blocks by their neighbours in the same article, then what joins it."""
+    final, n = list(labels), len(blocks)
+    # the nearest decided block of the same article on either side: (label, distance)
     before, after = [(OPEN, n)] * n, [(OPEN, n)] * n
     for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
         last: dict[int, tuple[int, int]] = {}
@@ -265,24 +266,56 @@ def extract(page: str | None) -> tuple[str, int, int]:
                 label, at = last[b.zone]
                 side[i] = label, abs(i - at)
             # an element set aside within an article says nothing about its neighbours
-            if labels[i] != OPEN and not (inside and (b.dropped or b.zone < 0)):
+            if labels[i] != OPEN and not b.dropped and b.zone >= 0:
                 last[b.zone] = labels[i], i
-    if inside:
-        any_good = {b.zone for b, x in zip(blocks, labels, strict=True) if x == GOOD}
-        for i, b in enumerate(blocks):
-            if labels[i] == OPEN:
-                near = min((d, -x) for x, d in (before[i], after[i]))
-                final[i] = BAD if b.zone in any_good and near[1] == -BAD else GOOD
-    else:
-        for i, b in enumerate(blocks):
-            if labels[i] == OPEN:
-                sides = {before[i][0], after[i][0]} - {OPEN}
-                final[i] = GOOD if sides == {GOOD} or b.heading and after[i][0] == GOOD else BAD
-        if GOOD not in final:
-            # nothing was decided: a page of short text only
-            final = [GOOD if x == OPEN else BAD for x in labels]
+    any_good = {b.zone for b, x in zip(blocks, labels, strict=True) if x == GOOD}
+    for i, b in enumerate(blocks):
+        if b.zone < 0:
+            final[i] = BAD
+        elif labels[i] == OPEN:
+            near = min((d, -x) for x, d in (before[i], after[i]))
+            final[i] = BAD if b.zone in any_good and near[1] == -BAD else GOOD
+    # good blocks beside an article, outwards from its ends
+    for order in (range(1, n), range(n - 2, -1, -1)):
+        for i in order:
+            beside = i - order.step
+            if blocks[i].zone < 0 and labels[i] == GOOD and final[beside] == GOOD:
+                final[i] = GOOD
+    return final
+
+
+def _outside(blocks: list[Block], labels: list[int]) -> list[int]:
+    """Labels of a page without an article: open blocks by their neighbours and containers; the page's edges are bad."""
+    final, n = list(labels), len(blocks)
+    before, after = [(BAD, -1)] * n, [(BAD, -1)] * n
+    for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
+        last = BAD, -1
+        for i in order:
+            side[i] = last
+            if labels[i] != OPEN:
+                last = labels[i], blocks[i].parent
+    for i, b in enumerate(blocks):
+        if labels[i] == OPEN:
+            sides = before[i], after[i]
+            good = [parent == b.parent for label, parent in sides if label == GOOD]
+            bad = [parent == b.parent for label, parent in sides if label == BAD]
+            final[i] = GOOD if len(good) == 2 or b.heading and after[i][0] == GOOD or good == [True] and bad == [False] else BAD
+    if GOOD not in final:
+        # nothing was decided: a page of short text only
+        final = [GOOD if x == OPEN else BAD for x in labels]
+    return final
+
+
+def extract(page: str | None) -> tuple[str, int, int]:
+    """(text, blocks kept, blocks left out)."""
+    if not page:
+        return "", 0, 0
+    blocks = blocks_of(page)
+    labels = [first_pass(b) for b in blocks]
+    rule = _inside if any(b.zone >= 0 and not b.dropped for b in blocks) else _outside
+    final = rule(blocks, labels)
     kept = [b.text for b, x in zip(blocks, final, strict=True) if x == GOOD]
-    return "\n".join(kept), len(kept), n - len(kept)
+    return "\n".join(kept), len(kept), len(blocks) - len(kept)
 
 
 def html_text(df: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), page: str = "html") -> DataFrame:

@@ -1,6 +1,8 @@
-import re
 import html as h
+import random
+import re
 
+import tarn.llm.html_text as html_text_module
 from tarn.llm.html_text import extract, html_text
 
 LONG = "This is the first paragraph of the story and it has a lot of words that are in the list of common ones."
@@ -62,6 +64,74 @@ def test_long_page_and_repeated_rows(spark):
     assert got == [(0, 0), (1, 20_000 * (len(LONG) + 1) - 1), (1, 20_000 * (len(LONG) + 1) - 1), (2, 0)]
 
 
+def test_hidden_is_an_attribute():
+    page = f"""<article><p title="the hidden cost of x">{LONG}</p><p hidden>{LONG} no</p><p HIDDEN="">{LONG} no</p><p data-x=1 style="Display: none">{LONG} no</p>
+    <p class="hidden cost">{LONG} 2</p><p title='a "hidden" b' data-hidden>{LONG} 3</p></article>"""
+    assert text(page) == f"{LONG}\n{LONG} 2\n{LONG} 3"
+
+
+def test_words_inside_a_paragraph_stay():
+    page = f"""<article><p>{LONG}</p><p>The <span class="alert">fire</span> and the <em class="related">kin</em> of a <a class="tag" href=x>tagged</a> one,
+    <span hidden>not this</span><b class="comment" id="ad">which</b> <i style="display:none">nor</i><i aria-hidden="true">this</i> stays.</p></article>"""
+    assert text(page) == f"{LONG}\nThe fire and the kin of a tagged one, which stays."
+
+
+def test_beside_an_article():
+    """Good text that joins the article stays; what is apart, short, linked or set aside goes."""
+    menu = "<p><a href=x>Products Prices Downloads Company Careers</a></p>"
+    page = f"<body><p>{LONG} 0</p>{menu}<h1>Site</h1><p>{LONG} 1</p><article><h2>T</h2><p>{LONG} 2</p></article><div><p>{LONG} 3</p></div><p>Short.</p><p>{LONG} 4</p></body>"
+    assert text(page) == f"{LONG} 1\nT\n{LONG} 2\n{LONG} 3"
+    page = f'<body><div class="ad">{LONG}</div><article><p>{LONG} 2</p></article><aside>{LONG}</aside><p>{LONG} 3</p></body>'
+    assert text(page) == f"{LONG} 2"
+
+
+def test_containers_without_an_article():
+    """A short last paragraph belongs to the container of the good text before it, a short footer does not."""
+    page = f"<body><div><a href=1>One</a> <a href=2>Two</a></div><div>Buy now.</div><div><h1>T</h1><p>{LONG}</p><p>The end.</p></div><div>&copy; 2020 a.example.com</div></body>"
+    assert text(page) == f"T\n{LONG}\nThe end."
+
+
+def test_pages_without_an_article(spark):
+    """With the article and the menu as plain containers the two passes find the same text on all given pages.
+
+    (An advert or a footer of plain sentences can only be told by its tag or class.)
+    """
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    same = decided = 0
+    for page in pages:
+        bare = re.sub(r"<(/?)(?:nav|article)\b[^>]*>", r"<\1div>", page)
+        same += text(bare) == text(page)
+        decided += sum(not b.dropped for b in html_text_module.blocks_of(bare))
+    assert decided > 4000 and same == len(pages), (same, decided, len(pages))
+
+
+def brute_labels(kinds):
+    """The second pass on a page without an article, by looking outwards from every block: kinds are (label, parent)."""
+    out = []
+    for i, (label, parent) in enumerate(kinds):
+        if label:
+            out.append(label)
+            continue
+        left = next((k for k in kinds[:i][::-1] if k[0]), (-1, -1))
+        right = next((k for k in kinds[i + 1 :] if k[0]), (-1, -1))
+        if left[0] == right[0] == 1:
+            out.append(1)
+            continue
+        good, bad = (left, right) if left[0] == 1 else (right, left)
+        out.append(1 if good[0] == 1 and good[1] == parent != bad[1] else -1)
+    return out
+
+
+def test_second_pass_by_brute_force():
+    r = random.Random(3)
+    for _ in range(500):
+        kinds = [(r.choice((-1, 0, 0, 1)), r.randrange(3)) for _ in range(r.randrange(1, 12))]
+        if 1 not in brute_labels(kinds):
+            continue
+        blocks = [html_text_module.Block(parent=p) for _, p in kinds]
+        assert html_text_module._outside(blocks, [x for x, _ in kinds]) == brute_labels(kinds)
+
+
 def test_broken():
     assert text(None) == text("") == text("<") .replace("<", "") == ""
     assert text("<p>a < b <!-- never ends <p>c") == "a < b"

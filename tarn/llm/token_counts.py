@@ -91,7 +91,12 @@ def token_counts(
     text: str = "text",
     limit: int = TOKEN_LIMIT,
 ) -> DataFrame:
-    """(key, n_bytes, n_tokens, over_limit) per row; a null or empty text has 0 of each."""
+    """(key, n_bytes, n_tokens, over_limit) per row; a null or empty text has 0 of each.
+
+    Texts are counted whole at any length and each by itself: repeated rows
+    give repeated rows, and equal texts equal counts.  Only the key and the
+    text are read, so columns named like a result do no harm.
+    """
     path = tokenizer_path(tokenizer)
 
     def work(texts: list[str | None]) -> dict:

@@ -95,8 +95,17 @@ def test_odd_rows(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", None, 0)], docs.schema)
     folder = tmp_path / "t"
-    docs.limit(5).union(rows).withColumn("kept", F.lit(1)).withColumn("node", F.lit("x")).write.parquet(str(folder / "documents.parquet"))
-    assert corpus_pipeline.run(spark, str(folder)).count() >= 1
+    some = docs.limit(5)
+    some.union(rows).withColumn("kept", F.lit(1)).withColumn("node", F.lit("x")).write.parquet(str(folder / "documents.parquet"))
+    some = spark.read.parquet(str(folder / "documents.parquet")).where("doc_id >= 0").select(docs.columns).collect()
+    out = corpus_pipeline.run(spark, str(folder)).collect()
+    # the mix may leave out or repeat documents, but takes none beside the kept ones; a single source is taken whole
+    kept = plainly(some)
+    assert {r.doc_id for r in out} <= set(kept) and len(kept) >= 1 and sum(r.n_tokens for r in out) > 0
+    words = {d: len(t.encode().split()) for d, (_, t) in kept.items()}
+    taken = sum(len(LIBRARY.decode(np.frombuffer(r.ids, dtype="<u4").tolist()).encode().split()) for r in out)
+    want = sum(goals({s: sum(words[d] for d, (x, _) in kept.items() if x == s) for s in {x for x, _ in kept.values()}}).values())
+    assert abs(taken - want) <= 2 * BLOCK * len(kept)
     docs.limit(0).write.parquet(str(tmp_path / "e/documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "e")).count() == 0
 
@@ -105,4 +114,14 @@ def test_odd_rows(spark, tmp_path):
 def test_null_texts_through_each_stage(spark, k):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = spark.createDataFrame([(1, None, None, None, None), (None, "a b", None, "s", 3), (2, "c " * 30, "en", "s", None)], docs.schema)
-    corpus_pipeline.STAGES[k][1](spark, rows, SF).collect()
+    got = Counter((r.doc_id, r.text) if k < 4 else (r.doc_id, r.n_tokens) for r in corpus_pipeline.STAGES[k][1](spark, rows, SF).collect())
+    every = Counter([(1, None), (None, "a b"), (2, "c " * 30)])
+    if k == 0:
+        assert got == Counter()  # two texts without ten words, one that repeats itself
+    elif k in (1, 2):
+        assert got == every
+    elif k == 3:
+        # the source's words up to twice; a row without words takes no part and stays
+        assert {d for d, _ in got} == {1, None, 2} and got[1, None] == 1 and max(got.values()) <= 2
+    else:
+        assert got == Counter((d, len(LIBRARY.encode_ordinary(t or ""))) for d, t in every)

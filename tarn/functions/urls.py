@@ -1,8 +1,8 @@
 """URL algebra as column expressions.
 
 Everything here is built-in expressions, so it stays inside code generation;
-only ``normalize_exact`` and ``resolve`` go to Python, for percent-encoding
-and relative references that no built-in covers.
+only ``resolve`` goes to Python, for relative references that no built-in
+covers, and ``normalize_exact``, which says the same as ``normalize``.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ NOT_CRAWLABLE = (
 SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemaps.xml", "/sitemap/sitemap.xml", "/sitemap/index.xml")
 PROBED_SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemaps.xml", "/sitemap/sitemap.xml", "/sitemaps/sitemap.xml")
 MAX_URL = 2048
+#: What may surround a URL: control characters and blanks.
+BLANKS = "".join(map(chr, range(33)))
 
 
 def scheme(url: Column) -> Column:
@@ -89,19 +91,34 @@ def crawlable(url: Column) -> Column:
     return F.when(~last.contains("."), True).otherwise(~F.element_at(F.split(p, r"\."), -1).isin(*NOT_CRAWLABLE))
 
 
+def _decoded(x: Column) -> Column:
+    """A form-encoded name or value in plain; a per cent sign without two digits stands for itself."""
+    return F.url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _encoded(x: Column) -> Column:
+    """Form encoding in which letters, digits and ``_.-~`` stay, blanks become plus signs."""
+    return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def parameters(query: Column) -> Column:
+    """Names and values of a query string in plain, sorted; the value is all that follows the first equals sign."""
+    parts = F.filter(F.split(query, "&"), lambda x: x != "")
+    name = lambda x: F.substring_index(x, "=", 1)
+    return F.array_sort(F.transform(parts, lambda x: F.struct(_decoded(name(x)).alias("k"), _decoded(F.substring(x, F.length(name(x)) + 2, F.length(x))).alias("v"))))
+
+
 def normalize(url: Column) -> Column:
-    """Scheme and host in lower case, default port and fragment dropped, trailing slashes cut, parameters sorted.
+    """Scheme and host in lower case, default port and fragment dropped, trailing slashes cut, parameters decoded, sorted and encoded again.
 
-    Null if the URL is not valid.  Parameters keep their spelling; see
-    ``normalize_exact`` for re-encoded ones.
+    Null if the URL is not valid.
     """
+    url = F.translate(F.btrim(url, F.lit(BLANKS)), "\t\r\n", "")
     s, n, p, q = scheme(url), netloc(url), path(url), query_string(url)
     host = F.when(s == "http", F.regexp_replace(n, ":80$", "")).otherwise(F.regexp_replace(n, ":443$", ""))
     clean = F.when((p == "") | (p == "/"), "/").otherwise(F.regexp_replace(p, "/+$", ""))
-    parts = F.filter(F.split(q, "&"), lambda x: x != "")
-    pairs = F.array_sort(F.transform(parts, lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("k"), F.when(x.contains("="), F.substring_index(x, "=", -1)).otherwise("").alias("v"))))
-    params = F.array_join(F.transform(pairs, lambda x: F.concat(x["k"], F.lit("="), x["v"])), "&")
-    return F.when(is_valid(url), F.concat(s, F.lit("://"), host, clean, F.when(params != "", F.concat(F.lit("?"), params)).otherwise("")))
+    params = F.array_join(F.transform(parameters(q), lambda x: F.concat(_encoded(x["k"]), F.lit("="), _encoded(x["v"]))), "&")
+    return F.when(is_valid(url), F.concat(s, F.lit("://"), host, clean, F.when(q == "", "").when(params != "", F.concat(F.lit("?"), params)).otherwise("")))
 
 
 def _normalize_one(url: str | None) -> str | None:
@@ -125,7 +142,7 @@ def _normalize_one(url: str | None) -> str | None:
 
 @F.pandas_udf(StringType())
 def normalize_exact(url: pd.Series) -> pd.Series:
-    """``normalize`` with parameters decoded, sorted and encoded again."""
+    """``normalize`` by the standard library, a value at a time."""
     return url.map(_normalize_one)
 
 

@@ -35,6 +35,31 @@ def url_normalize_exact(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", U.normalize_exact("url").alias("normalized"))
 
 
+#: Page URLs with parameters that hold equals signs, blanks, escapes, repeated names and empty parts.
+ASKED = "url || '?z=' || page_id || '=x==&q=a b&q=a+a&%C3%A9=%2A~*&b&&a=%3D%26' || (page_id % 7) || '&b=ü' as url"
+DECODED = "url_decode(replace({}, '+', ' '))"
+RECODED = "replace(url_encode({}), '%20', '+')"
+PARAMETERS = f"""select page_id, split_part(url, '?', 1) || '?' || array_to_string(list_transform(list_sort(list_transform(list_filter(string_split(split_part(url, '?', 2), '&'), lambda x: x <> ''),
+   lambda x: {{'k': {DECODED.format("split_part(x, '=', 1)")}, 'v': {DECODED.format("substr(x, length(split_part(x, '=', 1)) + 2)")}}})), lambda x: {RECODED.format("x.k")} || '=' || {RECODED.format("x.v")}), '&') as normalized
+   from (select page_id, {ASKED} from (select page_id, {NORMAL} as url from pages))"""
+
+
+def asked_urls(spark, sf_dir):
+    p = pages(spark, sf_dir).select("page_id", U.normalize(F.col("url")).alias("url"))
+    more = F.format_string("?z=%d=x==&q=a b&q=a+a&%%C3%%A9=%%2A~*&b&&a=%%3D%%26%d&b=ü", "page_id", F.col("page_id") % 7)
+    return p.select("page_id", F.concat("url", more).alias("url"))
+
+
+@query("url_normalize_parameters", PARAMETERS)
+def url_normalize_parameters(spark, sf_dir):
+    return asked_urls(spark, sf_dir).select("page_id", U.normalize(F.col("url")).alias("normalized"))
+
+
+@query("url_hash_parameters", f"select page_id, sha256(normalized) as url_hash from ({PARAMETERS})")
+def url_hash_parameters(spark, sf_dir):
+    return asked_urls(spark, sf_dir).select("page_id", U.url_hash(F.col("url")).alias("url_hash"))
+
+
 @query("url_hash", f"select page_id, sha256({NORMAL}) as url_hash from pages")
 def url_hash(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", U.url_hash(F.col("url")).alias("url_hash"))
@@ -152,10 +177,17 @@ def frontier_anti_join(spark, sf_dir):
     return n.join(n.where("page_id % 3 = 0").select("h"), "h", "left_anti").select("page_id")
 
 
-@query("is_duplicate_semi", f"with n as (select page_id, sha256({NORMAL}) as h from pages) select page_id from n where page_id % 3 <> 0 and h in (select h from n where page_id % 3 = 0)")
+@query("is_duplicate_semi", "select page_id, 'respelled' as how from pages")
 def is_duplicate_semi(spark, sf_dir):
-    n = pages(spark, sf_dir).select("page_id", U.url_hash(F.col("url")).alias("h"))
-    return n.where("page_id % 3 <> 0").join(n.where("page_id % 3 = 0").select("h"), "h", "left_semi").select("page_id")
+    """Every page asked for again, in another spelling and one level deeper: the first is known, the second is not."""
+    p = pages(spark, sf_dir)
+    known = p.select(U.url_hash(F.col("url")).alias("h"))
+    u = F.col("url")
+    host, path, params = F.concat(U.scheme(u), F.lit("://"), U.netloc(u)), F.regexp_replace(U.path(u), "/+$", ""), U.query_string(u)
+    respelled = F.concat(F.upper(host), path, F.lit("/"), F.when(params != "", F.concat(F.lit("?"), params)).otherwise(""), F.lit("#again"))
+    ways = {"respelled": respelled, "deeper": F.concat(host, path, F.lit("/more"))}
+    asked = p.select("page_id", F.explode(F.array(*[F.struct(F.lit(how).alias("how"), way.alias("url")) for how, way in ways.items()])).alias("a"))
+    return asked.select("page_id", "a.how", U.url_hash(F.col("a.url")).alias("h")).join(known, "h", "left_semi").select("page_id", "how")
 
 
 @query(

@@ -75,6 +75,20 @@ def cut(spark, strategy, text, *how):
     return [tuple(c) for c in df.select(strategy(F.col("t"), *how).alias("c")).first().c]
 
 
+def test_normalize_equals_the_library_form(spark):
+    """Generated URLs with equals signs, escapes, plus signs, blanks and repeated names: both forms agree, and no value is lost."""
+    r = random.Random(7)
+    parts = ["a", "b=", "=", "==", "%3D", "%", "%4", "%zz", "+", " ", "~", "*", "&", "&&", "é", "%C3%A9", "%c3", ";", "x=1", "q=a=b", "q=c=b", "/", ":", "@", "-._"]
+    urls = ["http://h.com/p?" + "".join(r.choice(parts) for _ in range(r.randrange(0, 9))) for _ in range(600)]
+    urls += [" \tHTTPS://H.com:443/a//\n", "http://h.com:80?x", "https://h.com:80/#f", "ftp://h.com", "http://", "", "http://h.com/a b?c d", "http://h.com/\ta"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    rows = df.select("u", U.normalize(F.col("u")).alias("a"), U.normalize_exact("u").alias("b")).collect()
+    assert [(x.u, x.a) for x in rows if x.a != x.b] == []
+    hashes = [one(spark, U.url_hash(F.lit(u))) for u in ("http://h.com/p?q=a=b", "http://h.com/p?q=c=b", "http://h.com/p?q=b")]
+    assert len(set(hashes)) == 3
+    assert one(spark, U.normalize(F.lit("https://h.com/p?t=abc==&q=a b"))) == "https://h.com/p?q=a+b&t=abc%3D%3D"
+
+
 def test_chunks(spark):
     spans = [c[2:4] for c in cut(spark, chunking.fixed, "abcd efgh ijkl mnop qrst", 10, 3)]
     assert spans == [(0, 10), (7, 17), (14, 24)]

@@ -41,11 +41,11 @@ DECODED = "url_decode(replace({}, '+', ' '))"
 RECODED = "replace(url_encode({}), '%20', '+')"
 PARAMETERS = f"""select page_id, split_part(url, '?', 1) || '?' || array_to_string(list_transform(list_sort(list_transform(list_filter(string_split(split_part(url, '?', 2), '&'), lambda x: x <> ''),
    lambda x: {{'k': {DECODED.format("split_part(x, '=', 1)")}, 'v': {DECODED.format("substr(x, length(split_part(x, '=', 1)) + 2)")}}})), lambda x: {RECODED.format("x.k")} || '=' || {RECODED.format("x.v")}), '&') as normalized
-   from (select page_id, {ASKED} from (select page_id, {NORMAL} as url from pages))"""
+   from (select page_id, {ASKED} from (select page_id, split_part({NORMAL}, '?', 1) as url from pages))"""
 
 
 def asked_urls(spark, sf_dir):
-    p = pages(spark, sf_dir).select("page_id", U.normalize(F.col("url")).alias("url"))
+    p = pages(spark, sf_dir).select("page_id", F.substring_index(U.normalize(F.col("url")), "?", 1).alias("url"))
     more = F.format_string("?z=%d=x==&q=a b&q=a+a&%%C3%%A9=%%2A~*&b&&a=%%3D%%26%d&b=ü", "page_id", F.col("page_id") % 7)
     return p.select("page_id", F.concat("url", more).alias("url"))
 

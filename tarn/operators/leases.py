@@ -1,22 +1,38 @@
 """Crawl-state folds: leases with heartbeats, releases, retries and expiry; and rate-limited admission.
 
-Both are folds over one key's events in order.  The lease fold runs in batch
-(``applyInPandas``) and in streams (``applyInPandasWithState``) by the same
-pure step.  Admission first counts requests per domain and second, so that a
-hot domain's fold is as long as its seconds, not its requests.
+Both are folds over one key's events in order.  The lease fold of a batch cuts
+a key's events into parts of bounded size, folds all parts at once inside the
+JVM, and repeats those whose predecessor turned out to end differently than
+assumed; since most parts end alike whatever they begin with, that is a few
+rounds even for a key with most of all events.  In streams a stateful processor
+does the same step, with event-time timers: a lease expires by itself, and the
+state of finished keys goes after a while.  Admission first counts requests per
+domain and second, so that a hot domain's fold is as long as its seconds, not
+its requests.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from tarn.operators.graph import cut_lineage
 
 LEASE, RETRY_DELAY, MAX_RETRIES = 3600, 60, 3
+#: Retry delays double up to this many times.
+MOST_DOUBLINGS = 30
+#: Seconds after which a stream forgets a key that is done.
+RETENTION = 7 * 86_400
+#: Events of a key in one part, about, and seconds whose events are never parted.
+PART_EVENTS, SLICE = 1024, 60
 STATE = "state string, owner string, ttl long, retries long"
+FOLDED = "struct<state:string,owner:string,ttl:bigint,retries:bigint,applied:bigint>"
 Fold = tuple[str, str | None, int | None, int]
 START: Fold = ("pending", None, None, 0)
 
@@ -34,7 +50,7 @@ def step(s: Fold, at: int, kind: str, owner: str | None) -> tuple[Fold, bool]:
     if kind == "done" and mine:
         return ("done", None, None, retries), True
     if kind == "failed" and mine:
-        return ("failed", None, at + RETRY_DELAY * 2**retries, retries + 1), True
+        return ("failed", None, at + (RETRY_DELAY << min(retries, MOST_DOUBLINGS)), retries + 1), True
     if kind == "retry" and state in ("failed", "done") and retries < MAX_RETRIES:
         return ("pending", None, at + RETRY_DELAY, retries), True
     if kind == "release" and mine:
@@ -42,34 +58,136 @@ def step(s: Fold, at: int, kind: str, owner: str | None) -> tuple[Fold, bool]:
     return (state, holder, ttl, retries), False
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """(key, state, owner, ttl, retries, applied) after all events (key, at, seq, kind, owner)."""
+def _folded(state: Any, owner: Any, ttl: Any, retries: Any, applied: Any) -> Column:
+    named = zip(("state", "owner", "ttl", "retries", "applied"), (state, owner, ttl, retries, applied), strict=True)
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in named]).cast(FOLDED)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        s, applied = START, 0
-        for at, kind, owner in g.sort_values(["at", "seq"])[["at", "kind", "owner"]].itertuples(index=False):
-            s, ok = step(s, int(at), kind, owner)
-            applied += ok
-        return pd.DataFrame([[g["key"].iloc[0], *s, applied]], columns=["key", "state", "owner", "ttl", "retries", "applied"])
 
-    kind = events.schema["key"].dataType.simpleString()
-    return events.select("key", "at", "seq", "kind", "owner").groupBy("key").applyInPandas(run, f"key {kind}, {STATE}, applied long")
+def _swept(s: Column, at: Column) -> Column:
+    """The state with a lease gone that ran out by ``at``."""
+    over = (s["state"] == "in_progress") & F.coalesce(s["ttl"] <= at, F.lit(False))
+    return F.when(over, _folded("pending", None, None, s["retries"], s["applied"])).otherwise(s)
+
+
+def _next(s: Column, e: Column) -> Column:
+    """``step`` as an expression, for a state that is swept."""
+    at, kind, r, n = e["at"], e["kind"], s["retries"], s["applied"] + 1
+    mine = (s["state"] == "in_progress") & s["owner"].eqNullSafe(e["owner"])
+    delay = F.call_function("shiftleft", F.lit(RETRY_DELAY).cast("long"), F.least(r, F.lit(MOST_DOUBLINGS)).cast("int"))
+    held = _folded("in_progress", e["owner"], at + LEASE, r, n)
+    return (
+        F.when((kind == "acquire") & s["state"].isin("pending", "failed"), held)
+        .when((kind == "heartbeat") & mine, held)
+        .when((kind == "done") & mine, _folded("done", None, None, r, n))
+        .when((kind == "failed") & mine, _folded("failed", None, at + delay, r + 1, n))
+        .when((kind == "retry") & s["state"].isin("failed", "done") & (r < MAX_RETRIES), _folded("pending", None, at + RETRY_DELAY, r, n))
+        .when((kind == "release") & mine, _folded("failed", None, None, r, n))
+        .otherwise(s)
+    )
+
+
+def _exit(entry: Column) -> Column:
+    """The state after a part's events, by the state before them; ``applied`` counts within the part."""
+    begin = _folded(entry["state"], entry["owner"], entry["ttl"], entry["retries"], 0)
+    return F.aggregate("es", begin, lambda s, e: F.transform(F.array(_swept(s, e["at"])), lambda x: _next(x, e))[0])
+
+
+def parts(events: DataFrame, size: int = PART_EVENTS, seconds: int = SLICE) -> DataFrame:
+    """(key, part, es): each key's events in order, in parts that hold about ``size`` of them."""
+    rows = events.select("key", "at", "seq", "kind", "owner", F.floor(F.col("at") / seconds).alias("slice"))
+    counts = rows.groupBy("key", "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    placed = counts.select("key", "slice", F.floor(F.coalesce(before, F.lit(0)) / size).alias("part"))
+    return rows.join(placed, ["key", "slice"]).groupBy("key", "part").agg(F.array_sort(F.collect_list(F.struct("at", "seq", "kind", "owner"))).alias("es"))
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
-    """The same fold over a stream; a row per key and micro-batch with its state then."""
+def fold(events: DataFrame, as_of: int | None = None, size: int = PART_EVENTS) -> DataFrame:
+    """(key, state, owner, ttl, retries, applied) after all events (key, at, seq, kind, owner).
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        s: Fold = tuple(state.get) if state.exists else START
-        s = (s[0], s[1], None if s[2] is None or s[2] < 0 else int(s[2]), int(s[3]))
-        rows = pd.concat(list(frames)).sort_values(["at", "seq"])
-        for at, kind, owner in rows[["at", "kind", "owner"]].itertuples(index=False):
+    With ``as_of`` leases that ran out by then are pending again.
+    """
+    every = cut_lineage(parts(events, size))
+    start = _folded(*START, 0)
+    runs = cut_lineage(every.select("key", "part", start.alias("entry"), _exit(start).alias("exit")))
+    order = Window.partitionBy("key").orderBy("part")
+    while True:
+        came = F.lag("exit").over(order)
+        true = F.when(came.isNull(), start).otherwise(_folded(came["state"], came["owner"], came["ttl"], came["retries"], 0))
+        checked = cut_lineage(runs.withColumn("true", true).withColumn("same", F.col("true").eqNullSafe(F.col("entry"))))
+        if not checked.where("not same").limit(1).count():
+            break
+        again = checked.where("not same").select("key", "part", F.col("true").alias("entry")).join(every, ["key", "part"])
+        again = again.select("key", "part", "entry", _exit(F.col("entry")).alias("exit"))
+        runs = cut_lineage(checked.where("same").select("key", "part", "entry", "exit").unionByName(again))
+    last = runs.groupBy("key").agg(F.max_by("exit", "part").alias("s"), F.sum("exit.applied").alias("applied"))
+    final = F.col("s") if as_of is None else _swept(F.col("s"), F.lit(as_of))
+    return last.select("key", final.alias("s"), "applied").select("key", "s.state", "s.owner", "s.ttl", "s.retries", "applied")
+
+
+class LeaseProcessor(StatefulProcessor):
+    """A key's lease in a stream: events move it, timers end it.
+
+    An event-time timer stands at the end of a lease and takes the key back to
+    pending without another event; one more drops the state of a key that has
+    been done for ``retention`` seconds.
+    """
+
+    def __init__(self, retention: int = RETENTION):
+        self.retention = retention
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lease = handle.getValueState("lease", STATE)
+
+    def _read(self) -> Fold:
+        if not self.lease.exists():
+            return START
+        state, owner, ttl, retries = self.lease.get()
+        return state, owner, ttl, retries
+
+    def _write(self, s: Fold, at: int) -> None:
+        self.lease.update(s)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if s[0] == "in_progress":
+            self.handle.registerTimer(s[2] * 1000)
+        elif s[0] == "done":
+            self.handle.registerTimer((at + self.retention) * 1000)
+
+    @staticmethod
+    def _row(key: Any, s: Fold, cause: str) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key], "state": [s[0]], "owner": pd.Series([s[1]], dtype=object), "ttl": pd.Series([s[2]], dtype="Int64"), "retries": [s[3]], "cause": [cause]})
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        s, at = self._read(), 0
+        for at, kind, owner in pd.concat(list(rows)).sort_values(["at", "seq"])[["at", "kind", "owner"]].itertuples(index=False):
             s, _ = step(s, int(at), kind, owner)
-        state.update((s[0], s[1], -1 if s[2] is None else s[2], s[3]))
-        yield pd.DataFrame([[key[0], *s]], columns=["key", "state", "owner", "ttl", "retries"])
+        self._write(s, int(at))
+        yield self._row(key[0], s, "event")
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        s, at = self._read(), expiredTimerInfo.getExpiryTimeInMs() // 1000
+        if s[0] == "in_progress" and s[2] <= at:
+            s = ("pending", None, None, s[3])
+            self.lease.update(s)
+            yield self._row(key[0], s, "expiry")
+        elif s[0] == "done":
+            self.lease.clear()
 
+    def close(self) -> None:
+        pass
+
+
+def fold_stream(events: DataFrame, late: str = "0 seconds", retention: int = RETENTION) -> DataFrame:
+    """The same fold over a stream of events: a row per key and micro-batch with its state, and one when a lease runs out.
+
+    Events may be late by ``late``; later ones are left out, as the timers of
+    their time may have gone off.  The state lives in RocksDB.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = events.schema["key"].dataType.simpleString()
-    return events.groupBy("key").applyInPandasWithState(run, f"key {kind}, {STATE}", STATE, "update", "NoTimeout")
+    timed = events.withColumn("__at", F.timestamp_seconds("at")).withWatermark("__at", late)
+    return timed.groupBy("key").transformWithStateInPandas(LeaseProcessor(retention), f"key {kind}, {STATE}, cause string", "Update", "EventTime")
 
 
 def admissions(requests: DataFrame, qps: int = 1, window: int = 60) -> DataFrame:

@@ -247,17 +247,70 @@ def bloom_positions(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", bloom.digest_positions(F.col("doc_id").cast("string"), 1_000_000)[0].alias("p0"))
 
 
-@query("rate_admission")
+#: Per user the seconds in order; each turn keeps what passed in the last minute.
+ADMISSION = """with recursive e as (select user_id, event_id, cast(floor(epoch(ts)) as bigint) as sec from events), p as (select user_id, sec, count(*) as asked, row_number() over (partition by user_id order by sec) as k from e group by 1, 2),
+ w as (select user_id, sec, k, least(asked, 60) as room, [{'s': sec, 'n': least(asked, 60)}] as held from p where k = 1
+  union all select user_id, p.sec, p.k, x.room, list_append(x.kept, {'s': p.sec, 'n': x.room}) from w join p using (user_id),
+   lateral (select list_filter(w.held, lambda h: h.s > p.sec - 60) as kept) y, lateral (select y.kept as kept, greatest(0, least(p.asked, 60 - coalesce(list_sum(list_transform(y.kept, lambda h: h.n)), 0))) as room) x where p.k = w.k + 1),
+ o as (select user_id, event_id, sec, row_number() over (partition by user_id, sec order by event_id) as place from e)
+ select user_id as key, event_id as seq, place <= room as admitted from o join w using (user_id, sec)"""
+
+
+@query("rate_admission", ADMISSION)
 def rate_admission(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("sec"), F.col("event_id").alias("seq"))
     return leases.admissions(e)
 
 
-@query("lease_fold")
+LEASE_KIND = "case event_type when 'signup' then 'acquire' when 'view' then 'heartbeat' when 'click' then 'retry' when 'purchase' then 'done' else 'failed' end"
+#: The fold by one event a turn: x is the state after the sweep.
+LEASE_FOLD = f"""with recursive e as (select user_id, cast(floor(epoch(ts)) as bigint) as sec, {LEASE_KIND} as kind, 'w' || (event_id % 2) as owner, row_number() over (partition by user_id order by floor(epoch(ts)), event_id) as k from events),
+ w as (select distinct user_id, cast(0 as bigint) as k, 'pending' as state, cast(null as varchar) as holder, cast(null as bigint) as ttl, cast(0 as bigint) as retries, cast(0 as bigint) as applied from e
+  union all select user_id, e.k, case a when 1 then 'in_progress' when 2 then 'done' when 3 then 'failed' when 4 then 'pending' else st end, case a when 1 then owner when 0 then ho end,
+   case a when 1 then sec + 3600 when 3 then sec + 60 * cast(pow(2, least(retries, 30)) as bigint) when 4 then sec + 60 when 0 then tt end, retries + case a when 3 then 1 else 0 end, applied + case a when 0 then 0 else 1 end
+   from (select e.*, x.*, w.retries, w.applied, case when kind = 'acquire' and st in ('pending', 'failed') then 1 when kind = 'heartbeat' and st = 'in_progress' and ho = owner then 1 when kind = 'done' and st = 'in_progress' and ho = owner then 2
+     when kind = 'failed' and st = 'in_progress' and ho = owner then 3 when kind = 'retry' and st in ('failed', 'done') and w.retries < 3 then 4 else 0 end as a
+    from w join e using (user_id), lateral (select coalesce(w.state = 'in_progress' and w.ttl <= e.sec, false) as gone) g, lateral (select case when gone then 'pending' else w.state end as st, case when gone then null else w.holder end as ho, case when gone then null else w.ttl end as tt) x where e.k = w.k + 1) e)
+ select user_id as key, state, holder as owner, ttl, retries, applied from w join (select user_id, max(k) as k from w group by 1) using (user_id, k)"""
+
+
+def lease_events(spark, sf_dir):
+    """Two workers over the users as URLs, and event types as what they do."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), at.alias("at"), F.col("event_id").alias("seq"), F.expr(LEASE_KIND).alias("kind"), F.concat(F.lit("w"), (F.col("event_id") % 2).cast("string")).alias("owner"))
+
+
+@query("lease_fold", LEASE_FOLD)
 def lease_fold(spark, sf_dir):
-    kind = F.expr("case event_type when 'signup' then 'acquire' when 'view' then 'heartbeat' when 'click' then 'retry' when 'purchase' then 'done' else 'failed' end")
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), F.lit("w1").alias("owner"))
-    return leases.fold(e)
+    return leases.fold(lease_events(spark, sf_dir))
+
+
+@query("lease_fold_in_parts", LEASE_FOLD)
+def lease_fold_in_parts(spark, sf_dir):
+    """The same with parts of a few events, whose beginnings are found in rounds."""
+    return leases.fold(lease_events(spark, sf_dir), size=32)
+
+
+@query("lease_stream", f"with f as ({LEASE_FOLD}), n as (select cast(max(floor(epoch(ts))) as bigint) as now from events) select key, case when state = 'in_progress' and ttl <= now then 'pending' else state end as state, retries from f, n")
+def lease_stream(spark, sf_dir):
+    """The same events as a stream with timers: after the last batch, leases that ran out before its watermark are pending."""
+    e = lease_events(spark, sf_dir)
+    top = f"{shared_folder(spark)}/leases-{uuid.uuid4().hex}"
+    e.write.parquet(f"{top}/in")
+    last = e.agg(F.max("at").alias("m")).first().m
+    if last is not None:
+        # one event of another key, which moves the watermark to the end
+        spark.createDataFrame([(-1, last, -1, "none", "none")], e.schema).write.mode("append").parquet(f"{top}/in")
+    stream = spark.readStream.schema(e.schema).parquet(f"{top}/in")
+    name = f"leases_{uuid.uuid4().hex}"
+
+    def keep(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{top}/out/{number}")
+
+    leases.fold_stream(stream).writeStream.queryName(name).foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{top}/progress").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{top}/out/*") if last is not None else spark.createDataFrame([], f"key long, {leases.STATE}, cause string, batch long")
+    best = rows.groupBy("key").agg(F.max_by(F.struct("state", "retries"), F.struct("batch", F.col("cause") == "expiry")).alias("s"))
+    return best.where("key >= 0").select("key", "s.state", "s.retries")
 
 
 @query("message_parsed_join", "select page_id, octet_length(encode(html)) as bytes from pages")

@@ -157,29 +157,68 @@ def test_japanese(spark):
     assert one(spark, japanese.fallback_keywords(F.lit("東京 abc ab ABC"), 5)) == ["abc", "東京"]
 
 
-def test_leases_batch_equals_stream(spark, tmp_path):
-    r = random.Random(4)
-    kinds = ["acquire", "heartbeat", "done", "failed", "retry", "release"]
-    rows = [(k, at * 900, at, r.choice(kinds), r.choice(["w1", "w2"])) for k in range(6) for at in range(40)]
-    schema = "key long, at long, seq long, kind string, owner string"
-    df = spark.createDataFrame(rows, schema)
-    batch = {x.key: (x.state, x.owner, x.retries) for x in leases.fold(df).collect()}
-    for part in range(2):
-        df.where(F.col("seq").between(part * 20, part * 20 + 19)).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
-    q = pipelines.lease_states(stream).writeStream.format("memory").queryName("lease_rows").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+LEASE_EVENTS = "key long, at long, seq long, kind string, owner string"
+
+
+def lease_rows(seed, keys, many, apart):
+    r = random.Random(seed)
+    kinds = ["acquire", "heartbeat", "done", "failed", "retry", "release", "other"]
+    return [(k, n * apart + r.randrange(apart), n, r.choice(kinds), r.choice(["w1", "w2", None])) for k in range(keys) for n in range(many)]
+
+
+def replay(rows, as_of=None):
+    """The lease of each key after its events, one by one."""
+    out = {}
+    for key in {r[0] for r in rows}:
+        s, applied = leases.START, 0
+        for _, at, _, kind, owner in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])):
+            new, ok = leases.step(s, at, kind, owner)
+            swept = s[0] == "in_progress" and s[2] <= at
+            if ok and kind != "heartbeat":
+                assert new[0] in D.TRANSITIONS["pending" if swept else s[0]]
+            s, applied = new, applied + ok
+        if as_of is not None and s[0] == "in_progress" and s[2] <= as_of:
+            s = ("pending", None, None, s[3])
+        out[key] = (*s, applied)
+    return out
+
+
+@pytest.mark.parametrize("size", [9, 1000])
+def test_lease_fold_in_parts(spark, size):
+    """Parts of any size give what a replay gives, and a hot key is folded in parts."""
+    rows = lease_rows(5, 4, 40, 700) + [(9, at, seq, kind, "w") for _, at, seq, kind, _ in lease_rows(6, 1, 120, 40)]
+    df = spark.createDataFrame(rows, LEASE_EVENTS)
+    got = {r.key: tuple(r)[1:] for r in leases.fold(df, size=size).collect()}
+    assert got == replay(rows)
+    if size == 9:
+        assert leases.parts(df, size).where("key = 9").count() > 8
+        assert {r.key: tuple(r)[1:] for r in leases.fold(df, as_of=10**6, size=size).collect()} == replay(rows, 10**6)
+    assert leases.fold(df.limit(0)).count() == 0
+
+
+def test_leases_in_a_stream(spark, tmp_path):
+    """Two batches and timers: states equal the fold's, leases run out without an event, finished keys are forgotten."""
+    rows = lease_rows(4, 6, 40, 900)
+    end = max(r[1] for r in rows)
+    # key 50 holds a lease that nothing ends; key 60 is done and its state is dropped, so it begins anew
+    rows += [(50, end - 5000, 0, "acquire", "w1"), (60, 10, 0, "acquire", "w1"), (60, 20, 1, "failed", "w1"), (60, 30, 2, "acquire", "w1"), (60, 40, 3, "done", "w1")]
+    df = spark.createDataFrame(rows, LEASE_EVENTS)
+    for part in (F.col("at") < end // 2, F.col("at") >= end // 2):
+        df.where(part).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    again = (60, end + 9000, 4, "acquire", "w2")
+    spark.createDataFrame([again, (99, end + 10_000, 0, "none", "none")], LEASE_EVENTS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(LEASE_EVENTS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    states = leases.fold_stream(stream, retention=3600)
+    q = states.writeStream.foreachBatch(lambda b, n: b.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(str(tmp_path / "out" / str(n)))).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert not q.exception()
-    got = {x.key: (x.state, x.owner, x.retries) for x in spark.table("lease_rows").collect()}
-    assert got == batch
-    s = leases.START
-    for _, at, _, kind, owner in rows[:40]:
-        new, ok = leases.step(s, at, kind, owner)
-        swept = s[0] == "in_progress" and s[2] <= at
-        old = "pending" if swept else s[0]
-        if ok and kind != "heartbeat":
-            assert new[0] in D.TRANSITIONS[old]
-        s = new
+    found = spark.read.parquet(str(tmp_path / "out" / "*")).orderBy("n", F.col("cause") == "expiry").collect()
+    got = {r.key: (r.state, r.owner, r.ttl, r.retries) for r in found}
+    want = {k: v[:4] for k, v in replay([r for r in rows if r[0] != 60], end + 10_000).items()}
+    assert {k: got[k] for k in want} == want
+    assert got[50] == ("pending", None, None, 0) and [r.cause for r in found if r.key == 50] == ["event", "expiry"]
+    # without its old state the key has no failed try behind it
+    assert [(r.state, r.retries) for r in found if r.key == 60] == [("done", 1), ("in_progress", 0)]
 
 
 def test_admission(spark):

@@ -237,8 +237,9 @@ def query_terms(q: str) -> tuple[list[str], bool]:
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Null if one of the vectors is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return dot(a, b) / F.nullif(F.sqrt(dot(a, a) * dot(b, b)), F.lit(0.0))
 
 
 def knn(vectors: DataFrame, key: str, column: str, probe: list[float], k: int, keep: Column | None = None, mode: str = "intended") -> DataFrame:
@@ -275,6 +276,17 @@ def rrf(lexical: DataFrame, vector: DataFrame, keep: int) -> DataFrame:
     return fused.orderBy(F.desc("rrf"), F.col("bm25_rank").asc_nulls_last(), F.col("vec_rank").asc_nulls_last()).limit(keep)
 
 
+def rrf_lists(lexical: list[tuple], vector: list[tuple], keep: int) -> list[tuple]:
+    """``rrf`` of two lists of (doc, score) in order, each as long as a page or two: [(doc, bm25_rank, vec_rank, rrf)]."""
+    places: dict = {}
+    for side, hits in enumerate((lexical, vector)):
+        for k, (doc, _) in enumerate(hits):
+            places.setdefault(doc, [None, None])[side] = k + 1
+    score = lambda a, b: 1 / (RRF_K + (a or len(lexical) + 1)) + 1 / (RRF_K + (b or len(vector) + 1))
+    last = len(places) + 1
+    return sorted(((d, a, b, score(a, b)) for d, (a, b) in places.items()), key=lambda r: (-r[3], r[1] or last, r[2] or last))[:keep]
+
+
 def page(hits: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     return hits.orderBy(*order).offset((number - 1) * size).limit(size)
 

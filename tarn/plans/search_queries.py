@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from tarn.operators import ivf
 from tarn.operators import search as S
 from tarn.operators import vectors as V
 from tarn.plans.registry import query, table
@@ -41,7 +45,15 @@ def index(spark, sf_dir):
     return S.build_index(table(spark, sf_dir, "documents"), "doc_id", {"content": F.col("text")})
 
 
-_opened: dict[str, S.KeptIndex] = {}
+#: The index last opened by this application, by name: its places and what ``open_index`` made of them.
+_opened: dict[str, tuple[tuple, object]] = {}
+
+
+def _open(spark, name: str, paths: dict[str, str], how):
+    mark = (spark.sparkContext.applicationId, *paths.values())
+    if _opened.get(name, (None,))[0] != mark:
+        _opened[name] = mark, how(spark, paths)
+    return _opened[name][1]
 
 
 def kept(spark, sf_dir) -> S.KeptIndex:
@@ -51,11 +63,23 @@ def kept(spark, sf_dir) -> S.KeptIndex:
         fields = {"title": F.split_part("text", F.lit("\n"), F.lit(1)), "content": F.col("text"), "keywords": F.concat_ws(" ", "lang", "source")}
         return S.index_writers(table(spark, sf_dir, "documents"), "doc_id", fields)
 
-    paths = kept_tables(spark, "index", f"{sf_dir}/documents.parquet", build)
-    if paths["postings"] not in _opened:
-        _opened.clear()
-        _opened[paths["postings"]] = S.open_index(spark, paths)
-    return _opened[paths["postings"]]
+    return _open(spark, "index", kept_tables(spark, "index", f"{sf_dir}/documents.parquet", build), S.open_index)
+
+
+def kept_vectors(spark, sf_dir) -> ivf.Index:
+    """The index of all vectors, written once per version of the table."""
+    paths = kept_tables(spark, "vectors", f"{sf_dir}/embeddings.parquet", lambda: ivf.writers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+    return _open(spark, "vectors", paths, ivf.open_index)
+
+
+def kept_document_vectors(spark, sf_dir) -> ivf.Index:
+    """The index of the vectors that have a document."""
+
+    def build():
+        known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
+        return ivf.writers(table(spark, sf_dir, "embeddings").join(known, "vec_id", "left_semi"), "vec_id", "embedding")
+
+    return _open(spark, "document-vectors", kept_tables(spark, "document-vectors", f"{sf_dir}/embeddings.parquet", build), ivf.open_index)
 
 
 def probe(spark, sf_dir) -> list[float]:
@@ -186,33 +210,66 @@ def knn_lsh(spark, sf_dir):
     return true.join(found.select("doc", F.lit(1).alias("hit")), "doc", "left").agg(F.count(F.lit(1)).alias("k"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
 
 
-def fused(spark, sf_dir):
-    lexical = S.ranked(multi(spark, sf_dir), 20, "bm25_rank")
-    known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
-    near = S.knn(table(spark, sf_dir, "embeddings").join(known, "vec_id", "left_semi"), "vec_id", "embedding", probe(spark, sf_dir), 20)
-    return S.rrf(lexical, S.ranked(near.select("doc", F.round("score", 9).alias("score")), 20, "vec_rank"), 20)
+def local(spark, rows: list[tuple], schema: str):
+    """A bounded list as a table without a job."""
+    return spark.createDataFrame(rows, schema)
+
+
+@query("knn_index", f"with {COSINE} select doc, round(score, 6) as score from v order by round(score, 9) desc, doc limit 20")
+def knn_index(spark, sf_dir):
+    """The exact nearest by the index: codes of the lists in question, then full vectors of a few keys."""
+    found, _ = ivf.exact(kept_vectors(spark, sf_dir), probe(spark, sf_dir), 20)
+    return local(spark, found, "doc long, score double").select("doc", F.round("score", 6).alias("score"))
+
+
+@query("knn_index_recall", "select count(*) as probes, true as enough, true as few from (select * from embeddings order by vec_id limit 50)")
+def knn_index_recall(spark, sf_dir):
+    """50 probes at once by the approximate form: nine in ten true neighbours are found (``enough``), from full vectors of at most 15 % of the rows (``few``)."""
+    index, v = kept_vectors(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    probes = np.array([r.embedding for r in v.orderBy("vec_id").limit(50).select("embedding").collect()])
+    found = ivf.near_many(index, probes, 20).select("probe", "doc", F.lit(1).alias("hit"))
+    true = ivf.true_neighbours(v, "embedding", probes, 20, ["vec_id"]).select("probe", F.col("vec_id").alias("doc"))
+    share = ivf.REFINE * 20 / max(1, int(index.sizes.sum()))
+    both = true.join(found, ["probe", "doc"], "left")
+    return both.agg(F.countDistinct("probe").alias("probes"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough")).select("probes", "enough", F.lit(share <= 0.15).alias("few"))
+
+
+def fused(spark, sf_dir) -> list[tuple]:
+    """[(doc, bm25_rank, vec_rank, rrf)]: both lists of 20 at once, by two threads, and their fusion."""
+    with ThreadPoolExecutor(2) as pool:
+        lexical = pool.submit(lambda: [tuple(r) for r in multi(spark, sf_dir).orderBy(F.desc("score"), "doc").limit(20).collect()])
+        vector = pool.submit(lambda: ivf.nearest(kept_document_vectors(spark, sf_dir), probe(spark, sf_dir), 20))
+        return S.rrf_lists(lexical.result(), vector.result(), 20)
 
 
 @query("rrf_fuse", f"{FUSED} select doc, bm25_rank, vec_rank, round(rrf, 9) as rrf from z order by rrf desc, bm25_rank nulls last, vec_rank nulls last limit 20")
 def rrf_fuse(spark, sf_dir):
-    return fused(spark, sf_dir).select("doc", "bm25_rank", "vec_rank", F.round("rrf", 9).alias("rrf"))
+    return local(spark, fused(spark, sf_dir), "doc long, bm25_rank long, vec_rank long, rrf double").withColumn("rrf", F.round("rrf", 9))
+
+
+@query("rrf_join", f"{FUSED} select doc, bm25_rank, vec_rank, round(rrf, 9) as rrf from z order by rrf desc, bm25_rank nulls last, vec_rank nulls last limit 20")
+def rrf_join(spark, sf_dir):
+    """The same fusion as a full outer join of two ranked tables."""
+    lexical = S.ranked(multi(spark, sf_dir), 20, "bm25_rank")
+    near = local(spark, ivf.nearest(kept_document_vectors(spark, sf_dir), probe(spark, sf_dir), 20), "doc long, score double")
+    both = S.rrf(lexical, S.ranked(near.withColumn("score", F.round("score", 9)), 20, "vec_rank"), 20)
+    return both.select("doc", "bm25_rank", "vec_rank", F.round("rrf", 9).alias("rrf"))
 
 
 @query("hybrid_search", f"{FUSED}, t as (select * from z order by rrf desc, bm25_rank nulls last, vec_rank nulls last limit 10) select doc, round(rrf, 9) as rrf, lang, source as site, md5(case when length(text) > 300 then substr(text, 1, 300) || '...' else text end) as snippet_md5 from t join documents on doc = doc_id")
 def hybrid_search(spark, sf_dir):
-    """First page of the hybrid search with the hit's projection."""
+    """First page of the hybrid search with the hit's projection; the page's keys are constants for the scan of documents."""
     from tarn.functions.text import snippet
 
-    order = [F.desc("rrf"), F.col("bm25_rank").asc_nulls_last(), F.col("vec_rank").asc_nulls_last()]
-    first = S.page(fused(spark, sf_dir), order, 1, 10)
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang", F.col("source").alias("site"), F.md5(snippet(F.col("text"))).alias("snippet_md5"))
-    return d.join(F.broadcast(first), "doc").select("doc", F.round("rrf", 9).alias("rrf"), "lang", "site", "snippet_md5")
+    first = [(doc, round(score, 9)) for doc, _, _, score in fused(spark, sf_dir)[:10]]
+    d = table(spark, sf_dir, "documents").where(F.col("doc_id").isin(*[doc for doc, _ in first])) if first else table(spark, sf_dir, "documents").limit(0)
+    hits = local(spark, first, "doc long, rrf double")
+    return d.select(F.col("doc_id").alias("doc"), "lang", F.col("source").alias("site"), F.md5(snippet(F.col("text"))).alias("snippet_md5")).join(F.broadcast(hits), "doc").select("doc", "rrf", "lang", "site", "snippet_md5")
 
 
 @query("search_page_2", f"{FUSED} select doc, round(rrf, 9) as rrf from (select * from z order by rrf desc, bm25_rank nulls last, vec_rank nulls last limit 20) order by rrf desc, bm25_rank nulls last, vec_rank nulls last limit 5 offset 5")
 def search_page_2(spark, sf_dir):
-    order = [F.desc("rrf"), F.col("bm25_rank").asc_nulls_last(), F.col("vec_rank").asc_nulls_last()]
-    return S.page(fused(spark, sf_dir), order, 2, 5).select("doc", F.round("rrf", 9).alias("rrf"))
+    return local(spark, [(doc, score) for doc, _, _, score in fused(spark, sf_dir)[5:10]], "doc long, rrf double").withColumn("rrf", F.round("rrf", 9))
 
 
 @query("suggest", f"with {POSTINGS}, d as (select term, count(*) as df from p group by 1) select term, cast(levenshtein(term, 'erthes') as int) as distance, df from d where substr(term, 1, 1) = 'e' and levenshtein(term, 'erthes') <= 2 order by distance, df desc, term limit 10")

@@ -109,7 +109,7 @@ class KeptIndex:
     postings: DataFrame
     terms: DataFrame
     fields: dict[str, tuple[int, float]]  # field -> documents, mean length
-    buckets: int = BUCKETS
+    buckets: int | None = BUCKETS  # None: postings have no bucket column
 
 
 def index_writers(docs: DataFrame, key: str, fields: dict[str, Column], buckets: int = BUCKETS, parts: int = PARTS) -> dict[str, Callable[[str], None]]:
@@ -215,8 +215,9 @@ def lexical(index: KeptIndex, asked: list[str], boosts: dict[str, float] | None
     mine = index.postings.where(F.lit(False))
     if names:
         # constants, so that only the buckets and row groups of these terms are read
-        buckets = [F.pmod(F.xxhash64(F.lit(t)), F.lit(index.buckets)).cast("int") for t in names]
-        mine = index.postings.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*names))
+        mine = index.postings.where(F.col("term").isin(*names))
+        if index.buckets:
+            mine = mine.where(F.col("bucket").isin(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(index.buckets)).cast("int") for t in names]))
     tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     scored = mine.join(F.broadcast(terms), ["field", "term"]).select("doc", "asked", (F.col("once") * tf).alias("once"), (F.col("whole") * tf).alias("whole"))
     if not cross:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tarn.operators import ivf
+from tarn.operators import ivf, segments
 from tarn.operators import search as S
 from tarn.operators import vectors as V
 from tarn.plans.registry import query, table
-from tarn.sources.shared import kept_tables
+from tarn.sources.shared import kept_tables, shared_folder
 
 TERMS = ["the", "tion", "erthe", "und", "que"]
 VECTOR = 0
@@ -137,6 +138,36 @@ def bm25_index_scores(spark, sf_dir):
     return S.bm25(index(spark, sf_dir), TERMS, {"content": 3.0}).select("doc", F.round("score", 6).alias("score"))
 
 
+LIVE = BM25.replace("from documents)", "from documents where lang <> 'es')", 1)
+
+
+@query("segment_scores", f"with {LIVE} select doc, round(score, 6) as score from b")
+def segment_scores(spark, sf_dir):
+    """An index that went through changes: old texts in four batches, all replaced, a merge, one language deleted; scores as of the live documents."""
+    d = table(spark, sf_dir, "documents")
+    index = segments.SegmentedIndex(spark, f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}")
+    for k in range(4):
+        index.add(d.where(F.col("doc_id") % 4 == k), "doc_id", {"content": F.concat_ws(" ", "source", "lang", F.substring("text", 1, 200))})
+    index.add(d, "doc_id", {"content": F.col("text")})
+    index.merge()
+    index.delete(d.where("lang = 'es'"), "doc_id")
+    return S.lexical(index.view(), TERMS, {"content": 3.0}).select("doc", F.round("score", 6).alias("score"))
+
+
+@query(
+    "segment_counts",
+    "with n as (select count(*) as n, cast(sum(case when lang = 'es' then 1 else 0 end) as bigint) as es from documents) select 'first' as batch, n as indexed, cast(0 as bigint) as replaced, cast(0 as bigint) as deleted, cast(0 as bigint) as missing from n union all select 'second', n, n, 0, 0 from n union all select 'deletes', 0, 0, es, 0 from n union all select 'deletes again', 0, 0, 0, es from n",
+)
+def segment_counts(spark, sf_dir):
+    """What every batch of changes did: items indexed, replaced, deleted, missing."""
+    d = table(spark, sf_dir, "documents")
+    index = segments.SegmentedIndex(spark, f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}")
+    gone = d.where("lang = 'es'")
+    content = {"content": F.col("source")}
+    done = {"first": index.add(d, "doc_id", content), "second": index.add(d, "doc_id", content), "deletes": index.delete(gone, "doc_id"), "deletes again": index.delete(gone, "doc_id")}
+    return local(spark, [(k, w.indexed, w.replaced, w.deleted, w.missing) for k, w in done.items()], "batch string, indexed long, replaced long, deleted long, missing long")
+
+
 @query("bm25_topk", f"with {BM25} select doc, round(score, 6) as score from b order by round(score, 9) desc, doc limit 20")
 def bm25_topk(spark, sf_dir):
     return scores(spark, sf_dir).orderBy(F.desc("score"), "doc").limit(20).select("doc", F.round("score", 6).alias("score"))

@@ -16,6 +16,7 @@ from tarn.plans.registry import query, table
 from tarn.plans.url_queries import DOMAIN
 from tarn.sources import stores
 from tarn.sources.shared import shared_folder
+from tarn.sources.versioned import VersionedTable
 
 
 def _place(spark, name):
@@ -77,10 +78,38 @@ def delete_keys(spark, sf_dir):
     return stores.delete_keys(e, e.where("event_type = 'error'").select("user_id").distinct(), "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("batch_write_counts", "select cast(event_id // 25 as bigint) as batch, count(*) as written, cast(25 - count(*) as bigint) as missing from events group by 1")
+@query(
+    "batch_write_counts",
+    "select cast(event_id // 25 as bigint) as batch, cast(sum(case when event_type <> 'error' then 1 else 0 end) as bigint) as written, cast(sum(case when event_type = 'error' then 1 else 0 end) as bigint) as refused from events group by 1",
+)
 def batch_write_counts(spark, sf_dir):
-    """Batches of 25 items with how many of each were written."""
-    return table(spark, sf_dir, "events").groupBy(F.expr("event_id div 25").alias("batch")).agg(F.count(F.lit(1)).alias("written"), (F.lit(25).cast("long") - F.count(F.lit(1))).alias("missing"))
+    """Batches of 25 puts that must not replace anything, into a table that has the errors already: what was written and what refused."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    t = VersionedTable.create(e.where("event_type = 'error'"), _place(spark, "puts"), "event_id", 8)
+    out = t.update(e.withColumn("expected", F.lit(None).cast("long")))
+    refused = out.refused.select("event_id", F.lit(1).alias("no"))
+    per = e.join(refused, "event_id", "left").groupBy(F.expr("event_id div 25").alias("batch"))
+    return per.agg(F.count_if(F.col("no").isNull()).alias("written"), F.count("no").alias("refused"))
+
+
+@query(
+    "conditional_writes",
+    """select c_custkey, case when c_nationkey < 10 then 'MOVED' else c_mktsegment end as segment, round(case when c_acctbal < 0 then null when c_mktsegment = 'BUILDING' then c_acctbal + 10 else c_acctbal end, 2) as balance,
+    cast(1 + case when c_mktsegment = 'BUILDING' then 1 else 0 end + case when c_nationkey < 10 then 1 else 0 end + case when c_acctbal < 0 then 1 else 0 end as bigint) as version from customer""",
+)
+def conditional_writes(spark, sf_dir):
+    """Two writers that have read the same version of their rows: the second is refused where the first was, reads again and succeeds; then columns are removed."""
+    c = table(spark, sf_dir, "customer")
+    t = VersionedTable.create(c.select("c_custkey", F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("double").alias("balance")), _place(spark, "customers"), "c_custkey", 8)
+    one = F.lit(1).cast("long").alias("expected")
+    first = c.where("c_mktsegment = 'BUILDING'").select("c_custkey", one, (F.col("c_acctbal").cast("double") + 10).alias("balance"))
+    second = c.where("c_nationkey < 10").select("c_custkey", one, F.lit("MOVED").alias("segment"))
+    t.update(first)
+    refused = t.update(second).refused
+    now = lambda: t.read().select("c_custkey", F.col("version").alias("expected"))
+    t.update(refused.drop("expected").join(now(), "c_custkey"))
+    t.update(c.where("c_acctbal < 0").select("c_custkey", F.array(F.lit("balance")).alias("removes")).join(now(), "c_custkey"))
+    return t.read().select("c_custkey", "segment", F.round("balance", 2).alias("balance"), "version")
 
 
 BASE = f"""select page_id, url, domain, body, status, {PRIORITY} as priority, lang, case when page_id % 2 = 0 then [domain, lang] else [] end as words from c"""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tarn.functions import urls as U
-from tarn.operators import bloom, chunking, japanese, leases, robots
+from tarn.operators import bloom, chunking, growing, japanese, leases, robots
 from tarn.operators.embedding import embed
 from tarn.operators.graph import link_edges
 from tarn.operators.html_record import decoded, parse_pages
@@ -232,6 +232,33 @@ def bloom_layers(spark, sf_dir):
     return rows.agg(F.max("asked").alias("asked"), F.max("maybe").alias("maybe"), F.lit(len(layers) > 1).alias("grown"), F.bool_and("few_others").alias("few_others"))
 
 
+@query("bloom_batches", "with u as (select distinct url from pages) select (select count(*) from u) as added, cast(0 as bigint) as again, (select count(*) from u) as maybe, true as few_others")
+def bloom_batches(spark, sf_dir):
+    """A filter for 20 values that three batches of URLs make grow: all are added once, none is lost, none is added again."""
+    p = pages(spark, sf_dir).select("url").distinct()
+    f = growing.GrowingFilter(spark, f"{shared_folder(spark)}/growing-{uuid.uuid4().hex}", 20, 1e-6)
+    parts = [p.where(F.pmod(F.xxhash64("url"), F.lit(3)) == k) for k in range(3)]
+    added, again = sum(f.add(x, "url") for x in parts), f.add(p, "url")
+    inside = f.probe(p, "url").agg(F.count_if("maybe").alias("maybe"))
+    others = f.probe(p.select(F.concat("url", F.lit("#not-there")).alias("url")), "url").agg((F.count_if("maybe") <= 3).alias("few_others"))
+    both = inside.select("maybe", F.lit(1).alias("k")).join(others.withColumn("k", F.lit(1)), "k")
+    return both.select(F.lit(added).cast("long").alias("added"), F.lit(again).cast("long").alias("again"), "maybe", "few_others")
+
+
+@query(
+    "rotating_stream",
+    "with e as (select event_id, user_id, cast(floor(epoch(ts)) as bigint) as sec from events), l as (select event_id, sec // 86400 as g, lag(sec // 86400) over (partition by user_id order by sec, event_id) as before from e) select event_id, coalesce(before >= g - 2, false) as seen from l",
+)
+def rotating_stream(spark, sf_dir):
+    """Users as values in filters of three days in a stream's state: whether one was seen today or on the last two days."""
+    e = table(spark, sf_dir, "events").select(F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), F.col("user_id").alias("value"))
+    top = f"{shared_folder(spark)}/rotating-{uuid.uuid4().hex}"
+    e.write.parquet(f"{top}/in")
+    stream = growing.generations_stream(spark.readStream.schema(e.schema).parquet(f"{top}/in"), 86_400)
+    stream.writeStream.format("parquet").option("path", f"{top}/out").outputMode("append").option("checkpointLocation", f"{top}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("seq long, value string, seen boolean").parquet(f"{top}/out").select(F.col("seq").alias("event_id"), "seen")
+
+
 @query("bloom_file", "select count(distinct url) as maybe, true as same from pages")
 def bloom_file(spark, sf_dir):
     """Written, read back by what it says of itself, and probed."""

@@ -15,6 +15,7 @@ from tarn.plans.document_queries import CRAWL, PRIORITY, crawl
 from tarn.plans.registry import query, table
 from tarn.plans.url_queries import DOMAIN
 from tarn.sources import stores
+from tarn.sources.queues import Queue
 from tarn.sources.shared import shared_folder
 from tarn.sources.versioned import VersionedTable
 
@@ -112,6 +113,24 @@ def conditional_writes(spark, sf_dir):
     return t.read().select("c_custkey", "segment", F.round("balance", 2).alias("balance"), "version")
 
 
+@query(
+    "queue_redelivery",
+    """select page_id, cast(case when page_id % 3 = 0 then 2 else 1 end as int) as deliveries from pages""",
+)
+def queue_redelivery(spark, sf_dir):
+    """Every page as a message: two thirds are acknowledged, the others come again after the time-out, and only they."""
+    p = table(spark, sf_dir, "pages")
+    q = Queue(spark, _place(spark, "queue"), visibility=30, buckets=8)
+    q.send(p.select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("body"), F.create_map(F.lit("kind"), F.lit("page")).alias("attributes")), 0)
+    everything = p.count()
+    first = q.receive(1, everything)
+    q.acknowledge(first.where(F.col("id").cast("long") % 3 != 0))
+    early = q.receive(2, everything).select("id", "received")
+    again = q.receive(40, everything).select("id", "received")
+    every = first.select("id", "received").unionByName(early).unionByName(again)
+    return every.groupBy(F.col("id").cast("long").alias("page_id")).agg(F.max("received").alias("deliveries"))
+
+
 BASE = f"""select page_id, url, domain, body, status, {PRIORITY} as priority, lang, case when page_id % 2 = 0 then [domain, lang] else [] end as words from c"""
 
 

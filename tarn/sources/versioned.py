@@ -17,7 +17,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StructType
 
 from tarn.operators.graph import cut_lineage
 from tarn.sources.shared import _fs, exists, remove
@@ -130,16 +130,17 @@ class VersionedTable:
 
         ``changes`` has the key, ``expected`` (null: there must be no such
         row), new values under their columns' names (null: as it was) and, if
-        wanted, ``removes``: names of columns to empty.  Of several changes of
-        one key the least by all columns counts and the others are refused.
+        wanted, ``removes``: names of columns to empty, or ``gone``: true for a
+        row to delete.  Of several changes of one key the least by all columns
+        that have an order counts and the others are refused.
         Another writer's commit in between makes this one judge anew where it
         touched the same buckets.
         """
         base, entry = self.log.latest()
         key, column = entry["key"], self.column
         asked = changes.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(entry["buckets"])).cast("int"))
-        columns = [c for c in changes.columns]
-        first = F.row_number().over(_order(key, columns)) == 1
+        columns = changes.columns
+        first = F.row_number().over(_order(key, [f.name for f in changes.schema if not isinstance(f.dataType, MapType)])) == 1
         asked = cut_lineage(asked.withColumn("__first", first))
         touched = sorted(r[0] for r in asked.select("__bucket").distinct().collect())
         for _ in range(ATTEMPTS):
@@ -157,8 +158,10 @@ class VersionedTable:
 
             made = {key: F.col("__key"), column: F.coalesce(F.col(f"__row.{column}"), F.lit(0).cast("long")) + 1}
             good = judged.where("__good")
+            if "gone" in columns:
+                good = good.where(~F.coalesce("__new_gone", F.lit(False)))
             changed = good.select(*[(made[c] if c in made else value(c)).alias(c) for c in old.columns])
-            stay = old.join(good.select(F.col("__key").alias(key)), key, "left_anti").select(*old.columns)
+            stay = old.join(judged.where("__good").select(F.col("__key").alias(key)), key, "left_anti").select(*old.columns)
             written = self._with(entry, stay.unionByName(changed), touched)
             if before_commit:
                 before_commit()
@@ -176,7 +179,7 @@ class VersionedTable:
                     if clash:
                         break
                     continue
-                applied = good.count()
+                applied = judged.where("__good").count()
                 refused = judged.where("not __good").select(F.col("__key").alias(key), F.col("__expected").alias("expected"), *[F.col(f"__new_{c}").alias(c) for c in columns if c not in (key, "expected")])
                 return Outcome(version, applied, refused)
         raise Conflict(f"{self.path} changed {ATTEMPTS} times while it was read")

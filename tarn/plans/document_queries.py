@@ -46,12 +46,30 @@ def body_coalesce(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(b).alias("md5"))
 
 
-@query(
-    "doc_categories",
-    f"""select doc_id, array_to_string(list_sort(list_filter([{', '.join(f"case when regexp_matches(lower(text), '{'|'.join(w)}') then '{n}' end" for n, w in T.CATEGORY_WORDS.items())}], lambda x: x is not null)), ',') as categories from documents""",
-)
+#: What is put to each document by its number: (title, words after the text, domain), some of which say a category.
+SAID = [
+    ("Docker and Kubernetes", "how we run our database", "blog.example"),
+    ("Quarterly report", "sales and marketing strategy", "nikkei.com"),
+    ("Hello", "nothing at all", "github.com"),
+    ("Breaking update", "", "news.yahoo.co.jp"),
+    ("An essay", "about walking", "medium.com"),
+    ("An essay", "about walking", "example.com"),
+    ("React for finance", "PYTHON api", "zenn.dev"),
+]
+CATEGORIES = f"""list_sort(list_distinct(list_concat(case d {" ".join(f"when '{h}' then [{', '.join(repr(x) for x in names)}]" for h, names in T.DOMAIN_CATEGORIES.items())} else [] end,
+ list_filter([{', '.join(f"case when regexp_matches(lower(t || ' ' || c), '{'|'.join(w)}') then '{n}' end" for n, w in T.CATEGORY_WORDS.items())}], lambda x: x is not null))))"""
+SAYING = f"""s as (select doc_id, t, text || ' ' || w as c, d from documents join (values {", ".join(f"({k}, '{t}', '{w}', '{d}')" for k, (t, w, d) in enumerate(SAID))}) v(k, t, w, d) on k = doc_id % {len(SAID)})"""
+
+
+def said(spark, sf_dir):
+    """(doc_id, t, c, d): title, content and domain of each document."""
+    of = F.element_at(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w"), F.lit(d).alias("d")) for t, w, d in SAID]), (F.col("doc_id") % len(SAID) + 1).cast("int"))
+    return docs(spark, sf_dir).select("doc_id", "text", of.alias("o")).select("doc_id", "o.t", F.concat("text", F.lit(" "), "o.w").alias("c"), "o.d")
+
+
+@query("doc_categories", f"with {SAYING} select doc_id, array_to_string({CATEGORIES}, ',') as categories from s")
 def doc_categories(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.array_join(T.categories(F.lit(""), F.col("text"), F.lit("none")), ",").alias("categories"))
+    return said(spark, sf_dir).select("doc_id", F.array_join(T.categories(F.col("t"), F.col("c"), F.col("d")), ",").alias("categories"))
 
 
 WORDS = "list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Za-z]{3,}'))"
@@ -64,9 +82,9 @@ def doc_keywords(spark, sf_dir):
 
 
 
-@query("category_counts", f"""with c as (select doc_id, unnest(list_filter([{', '.join(f"case when regexp_matches(lower(text), '{'|'.join(w)}') then '{n}' end" for n, w in T.CATEGORY_WORDS.items())}], lambda x: x is not null)) as category from documents) select category, count(*) as n from c group by 1""")
+@query("category_counts", f"with {SAYING}, x as (select doc_id, unnest({CATEGORIES}) as category from s) select category, count(*) as n from x group by 1")
 def category_counts(spark, sf_dir):
-    return docs(spark, sf_dir).select(F.explode(T.categories(F.lit(""), F.col("text"), F.lit("none"))).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return said(spark, sf_dir).select(F.explode(T.categories(F.col("t"), F.col("c"), F.col("d"))).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("content_hash", "select doc_id, md5(text) as content_md5 from documents")
@@ -107,14 +125,33 @@ def word_count_reading_time(spark, sf_dir):
     return d.select("doc_id", "words", T.reading_minutes(F.col("words")).alias("minutes"))
 
 
-@query("is_japanese", "select doc_id, false as japanese from documents")
+#: The first characters of a document with up to nine kanji behind them.
+MIXED = "select doc_id, substr(text, 1, 20) || repeat('東', cast(doc_id % 10 as int)) as t from documents"
+JA_SHARE = "length(regexp_replace(t, '[^\u3040-\u309f\u30a0-\u30ff\u4e00-\u9faf]', '', 'g')) / length(t)"
+
+
+def mixed(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.concat(F.substring("text", 1, 20), F.repeat(F.lit("東"), (F.col("doc_id") % 10).cast("int"))).alias("t"))
+
+
+@query("is_japanese", f"with m as ({MIXED}) select doc_id, {JA_SHARE} > 0.1 as japanese from m")
 def is_japanese(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.is_japanese(F.col("text")).alias("japanese"))
+    return mixed(spark, sf_dir).select("doc_id", T.is_japanese(F.col("t")).alias("japanese"))
+
+
+@query("is_japanese_fixture", f"with m as ({MIXED}) select doc_id as id, {JA_SHARE} > 0.1 as tenth, {JA_SHARE} > 0 as any_at_all, {JA_SHARE} > 0.3 as three_tenths from m")
+def is_japanese_fixture(spark, sf_dir):
+    """The share of kana and kanji against the limits that the variants use."""
+    t = F.col("t")
+    return mixed(spark, sf_dir).select(F.col("doc_id").alias("id"), T.is_japanese(t).alias("tenth"), T.is_japanese(t, 0.0).alias("any_at_all"), T.is_japanese(t, 0.3).alias("three_tenths"))
 
 
-@query("japanese_normal_forms", "select 1 as id, 'ABC123xyz東京' as normal")
+@query("japanese_normal_forms", "select doc_id as id, 'ABC' || doc_id || upper(lang) || 'xyz東京' as normal from documents")
 def japanese_normal_forms(spark, sf_dir):
-    return spark.range(1, 2).select(F.col("id").cast("int").alias("id"), T.japanese_normal(F.lit("ＡＢＣ１２３※ｘｙｚ★東京")).alias("normal"))
+    """Each document's number and language in wide characters, with marks between them."""
+    wide = lambda c: F.translate(c, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ")
+    told = F.concat(F.lit("ＡＢＣ"), wide(F.col("doc_id").cast("string")), wide(F.upper("lang")), F.lit("※ｘｙｚ★東京"))
+    return docs(spark, sf_dir).select(F.col("doc_id").alias("id"), T.japanese_normal(told).alias("normal"))
 
 
 def language(spark, sf_dir, mode):
@@ -200,10 +237,12 @@ def error_classify(spark, sf_dir):
     return e.select("page_id", "e.error_type", D.should_retry(F.col("e"), F.col("page_id") % 5).alias("retry"))
 
 
-@query("backoff_schedule", "select r as retry, least(3600, cast(60 * pow(2, r) as bigint)) as delay, least(300, cast(pow(2, r) as bigint)) as dlq_delay, round(least(30.0, 2.0 * pow(2.0, r)), 6) as network_delay from range(0, 12) t(r)")
+@query("backoff_schedule", "select event_id, r as retry, least(3600, cast(60 * pow(2, r) as bigint)) as delay, least(300, cast(pow(2, r) as bigint)) as dlq_delay, round(least(30.0, 2.0 * pow(2.0, r)), 6) as network_delay from (select event_id, event_id % 12 as r from events)")
 def backoff_schedule(spark, sf_dir):
-    r = F.col("id")
-    return spark.range(12).select(r.alias("retry"), D.backoff(r).alias("delay"), D.dlq_delay(r).alias("dlq_delay"), F.round(D.preset_delay(r, "network"), 6).alias("network_delay"))
+    """Delays by the number of tries, which an event's number gives."""
+    r = F.col("retry")
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 12).alias("retry"))
+    return e.select("event_id", "retry", D.backoff(r).alias("delay"), D.dlq_delay(r).alias("dlq_delay"), F.round(D.preset_delay(r, "network"), 6).alias("network_delay"))
 
 
 @query("retry_schedule", f"with {CRAWL} select page_id, cast(unnest(range(0, 3)) as bigint) as attempt from c where status >= 500")

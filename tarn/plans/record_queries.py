@@ -182,18 +182,19 @@ def chunk_children(spark, sf_dir):
     return chunking.child_documents(docs(spark, sf_dir), "doc_id", "source", "text", "lang").drop("content")
 
 
-@query("japanese_features", "select '東京都' as keyword, '東京都庁舎' as phrase")
+@query("japanese_features", "select doc_id, source || '都' as keyword, source || '都' || lang || '庁舎' as phrase from documents")
 def japanese_features(spark, sf_dir):
-    tokens = [("東京都", "東京都", "名詞", "固有", "地域"), ("庁舎", "庁舎", "名詞", "一般", ""), ("は", "は", "助詞", "", "")]
-    df = spark.createDataFrame([(tokens,)], "t array<struct<surface:string,base:string,pos:string,detail1:string,detail2:string>>")
-    return df.select(japanese.keywords(F.col("t"), 1)[0].alias("keyword"), japanese.noun_phrases(F.col("t"))[0].alias("phrase"))
+    """Tokens made of each document's source and language: a proper noun, a noun, a particle."""
+    token = lambda surface, *more: F.struct(*[(x if not isinstance(x, str) else F.lit(x)).alias(n) for n, x in zip(("surface", "base", "pos", "detail1", "detail2"), (surface, surface, *more), strict=True)])
+    tokens = F.array(token(F.concat("source", F.lit("都")), "名詞", "固有", "地域"), token(F.concat("lang", F.lit("庁舎")), "名詞", "一般", ""), token("は", "助詞", "", ""))
+    return docs(spark, sf_dir).select("doc_id", tokens.alias("t")).select("doc_id", japanese.keywords(F.col("t"), 1)[0].alias("keyword"), japanese.noun_phrases(F.col("t"))[0].alias("phrase"))
 
 
-@query("japanese_analysis", "select count(*) as n from conversations")
+@query("japanese_analysis", "select conv_id, turn, '東京' || (turn % 10) || 'です' as told, '東京' as noun from conversations")
 def japanese_analysis(spark, sf_dir):
-    t = F.col("t")
-    tokens = table(spark, sf_dir, "conversations").select(japanese.analyze(F.col("text")).alias("t"))
-    return tokens.select(japanese.keywords(t, 5).alias("k"), japanese.normalized(t).alias("n")).agg(F.count_if(F.col("k").isNotNull() & F.col("n").isNotNull()).alias("n"))
+    """A Japanese sentence about each turn, cut at changes of script: the kanji are its keyword."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("東京"), (F.col("turn") % 10).cast("string"), F.lit("です")).alias("told"))
+    return c.select("conv_id", "turn", "told", japanese.analyze(F.col("told")).alias("t")).select("conv_id", "turn", "told", japanese.keywords(F.col("t"), 1)[0].alias("noun"))
 
 
 @query("fallback_keywords", "select doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x) >= 3), lambda x: lower(x))))[1:10], ',') as keywords from documents")
@@ -350,9 +351,7 @@ def message_parsed_join(spark, sf_dir):
     return there.union(gone).join(parsed, "key", "left").where("bytes is not null").select("page_id", "bytes")
 
 
-@query("sample_hits", "select cast(id as bigint) as id, 'Result ' || id as title, 'https://example.com/' || id as url from range(31, 61) t(id)")
+@query("sample_hits", "select page_id as id, 'Result ' || page_id as title, url from pages order by page_id limit 30 offset 30")
 def sample_hits(spark, sf_dir):
-    return stores.sample_hits(spark, 2)
-
-
-
+    """The second page of thirty hits, with the titles that a search without a title shows."""
+    return stores.sample_hits(pages(spark, sf_dir), "page_id", "url", 2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarn.functions import decisions as D
@@ -11,7 +12,7 @@ from tarn.functions import text as T
 from tarn.functions import urls as U
 from tarn.operators import documents as O
 from tarn.operators import robots
-from tarn.plans.document_queries import CRAWL, PRIORITY, crawl
+from tarn.plans.document_queries import CATEGORIES, CRAWL, PRIORITY, SAYING, crawl, said
 from tarn.plans.registry import query, table
 from tarn.plans.url_queries import DOMAIN
 from tarn.sources import stores
@@ -195,11 +196,16 @@ CHARSETS = [
 ]
 
 
-@query("charset_fixture", "select * from (values " + ", ".join(f"({i}, '{t}')" for i, t, _, _ in CHARSETS) + ") t(id, text)")
+@query("charset_fixture", "select page_id as id, text || url as text from pages join (values " + ", ".join(f"({i - 1}, '{t}')" for i, t, *_ in CHARSETS) + f") t(k, text) on k = page_id % {len(CHARSETS)}")
 def charset_fixture(spark, sf_dir):
-    rows = [(i, t.encode(codec), kind) for i, t, codec, kind in CHARSETS]
-    df = spark.createDataFrame(rows, "id int, raw binary, kind string")
-    return df.select("id", O.decoded_bytes(F.col("raw"), F.col("kind")).alias("text"))
+    """Each page's URL behind a text in one of the charsets, and the header that names it, names none or a wrong one."""
+    which = (F.col("page_id") % len(CHARSETS) + 1).cast("int")
+    url = lambda codec: F.encode("url", "UTF-16LE" if codec == "utf-16" else "ISO-8859-1")
+    raw, kind = F.lit(None).cast("binary"), F.lit(None).cast("string")
+    for i, t, codec, header in CHARSETS:
+        raw = F.when(which == i, F.concat(F.lit(bytearray(t.encode(codec))), url(codec))).otherwise(raw)
+        kind = F.when(which == i, header).otherwise(kind)
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), O.decoded_bytes(raw, kind).alias("text"))
 
 
 @query("charset_pages", "select page_id, md5(html) as md5 from pages")
@@ -212,34 +218,11 @@ def charset_pages(spark, sf_dir):
     return p.select("page_id", F.md5(O.decoded_bytes(raw, F.concat(F.lit("text/html; charset="), kind))).alias("md5"))
 
 
-#: (id, title, content, domain, categories in order).
-CATEGORISED = [
-    (1, "Docker and Kubernetes", "how we run our database", "blog.example", "technology"),
-    (2, "Quarterly report", "sales and marketing strategy", "nikkei.com", "business,japanese,news"),
-    (3, "Hello", "nothing at all", "github.com", "software,technology"),
-    (4, "Breaking update", "", "news.yahoo.co.jp", "japanese,news"),
-    (5, "An essay", "about walking", "medium.com", "article,blog"),
-    (6, "An essay", "about walking", "example.com", ""),
-    (7, "React for finance", "PYTHON api", "zenn.dev", "business,japanese,programming,technology"),
-]
-
-
-@query("categories_fixture", "select * from (values " + ", ".join(f"({i}, '{c}')" for i, *_, c in CATEGORISED) + ") t(id, categories)")
+@query("categories_fixture", f"with {SAYING} select d as domain, array_to_string({CATEGORIES}, ',') as categories, count(*) as n from s group by 1, 2")
 def categories_fixture(spark, sf_dir):
-    df = spark.createDataFrame([r[:4] for r in CATEGORISED], "id int, title string, content string, domain string")
-    return df.select("id", F.array_join(T.categories(F.col("title"), F.col("content"), F.col("domain")), ",").alias("categories"))
-
-
-#: (id, text, more than a tenth Japanese, any kana or kanji, more than three tenths).
-SCRIPTS = [(1, "東京タワー", True, True, True), (2, "Tokyo Tower", False, False, False), (3, "I saw 東京 last year in May", False, True, False), (4, "ひらがな and more", True, True, True), (5, "", False, False, False), (6, "abcdefgh漢字", True, True, False)]
-
-
-@query("is_japanese_fixture", "select * from (values " + ", ".join(f"({i}, {a}, {b}, {c})" for i, _, a, b, c in SCRIPTS) + ") t(id, tenth, any_at_all, three_tenths)")
-def is_japanese_fixture(spark, sf_dir):
-    """The share of kana and kanji against the limits that the variants use."""
-    df = spark.createDataFrame([(i, t) for i, t, *_ in SCRIPTS], "id int, text string")
-    t = F.col("text")
-    return df.select("id", T.is_japanese(t).alias("tenth"), T.is_japanese(t, 0.0).alias("any_at_all"), T.is_japanese(t, 0.3).alias("three_tenths"))
+    """Documents by the domain that is put to them and the categories that follow from it and their words."""
+    found = said(spark, sf_dir).select(F.col("d").alias("domain"), F.array_join(T.categories(F.col("t"), F.col("c"), F.col("d")), ",").alias("categories"))
+    return found.groupBy("domain", "categories").agg(F.count(F.lit(1)).alias("n"))
 
 
 ROBOTS = [
@@ -262,10 +245,18 @@ FETCHES = [
 ]
 
 
-@query("robots_fixture", "select * from (values " + ", ".join(f"('{u}', {a}, {b}, {'null' if d is None else d})" for u, a, b, d in FETCHES) + ") t(url, other, mine, delay)")
+#: A file for every domain of the pages by the length of its name, without one for some.
+FILED = f"d as (select distinct {DOMAIN} as domain from pages), f as (select domain, length(domain) % {len(ROBOTS) + 1} as k from d)"
+
+
+@query("robots_fixture", f"with {FILED} select 'https://' || domain || path as url, other, mine, delay from f join (values " + ", ".join(f"({'abcdef'.index(u[8])}, '{u[17:]}', {a}, {b}, {'null' if d is None else d})" for u, a, b, d in FETCHES) + ") t(k, path, other, mine, delay) using (k)")
 def robots_fixture(spark, sf_dir):
-    r = robots.rules(spark.createDataFrame(ROBOTS, "domain string, robots string"))
-    u = spark.createDataFrame([(f[0],) for f in FETCHES], "url string")
+    """The files' cases for all domains of the pages: groups, remarks, upper case, no file at all."""
+    d = table(spark, sf_dir, "pages").select(U.domain(F.col("url")).alias("domain")).distinct().withColumn("k", F.length("domain") % (len(ROBOTS) + 1))
+    text = F.element_at(F.array(*[F.lit(t) for _, t in ROBOTS], F.lit(None).cast("string")), F.col("k") + 1)
+    r = robots.rules(d.select("domain", text.alias("robots")).where("robots is not null"))
+    paths = F.element_at(F.array(*[F.array(*[F.lit(u[17:]) for u, *_ in FETCHES if u[8] == c]) for c in "abcdef"]), F.col("k") + 1)
+    u = d.select("domain", F.explode(paths).alias("path")).select(F.concat(F.lit("https://"), "domain", "path").alias("url"))
     other = robots.can_fetch(u, r, "somebot").select("url", F.col("allowed").alias("other"), F.col("crawl_delay").alias("delay"))
     return other.join(robots.can_fetch(u, r, "tarnbot/1.0").select("url", F.col("allowed").alias("mine")), "url").select("url", "other", "mine", "delay")
 
@@ -282,7 +273,8 @@ def known_urls_semi(spark, sf_dir):
 @query("migration_order", "select cast(page_id as bigint) as version, cast(row_number() over (order by page_id) as bigint) as up, cast(row_number() over (order by page_id desc) as bigint) as down from pages order by page_id limit 20")
 def migration_order(spark, sf_dir):
     """Steps up in the order of their versions, oldest first; back in the reverse order."""
-    steps = [r.page_id for r in table(spark, sf_dir, "pages").select("page_id").orderBy("page_id").limit(20).collect()]
-    many = table(spark, sf_dir, "pages").count()
-    plan = stores.migration_plan([(v, f"step {v}") for v in steps[::-1]])
-    return spark.createDataFrame([(v, k + 1, many - k) for k, (v, _) in enumerate(plan)], "version long, up long, down long")
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("version"))
+    many = p.count()
+    # a window over twenty rows
+    first = stores.migration_plan(p, "version").limit(20)
+    return first.select("version", F.row_number().over(Window.orderBy("version")).cast("long").alias("up")).withColumn("down", F.lit(many) - F.col("up") + 1)

@@ -61,9 +61,9 @@ def read_objects(spark: SparkSession, path: str, keep: Column | None = None) ->
     return df.where(keep) if keep is not None else df
 
 
-def migration_plan(steps: list[tuple], back: bool = False) -> list[tuple]:
-    """Migration steps (version, ...) oldest first; newest first to go back."""
-    return sorted(steps, key=lambda s: s[0], reverse=back)
+def migration_plan(steps: DataFrame, version: str, back: bool = False) -> DataFrame:
+    """Migration steps oldest first; newest first to go back."""
+    return steps.orderBy(F.desc(version) if back else F.asc(version))
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
@@ -97,7 +97,7 @@ def copy_table(spark: SparkSession, source: str, target: str, columns: dict[str,
     (df.withColumns(columns) if columns else df).write.mode("errorifexists").parquet(target)
 
 
-def sample_hits(spark: SparkSession, page: int = 1, size: int = 30) -> DataFrame:
-    """A hundred made-up hits, a page of them."""
-    hits = spark.range(1, 101).select("id", F.concat(F.lit("Result "), F.col("id").cast("string")).alias("title"), F.concat(F.lit("https://example.com/"), F.col("id").cast("string")).alias("url"))
+def sample_hits(rows: DataFrame, key: str, url: str, page: int = 1, size: int = 30) -> DataFrame:
+    """A page of hits in the order of their keys, for lists without a score or a title."""
+    hits = rows.select(F.col(key).alias("id"), F.concat(F.lit("Result "), F.col(key).cast("string")).alias("title"), F.col(url).alias("url"))
     return hits.orderBy("id").offset((page - 1) * size).limit(size)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import os
 import re
 import uuid
@@ -17,6 +18,7 @@ from tarn.operators import search as S
 from tarn.operators.embedding import hashed
 from tarn.sources.shared import shared_folder
 
+log = logging.getLogger(__name__)
 SORTS = ("_score", "published_at", "popularity_score")
 
 
@@ -36,6 +38,16 @@ class SearchQuery:
             raise ValueError(f"invalid query {self}")
 
 
+@dataclass
+class SearchResponse:
+    """A page of hits and how many there are in all."""
+
+    total: int
+    hits: list[dict]
+    page: int
+    size: int
+
+
 #: Columns that a sort key stands for, by what is there.
 SORT_COLUMNS = {"published_at": ("published_at", "fetched_at"), "popularity_score": ("popularity_score", "processing_priority")}
 
@@ -96,6 +108,26 @@ class SearchService:
         found = self.docs.select("doc", "lang", "site", "text").join(F.broadcast(page), "doc")
         return found.orderBy("__place").select("doc", "score", "lang", "site", snippet(F.col("text")).alias("snippet"), S.fragments(F.col("text"), terms).alias("fragments"))
 
+    def respond(self, query: SearchQuery) -> SearchResponse:
+        """``search`` as a page of rows with the number of all hits; any error gives an empty page, and is logged."""
+        try:
+            rows = [r.asDict() for r in self.search(query).collect()]
+            return SearchResponse(self.total(query), rows, query.page, query.size)
+        except Exception:
+            log.exception("search failed for %r", query.q)
+            return SearchResponse(0, [], query.page, query.size)
+
+    def total(self, query: SearchQuery) -> int:
+        """Hits on all pages: of the terms, and with vectors the lists that are fused."""
+        terms, fuzzy = S.query_terms(query.q)
+        keep = S.build_filter({k: v for k, v in (("lang", query.lang), ("site", query.site)) if v})
+        inside = self.docs.where(keep).select("doc")
+        hits = S.lexical(self.index, terms, S.BOOSTS, S.CROSS_BOOSTS, fuzzy).join(inside, "doc", "left_semi").select("doc")
+        if self.vectors is not None:
+            near = S.knn(self.vectors.join(inside, "doc", "left_semi"), "doc", "embedding", [float(x) for x in hashed([query.q])[0]], 2 * query.size)
+            hits = hits.limit(2 * query.size).union(near.select("doc")).distinct()
+        return hits.count()
+
     def suggest(self, q: str, size: int = 10) -> list[str]:
         """Terms of titles and keywords near ``q``; of the content where there are neither."""
         if not 1 <= len(q) <= 100 or not 1 <= size <= 20:
@@ -130,19 +162,44 @@ class Settings:
     concurrency: int = 10
     per_domain: int = 2
     qps: float = 1.0
+    qps_overrides: dict[str, float] = field(default_factory=dict)
     max_bytes: int = 50 * 1024 * 1024
     batch: int = 5
     chunk_size: int = 8000
     chunk_overlap: int = 200
+    timeout: float = 30.0
+    max_retries: int = 3
+    base_backoff: float = 60.0
+    max_backoff: float = 3600.0
+    lease: int = 3600
+    heartbeat: int = 30
+    limit_rates: bool = True
+    rate_store: str = "shared"
+    queue: str = "queue"
+    store: str = "store"
+    states: str = "states"
+
+    def problems(self) -> tuple[list[str], list[str]]:
+        """(errors, warnings): numbers out of range, settings that contradict each other, places that are not named."""
+        errors = [f"{n} must be positive" for n in ("concurrency", "per_domain", "qps", "max_bytes", "batch", "chunk_size", "timeout", "base_backoff") if getattr(self, n) <= 0]
+        errors += [f"{n} is required" for n in ("queue", "store", "states") if not getattr(self, n)]
+        errors += [f"qps of {d} must be positive" for d, q in self.qps_overrides.items() if q <= 0]
+        rules = {
+            "rate_store is required where rates are limited": self.limit_rates and not self.rate_store,
+            "per_domain must not exceed concurrency": self.per_domain > self.concurrency,
+            "chunk_overlap must be less than chunk_size": self.chunk_overlap >= self.chunk_size,
+            "max_retries must not be negative": self.max_retries < 0,
+            "max_backoff must not be less than base_backoff": self.max_backoff < self.base_backoff,
+            "heartbeat must be less than lease": self.heartbeat >= self.lease,
+        }
+        return errors + [r for r, broken in rules.items() if broken], ["lease is under a minute"] if self.lease < 60 else []
 
     def __post_init__(self) -> None:
-        wrong = [n for n in ("concurrency", "per_domain", "qps", "max_bytes", "batch", "chunk_size") if getattr(self, n) <= 0]
-        if self.per_domain > self.concurrency:
-            wrong.append("per_domain")
-        if self.chunk_overlap >= self.chunk_size:
-            wrong.append("chunk_overlap")
-        if wrong:
-            raise ValueError("invalid settings: " + ", ".join(wrong))
+        errors, warnings = self.problems()
+        for w in warnings:
+            log.warning(w)
+        if errors:
+            raise ValueError("invalid settings: " + "; ".join(errors))
 
 
 def main(args: list[str] | None = None) -> int:

@@ -62,3 +62,29 @@ def decoded_bytes(raw: Column, content_type: Column) -> Column:
 
     plain = F.is_valid_utf8(raw.cast("string")) & (~F.coalesce(F.lower(content_type), F.lit("")).contains("charset=") | F.coalesce(F.lower(content_type), F.lit("")).rlike(r"charset=\s*utf-8\s*(;|$)"))
     return F.when(plain, raw.cast("string")).otherwise(run(F.when(~plain, raw), content_type))
+
+
+#: Characters of a title and of an error that go to an object's metadata.
+MOST_TITLE, MOST_ERROR = 200, 1000
+
+
+def _said(pairs: dict[str, Column]) -> Column:
+    """A map of the pairs whose value is there and not empty."""
+    every = F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v.cast("string"))])
+    return F.map_filter(every, lambda k, v: v.isNotNull() & (v != ""))
+
+
+def raw_metadata(url: Column, domain: Column, status: Column, fetched_at: Column, error: Column) -> Column:
+    """Metadata of a page's raw object; a long error is cut."""
+    return _said({"source-url": url, "content-type": F.lit("text/html"), "domain": domain, "status-code": status, "fetched-at": iso(fetched_at), "crawl-error": F.substring(error, 1, MOST_ERROR)})
+
+
+def parsed_metadata(url: Column, domain: Column, language: Column, title: Column, published_at: Column) -> Column:
+    """Metadata of a page's parsed object; a long title is cut, a missing language is unknown."""
+    return _said({"source-url": url, "content-type": F.lit("application/json"), "domain": domain, "language": F.coalesce(F.nullif(language, F.lit("")), F.lit("unknown")), "title": F.substring(title, 1, MOST_TITLE), "published-at": iso(published_at)})
+
+
+def processing_event(kind: Column, url: Column, domain: Column, at: Column, details: Column) -> Column:
+    """A message about a page's way through the store (body, attributes): content_stored, processing_complete or error."""
+    body = F.to_json(F.struct(kind.alias("event_type"), url.alias("url"), iso(at).alias("timestamp"), details.alias("details")))
+    return F.struct(body.alias("body"), F.create_map(F.lit("EventType"), kind, F.lit("Domain"), domain).alias("attributes"))

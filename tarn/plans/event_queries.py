@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarn.functions import decisions as D
+from tarn.operators import crawl_log as L
 from tarn.operators import rates
 from tarn.plans.registry import query, table
 
@@ -274,3 +275,49 @@ def message_decode(spark, sf_dir):
 def message_rejects(spark, sf_dir):
     parsed = F.from_json("props", "k long, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     return events(spark, sf_dir).select(parsed.alias("m")).agg(F.count_if(F.col("m._bad").isNotNull()).alias("rejects"))
+
+
+#: The log that the events stand for: a user is a worker, a minute a domain, and every type an event with its fields.
+NAMES = {"signup": "crawl_started", "view": "crawl_completed", "error": "crawl_failed", "click": "lock_acquired", "purchase": "lock_failed"}
+NAME = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in NAMES.items()) + " else 'rate_limited' end"
+LOG = f"g as (select event_id, user_id, 'd' || (event_id % 50) as domain, {NAME} as event, value, 'e' || (event_id % 3) as error_type from events)"
+
+
+def crawl_log(spark, sf_dir):
+    fields = F.create_map(F.lit("status_code"), F.lit("200"), F.lit("response_time_ms"), F.col("value").cast("string"), F.lit("error_type"), F.concat(F.lit("e"), (F.col("event_id") % 3).cast("string")), F.lit("url_hash"), F.lit("h"))
+    rows = events(spark, sf_dir).select("event_id", "user_id", F.concat(F.lit("d"), (F.col("event_id") % 50).cast("string")).alias("domain"), F.expr(NAME).alias("event"), fields.alias("fields"))
+    return L.typed(rows)
+
+
+@query(
+    "crawl_log_events",
+    f"with {LOG} select event_id, event, case event when 'crawl_failed' then 'error' when 'lock_acquired' then 'debug' when 'lock_failed' then 'debug' when 'rate_limited' then 'warning' else 'info' end as level, case when event = 'crawl_completed' then cast(200 as int) end as status_code, case when event = 'crawl_completed' then value end as response_time_ms, case when event = 'crawl_failed' then error_type end as error_type, case when event like 'lock%' then 'h' end as url_hash from g",
+)
+def crawl_log_events(spark, sf_dir):
+    return crawl_log(spark, sf_dir).select("event_id", "event", "level", "status_code", "response_time_ms", "error_type", "url_hash")
+
+
+@query(
+    "crawl_worker_summary",
+    f"""with {LOG}, t as (select user_id, error_type, count(*) as n from g where event = 'crawl_failed' group by 1, 2), j as (select user_id, string_agg(error_type || ':' || n, ',' order by error_type) as errors from t group by 1),
+    m as (select user_id, count(*) filter (event = 'crawl_completed') as good, count(*) filter (event = 'crawl_failed') as bad, count(*) filter (event = 'lock_acquired') as held, count(*) filter (event = 'lock_failed') as missed, count(distinct domain) as domains, coalesce(sum(value) filter (event = 'crawl_completed'), 0) as time from g group by 1)
+    select user_id, good as urls_successful, bad as urls_failed, round(good / greatest(1, good + bad), 6) as success_rate, round(held / greatest(1, held + missed), 6) as lock_success_rate, domains, round(time / greatest(1, good + bad) + 1e-9, 4) as mean_time, coalesce(errors, '') as errors from m left join j using (user_id)""",
+)
+def crawl_worker_summary(spark, sf_dir):
+    """The summary of every worker, with locks, domains and errors by type."""
+    s = L.worker_summary(crawl_log(spark, sf_dir), "user_id")
+    told = F.array_join(F.transform(F.map_entries("errors_by_type"), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
+    # a hair more, so that halves in sums of different orders go the same way
+    rounded = [F.round(F.col(c) + more, d).alias(c) for c, d, more in (("success_rate", 6, 0.0), ("lock_success_rate", 6, 0.0), ("mean_time", 4, 1e-9))]
+    return s.select("user_id", "urls_successful", "urls_failed", *rounded, "domains", told.alias("errors"))
+
+
+@query(
+    "retry_stats",
+    "with p as (select user_id, count(*) as n, bool_or(event_type <> 'error') as ok from events group by user_id, event_id // 3) select count(*) as total_calls, count(*) filter (ok) as successful_calls, cast(sum(n) as bigint) as total_attempts, round(count(*) filter (ok) / count(*), 6) as success_rate, round(sum(n) / count(*), 6) as average_attempts from p",
+)
+def retry_stats(spark, sf_dir):
+    """A call is what a user does in three events in a row; it succeeds if one of them is no error."""
+    e = events(spark, sf_dir).select(F.struct("user_id", F.expr("event_id div 3")).alias("call"), (F.col("event_type") != "error").alias("ok"))
+    s = L.retry_stats(e, "call", "ok")
+    return s.select("total_calls", "successful_calls", "total_attempts", F.round("success_rate", 6).alias("success_rate"), F.round("average_attempts", 6).alias("average_attempts"))

@@ -278,3 +278,29 @@ def migration_order(spark, sf_dir):
     # a window over twenty rows
     first = stores.migration_plan(p, "version").limit(20)
     return first.select("version", F.row_number().over(Window.orderBy("version")).cast("long").alias("up")).withColumn("down", F.lit(many) - F.col("up") + 1)
+
+
+@query(
+    "result_records",
+    f"""select page_id, 'raw' as kind, length(html) > 1000 as cut, least(length(html), 1000) as told, {DOMAIN} as domain, cast(null as varchar) as language from pages
+    union all select page_id, 'parsed', length(html) > 200, least(length(html), 200), {DOMAIN}, case when page_id % 5 = 0 then 'unknown' else 'en' end from pages""",
+)
+def result_records(spark, sf_dir):
+    """Both objects of a crawl result with their metadata: the page as a long error and as a long title, cut to their limits."""
+    p = table(spark, sf_dir, "pages")
+    at, domain, lang = F.lit("2024-02-03 04:05:06").cast("timestamp"), U.domain(F.col("url")), F.when(F.col("page_id") % 5 > 0, "en")
+    raw = O.raw_metadata(F.col("url"), domain, F.lit(200), at, F.col("html"))
+    parsed = O.parsed_metadata(F.col("url"), domain, lang, F.col("html"), F.lit(None).cast("timestamp"))
+    said_of = lambda kind, m, c: F.struct(F.lit(kind).alias("kind"), (F.length("html") > F.length(m[c])).alias("cut"), F.length(m[c]).alias("told"), m["domain"].alias("domain"), m["language"].alias("language"))
+    return p.select("page_id", F.explode(F.array(said_of("raw", raw, "crawl-error"), said_of("parsed", parsed, "title"))).alias("r")).select("page_id", "r.*")
+
+
+@query(
+    "processing_events",
+    f"select page_id, '{{\"event_type\":\"' || k || '\",\"url\":\"' || url || '\",\"timestamp\":\"2024-02-03T04:05:06+00:00\",\"details\":{{\"bytes\":' || octet_length(encode(html)) || '}}}}' as body, k as kind, {DOMAIN} as domain from pages, (values ('content_stored'), ('processing_complete')) v(k)",
+)
+def processing_events(spark, sf_dir):
+    """Two messages for each page, with their attributes."""
+    p = table(spark, sf_dir, "pages").withColumn("kind", F.explode(F.array(F.lit("content_stored"), F.lit("processing_complete"))))
+    m = O.processing_event(F.col("kind"), F.col("url"), U.domain(F.col("url")), F.lit("2024-02-03 04:05:06").cast("timestamp"), F.struct(F.octet_length("html").alias("bytes")))
+    return p.select("page_id", m.alias("m")).select("page_id", "m.body", F.col("m.attributes")["EventType"].alias("kind"), F.col("m.attributes")["Domain"].alias("domain"))

@@ -279,8 +279,16 @@ def test_api(spark):
     assert service.suggest("erthe", 5) and service.health()["status"] == "green"
     with pytest.raises(ValueError):
         api.SearchQuery("", page=0)
-    with pytest.raises(ValueError):
-        api.Settings(per_domain=50)
+    page = service.respond(api.SearchQuery("the tion", size=5, lang="en"))
+    assert page.total >= 5 and [h["doc"] for h in page.hits] == [h.doc for h in hits] and (page.page, page.size) == (1, 5)
+    # an index that is gone gives an empty page, not an error
+    service.close()
+    gone = service.respond(api.SearchQuery("the", page=2))
+    assert (gone.total, gone.hits, gone.page) == (0, [], 2)
+    for wrong in ({"per_domain": 50}, {"max_backoff": 1.0}, {"heartbeat": 3600}, {"qps_overrides": {"a.com": 0}}, {"rate_store": ""}, {"max_retries": -1}, {"chunk_overlap": 8000}, {"timeout": 0}, {"store": ""}):
+        with pytest.raises(ValueError):
+            api.Settings(**wrong)
+    assert api.Settings(lease=50).problems() == ([], ["lease is under a minute"]) and api.Settings(limit_rates=False, rate_store="").problems() == ([], [])
     assert api.expand({"a": ["${NONE_SUCH:x}"]}, {}) == {"a": ["x"]}
     assert "url?: string;" in schemas.to_typescript("crawl_result")
     assert SimpleNamespace(**schemas.constraints("crawl_message")).priority is not None

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,10 +105,13 @@ class SegmentedIndex:
                 died += n
         return segments, died
 
-    def add(self, docs: DataFrame, key: str, fields: dict[str, Column]) -> Written:
-        """Indexes a batch; a document of a key that is there already replaces it.  Keys are distinct within a batch."""
+    def add(self, docs: DataFrame, key: str, fields: dict[str, Column], analyze: Callable[[Column], Column] = tokens) -> Written:
+        """Indexes a batch; a document of a key that is there already replaces it.  Keys are distinct within a batch.
+
+        ``analyze`` makes an array of terms of a text; queries are to use the same.
+        """
         rows = docs.select(F.col(key).alias("doc"), *[text.alias(f"f_{name}") for name, text in fields.items()])
-        each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), tokens(F.col(f"f_{n}")).alias("t")) for n in fields]))
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(analyze(F.col(f"f_{n}")), F.array().cast("array<string>")).alias("t")) for n in fields]))
         cut = rows.select("doc", each.alias("x")).select("doc", "x.field", "x.t", F.size("x.t").cast("long").alias("len"))
         counted = cut.select("field", "doc", "len", F.explode("t").alias("term")).groupBy("field", "term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
         chars = rows.agg(*[F.coalesce(F.sum(F.length(f"f_{n}")), F.lit(0)) for n in fields]).first()

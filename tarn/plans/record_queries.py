@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tarn.functions import urls as U
-from tarn.operators import bloom, chunking, growing, japanese, leases, robots
-from tarn.operators.embedding import embed
-from tarn.operators.graph import link_edges
+from tarn.operators import bloom, chunking, growing, ivf, japanese, learned, leases, robots
+from tarn.operators.embedding import embed, hashed
+from tarn.operators.graph import cut_lineage, link_edges
 from tarn.operators.html_record import decoded, parse_pages
 from tarn.plans.registry import query, table
 from tarn.plans.url_queries import DOMAIN
@@ -207,6 +208,22 @@ def embed_documents(spark, sf_dir):
     return docs(spark, sf_dir).select(embed(F.col("text")).alias("e")).agg(F.count("e").alias("n"), F.max(F.size("e")).alias("dims"))
 
 
+@query("embed_learned", "select count(*) as probes, true as better from (select doc_id from documents where trim(text) <> '' order by doc_id limit 50)")
+def embed_learned(spark, sf_dir):
+    """Of the ten nearest of 50 documents more are in their language by learnt vectors than by hashed ones of the same size."""
+    d = docs(spark, sf_dir).where(F.btrim("text", F.lit(chunking.SPACE)) != "").select("doc_id", "lang", "text")
+    model = learned.fit(d, dims=16)
+    found = []
+    for make in (model, lambda texts: hashed(texts, 16)):
+        v = cut_lineage(d.select("doc_id", "lang", embed(F.col("text"), make).alias("v")))
+        asked = v.orderBy("doc_id").limit(50).collect()
+        near = ivf.true_neighbours(v, "v", np.array([r.v for r in asked]), 11, ["doc_id", "lang"])
+        own = spark.createDataFrame([(k, r.doc_id, r.lang) for k, r in enumerate(asked)], "probe int, own long, mine string")
+        found.append(near.join(F.broadcast(own), "probe").where("doc_id <> own").agg(F.countDistinct("probe").alias("probes"), F.avg((F.col("lang") == F.col("mine")).cast("int")).alias("share")).first())
+    a, b = found
+    return spark.createDataFrame([(a.probes, a.share >= b.share)], "probes long, better boolean")
+
+
 @query("bloom_probe", "with u as (select distinct url from pages) select 'pages' as side, count(*) as asked, count(*) as maybe, true as as_expected from u union all select 'others', count(*), null, true from u")
 def bloom_probe(spark, sf_dir):
     """All page URLs are in the filter; of as many others hardly one is taken for present."""

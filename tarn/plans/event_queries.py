@@ -50,9 +50,9 @@ def next_allowed_overrides(spark, sf_dir):
 
 @query("request_gaps", "select event_id, coalesce(date_diff('microsecond', lag(ts) over (partition by user_id order by ts, event_id), ts) >= 1000000, true) as far_enough from events")
 def request_gaps(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    return events(spark, sf_dir).select("event_id", F.coalesce(t - F.lag(t).over(w) >= 1_000_000, F.lit(True)).alias("far_enough"))
+    e = events(spark, sf_dir).select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    found = rates.previous(e, "user_id", "t", "event_id", F.col("t"), "before")
+    return found.select("event_id", F.coalesce(F.col("t") - F.col("before") >= 1_000_000, F.lit(True)).alias("far_enough"))
 
 
 @query("qps_overrides", "select user_id, cast(case when user_id % 10 = 0 then 5 else 1 end as int) as qps, count(*) as requests from events group by 1, 2")
@@ -78,8 +78,8 @@ def state_counts(spark, sf_dir):
     select old, new, count(*) as n, bool_or(case old when 'pending' then new = 'in_progress' when 'in_progress' then new in ('done', 'failed', 'pending') when 'failed' then new in ('pending', 'in_progress') when 'done' then new = 'pending' else false end) as valid from s where old is not null group by 1, 2""",
 )
 def state_transitions(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    s = events(spark, sf_dir).select(F.expr(STATE).alias("new"), F.lag(F.expr(STATE)).over(w).alias("old")).where("old is not null")
+    e = events(spark, sf_dir).select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.expr(STATE).alias("new"))
+    s = rates.previous(e, "user_id", "t", "event_id", F.col("new"), "old").where("old is not null")
     return s.groupBy("old", "new").agg(F.count(F.lit(1)).alias("n"), F.bool_or(D.valid_transition(F.col("old"), F.col("new"))).alias("valid"))
 
 

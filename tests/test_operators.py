@@ -221,6 +221,21 @@ def test_leases_in_a_stream(spark, tmp_path):
     assert [(r.state, r.retries) for r in found if r.key == 60] == [("done", 1), ("in_progress", 0)]
 
 
+def test_previous_event(spark):
+    """Across hours without events, with ties, and for a hot key: the event before is the one before."""
+    from tarn.operators.rates import previous
+
+    r = random.Random(9)
+    rows = [(r.choice("aab"), r.randrange(0, 40) * r.choice((1, 3_600_000_000)), k, r.choice((None, "x", "y"))) for k in range(200)]
+    df = spark.createDataFrame(rows, "k string, t long, seq long, v string")
+    got = {x.seq: x.before for x in previous(df, "k", "t", "seq", F.col("v"), "before").collect()}
+    last, want = {}, {}
+    for key, _, seq, v in sorted(rows, key=lambda x: (x[1], x[2])):
+        want[seq] = last.get(key)
+        last[key] = v
+    assert got == want
+
+
 def test_admission(spark):
     rows = [("d", s, i) for i, s in enumerate([0] * 70 + [30] * 5 + [60] * 3 + [61] * 80)]
     df = spark.createDataFrame(rows, "key string, sec long, seq long")

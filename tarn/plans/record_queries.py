@@ -31,6 +31,24 @@ def html_record(spark, sf_dir):
     return parse_pages(pages(spark, sf_dir)).drop("opengraph", "twitter")
 
 
+#: Text of markup without its tags, white space as one blank; the article, or with the advert before it where the article has 100 characters or fewer.
+PLAIN = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
+ARTICLE, WITH_ADVERT = "regexp_extract(html, '<article>(.*)</article>', 1, 's')", "regexp_extract(html, '(<div class=.ad.>.*)</article>', 1, 's')"
+SPACED = "trim(regexp_replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+BARE = PLAIN.format(f"regexp_replace({ARTICLE}, '<[^>]*>', '', 'g')")
+
+
+@query(
+    "html_record_text",
+    f"""select page_id, trim({PLAIN.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) as title, regexp_extract(html, '<html lang="([a-z]+)"', 1) as html_lang,
+    md5(case when length(trim({BARE})) > 100 then {PLAIN.format(SPACED.format(ARTICLE))} else {PLAIN.format(SPACED.format(WITH_ADVERT))} end) as body_md5 from pages""",
+)
+def html_record_text(spark, sf_dir):
+    """The record's title, language and main text, its white space as one blank."""
+    body = F.btrim(F.regexp_replace("body_text", "\\s+", " "))
+    return parse_pages(pages(spark, sf_dir)).select("page_id", "title", "html_lang", F.md5(body).alias("body_md5"))
+
+
 @query("html_language", "select page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) as html_lang from pages")
 def html_language(spark, sf_dir):
     return parse_pages(pages(spark, sf_dir)).select("page_id", "html_lang")

@@ -6,7 +6,10 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tarn.operators import ivf, segments
 from tarn.operators import search as S
@@ -242,8 +245,10 @@ def knn_lsh(spark, sf_dir):
 
 
 def local(spark, rows: list[tuple], schema: str):
-    """A bounded list as a table without a job."""
-    return spark.createDataFrame(rows, schema)
+    """A bounded list as a table without a job: Arrow tables become local relations."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.table({f.name: pa.array(c, f.type) for f, c in zip(kinds, columns, strict=True)}))
 
 
 @query("knn_index", f"with {COSINE} select doc, round(score, 6) as score from v order by round(score, 9) desc, doc limit 20")
@@ -293,9 +298,11 @@ def hybrid_search(spark, sf_dir):
     from tarn.functions.text import snippet
 
     first = [(doc, round(score, 9)) for doc, _, _, score in fused(spark, sf_dir)[:10]]
-    d = table(spark, sf_dir, "documents").where(F.col("doc_id").isin(*[doc for doc, _ in first])) if first else table(spark, sf_dir, "documents").limit(0)
-    hits = local(spark, first, "doc long, rrf double")
-    return d.select(F.col("doc_id").alias("doc"), "lang", F.col("source").alias("site"), F.md5(snippet(F.col("text"))).alias("snippet_md5")).join(F.broadcast(hits), "doc").select("doc", "rrf", "lang", "site", "snippet_md5")
+    d = table(spark, sf_dir, "documents")
+    d = d.where(F.col("doc_id").isin(*[doc for doc, _ in first])) if first else d.limit(0)
+    # the page's scores as a literal map, so that the scan of documents is the only job
+    score = F.create_map(*[F.lit(x) for hit in first for x in hit])[F.col("doc_id")] if first else F.lit(None).cast("double")
+    return d.select(F.col("doc_id").alias("doc"), score.alias("rrf"), "lang", F.col("source").alias("site"), F.md5(snippet(F.col("text"))).alias("snippet_md5"))
 
 
 @query("search_page_2", f"{FUSED} select doc, round(rrf, 9) as rrf from (select * from z order by rrf desc, bm25_rank nulls last, vec_rank nulls last limit 20) order by rrf desc, bm25_rank nulls last, vec_rank nulls last limit 5 offset 5")

@@ -46,6 +46,11 @@ class CapacityError(ValueError):
     """More values than a filter was made for."""
 
 
+def room(df: DataFrame, column: str) -> int:
+    """Items that a filter of the column needs: its distinct values, one at least."""
+    return max(1, df.select(column).where(F.col(column).isNotNull()).distinct().count())
+
+
 def build(df: DataFrame, column: str, items: int, error: float) -> DataFrame:
     at = df.select(F.explode(positions(F.col(column), items, error)).alias("p")).where("p is not null")
     return at.groupBy(F.expr(f"p div {BUCKET_BITS}").alias("bucket")).agg(F.bitmap_construct_agg(F.col("p") % BUCKET_BITS).alias("bitmap"))
@@ -53,7 +58,7 @@ def build(df: DataFrame, column: str, items: int, error: float) -> DataFrame:
 
 def build_checked(df: DataFrame, column: str, items: int, error: float) -> DataFrame:
     """``build``, but an error where there are more distinct values than ``items``."""
-    many = df.select(column).where(F.col(column).isNotNull()).distinct().count()
+    many = room(df, column)
     if many > items:
         raise CapacityError(f"{many} values for a filter of {items}")
     return build(df, column, items, error)

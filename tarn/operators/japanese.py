@@ -71,13 +71,15 @@ def score(t: Column) -> Column:
 
 def keywords(tokens: Column, most: int) -> Column:
     """Base forms by summed score, ties in order of first appearance."""
-    good = F.filter(tokens, lambda t: is_content(t) & ~is_stop(t))
-    bases = F.array_distinct(F.transform(good, lambda t: t["base"]))
-    scored = F.transform(
-        bases,
-        lambda b, i: F.struct((-F.aggregate(F.filter(good, lambda t: t["base"] == b), F.lit(0.0), lambda s, t: s + score(t))).alias("s"), i.alias("i"), b.alias("b")),
-    )
-    return F.transform(F.slice(F.array_sort(scored), 1, most), lambda x: x["b"])
+    good = F.transform(F.filter(tokens, lambda t: is_content(t) & ~is_stop(t)), lambda t: F.struct(t["base"].alias("b"), score(t).alias("s")))
+
+    def best(good: Column) -> Column:
+        total = lambda b: F.aggregate(good, F.lit(0.0), lambda s, t: s + F.when(t["b"].eqNullSafe(b), t["s"]).otherwise(0.0))
+        scored = F.transform(F.array_distinct(F.transform(good, lambda t: t["b"])), lambda b, i: F.struct((-total(b)).alias("s"), i.alias("i"), b.alias("b")))
+        return F.transform(F.slice(F.array_sort(scored), 1, most), lambda x: x["b"])
+
+    # an array of one, so that the tokens are scored once and not for each base form
+    return F.transform(F.array(good), best)[0]
 
 
 def normalized(tokens: Column) -> Column:

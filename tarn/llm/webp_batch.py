@@ -34,6 +34,8 @@ MODES = (2, 7, 11, 12, 13)
 PLANS = ((), (PREDICTOR,), (CROSS_COLOUR,), (SUBTRACT_GREEN,), (PREDICTOR, CROSS_COLOUR), (SUBTRACT_GREEN, PREDICTOR))
 #: A list of transforms has to save this share of the estimated bits: what is transformed has fewer repeats to refer back to.
 LEAST_GAIN = 0.1
+#: Up to this share about the plain estimate both forms are written and the shorter is taken.
+DOUBT = 0.1
 ALPHABETS = (256 + 24 + (1 << CACHE_BITS), 256, 256, 256, 40)
 #: Longer codes than this go to the one-image decoder, whose tables are not per image.
 LONGEST = 11
@@ -366,10 +368,17 @@ def estimated(p: np.ndarray, layout: _Layout) -> np.ndarray:
 
 
 def chosen(p: np.ndarray, layout: _Layout) -> np.ndarray:
-    """The number in ``PLANS`` of each image: the least estimate, if it saves enough."""
+    """The number in ``PLANS`` of each image: the least estimate, if it saves enough; in doubt the shorter of both when written."""
     bits = estimated(p, layout)
-    best = bits.argmin(axis=1)
-    return np.where(bits[np.arange(len(bits)), best] <= (1 - LEAST_GAIN) * bits[:, 0], best, 0)
+    best = bits[:, 1:].argmin(axis=1) + 1
+    least, plain = bits[np.arange(len(bits)), best], bits[:, 0]
+    plan = np.where(least <= (1 - LEAST_GAIN) * plain, best, 0)
+    tried = np.flatnonzero((plan == 0) & (least <= (1 + DOUBT) * plain))
+    if len(tried):
+        images = [p[k : k + n].reshape(-1, WIDTH, 4) for k, n in zip(layout.starts[tried], layout.counts[tried], strict=True)]
+        as_is, turned = ([len(c) for c in encode(images, plans)] for plans in (np.zeros(len(tried), dtype=np.int64), best[tried]))
+        plan[tried] = np.where(np.array(turned) < np.array(as_is), best[tried], 0)
+    return plan
 
 
 def encode(images: list[np.ndarray], plans: np.ndarray | None = None) -> list[bytes]:

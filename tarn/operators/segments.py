@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.text import tokens
-from tarn.operators.search import KeptIndex
+from tarn.operators.search import PARTS, KeptIndex, counted, dealt
 from tarn.sources.versioned import ATTEMPTS, CommitLog, Conflict
 
 #: A merge takes the segments of a tier once there are so many; a tier holds sizes within this factor.
@@ -68,13 +68,12 @@ class SegmentedIndex:
             out = self._live(s, name) if out is None else out.unionByName(self._live(s, name))
         return self.spark.createDataFrame([], schema) if out is None else out
 
-    def _write(self, counted: DataFrame, lengths: DataFrame, chars: int) -> dict:
+    def _write(self, postings: DataFrame, lengths: DataFrame, chars: int) -> dict:
         """A segment of (field, term, doc, tf, len) and (field, doc, len) rows."""
         name = f"segment-{uuid.uuid4().hex}"
         buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, chars // BUCKET_CHARS))
-        # by bucket and range of terms, so that a query reads the row groups of its terms
-        dealt = counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        dealt.repartitionByRange(buckets, "bucket", "term").sortWithinPartitions("bucket", "term", "field", "doc").drop("bucket").write.parquet(f"{self.path}/{name}/postings")
+        # by bucket and term, so that a query reads the row groups of its terms
+        dealt(postings, buckets, PARTS).drop("bucket").write.parquet(f"{self.path}/{name}/postings")
         lengths.write.parquet(f"{self.path}/{name}/documents")
         n = self.spark.read.parquet(f"{self.path}/{name}/documents").select("doc").distinct().count()
         return {"name": name, "docs": n, "chars": chars, "dead": []}
@@ -113,9 +112,8 @@ class SegmentedIndex:
         rows = docs.select(F.col(key).alias("doc"), *[text.alias(f"f_{name}") for name, text in fields.items()])
         each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(analyze(F.col(f"f_{n}")), F.array().cast("array<string>")).alias("t")) for n in fields]))
         cut = rows.select("doc", each.alias("x")).select("doc", "x.field", "x.t", F.size("x.t").cast("long").alias("len"))
-        counted = cut.select("field", "doc", "len", F.explode("t").alias("term")).groupBy("field", "term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
         chars = rows.agg(*[F.coalesce(F.sum(F.length(f"f_{n}")), F.lit(0)) for n in fields]).first()
-        segment = self._write(counted, cut.select("field", "doc", "len"), int(sum(chars)))
+        segment = self._write(counted(cut.select("field", "doc", F.col("t").alias("tokens"))), cut.select("field", "doc", "len"), int(sum(chars)))
         keys = self._table(segment, "documents").select("doc").distinct()
 
         def change(segments: list[dict]) -> tuple[list[dict], Written]:

@@ -30,6 +30,8 @@ from tarn.operators.search import cosine
 #: Rows that k-means is fitted on, lists at most, and probes that ``reach`` is measured with.
 SAMPLE, MOST_LISTS, PROBES = 200_000, 4096, 64
 ITERATIONS, SEED = 12, 11
+#: Tasks of a turn of k-means, lists of one block of its sums, and rows whose products with all centroids are held at once.
+FIT_TASKS, BLOCK, ROWS_AT_ONCE = 16, 256, 1024
 #: Wanted share of the true neighbours in the lists that ``near`` reads.
 RECALL = 0.95
 #: Full vectors that are read for each one asked.
@@ -60,24 +62,62 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _nearest_list(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(list, cosine) of each unit vector's nearest centroid, some rows at once."""
+    mine, cosines = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+    for k in range(0, len(x), ROWS_AT_ONCE):
+        near = x[k : k + ROWS_AT_ONCE] @ centroids.T
+        mine[k : k + ROWS_AT_ONCE] = best = near.argmax(axis=1)
+        cosines[k : k + ROWS_AT_ONCE] = near[np.arange(len(near)), best]
+    return mine, cosines
+
+
+def _moved(points: DataFrame, centroids: np.ndarray) -> np.ndarray:
+    """The mean direction of each list's points, summed by blocks of lists; a list without points stays where it is."""
+    k, dims = centroids.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, dims))
+        for batch in batches:
+            if len(batch):
+                x = unit(_matrix(batch.column("vector")))
+                np.add.at(total, _nearest_list(x, centroids)[0], x)
+        blocks = [(i // BLOCK, total[i : i + BLOCK].tobytes()) for i in range(0, k, BLOCK)]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["block", "part"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b, dtype=np.float64) for b in table.column("part").to_pylist())
+        return pa.table({"block": table.column("block").slice(0, 1).cast(pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((k, dims))
+    for r in points.mapInArrow(run, "block int, part binary").groupBy("block").applyInArrow(add, "block int, part binary").collect():
+        part = np.frombuffer(r.part, dtype=np.float64).reshape(-1, dims)
+        out[r.block * BLOCK : r.block * BLOCK + len(part)] = part
+    return unit(np.where(np.linalg.norm(out, axis=1, keepdims=True) > 0, out, centroids))
+
+
 def fit(vectors: DataFrame, column: str, rows: int) -> np.ndarray:
-    """Centroids of about 2 sqrt(rows) lists, from ``SAMPLE`` rows at most."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import Normalizer
-    from pyspark.ml.functions import array_to_vector
+    """Centroids of about 2 sqrt(rows) lists, from ``SAMPLE`` rows at most: k-means by cosine that begins with distinct points.
 
+    What comes to the driver in a turn has the size of the centroids.
+    """
     k = max(1, min(MOST_LISTS, int(2 * math.sqrt(rows))))
+    if k < 2:
+        return np.eye(1, rows and len(vectors.select(column).first()[0]))
     some = vectors.where(F.exists(column, lambda x: x != 0))
     if rows > SAMPLE:
         some = some.sample(SAMPLE / rows, seed=SEED)
-    points = Normalizer(inputCol="raw", outputCol="features").transform(some.select(array_to_vector(F.col(column).cast("array<double>")).alias("raw")))
-    if k < 2:
-        return np.eye(1, rows and len(vectors.select(column).first()[0]))
     # each point is needed once a turn
-    points = points.select("features").persist()
-    found = KMeans(k=k, seed=SEED, maxIter=ITERATIONS, distanceMeasure="cosine", featuresCol="features").fit(points)
+    points = some.select(F.col(column).cast("array<float>").alias("vector")).repartition(FIT_TASKS).persist()
+    first = points.distinct().orderBy(F.xxhash64("vector", F.lit(SEED)), "vector").limit(k).collect()
+    if not first:
+        points.unpersist()
+        return np.eye(1, len(vectors.where(F.col(column).isNotNull()).select(column).first()[0]))
+    centroids = unit(np.array([r.vector for r in first], dtype=np.float64))
+    for _ in range(ITERATIONS):
+        centroids = _moved(points, centroids)
     points.unpersist()
-    return unit(np.array(found.clusterCenters()))
+    return centroids
 
 
 def coded(vectors: DataFrame, key: str, column: str, centroids: np.ndarray) -> DataFrame:
@@ -89,13 +129,12 @@ def coded(vectors: DataFrame, key: str, column: str, centroids: np.ndarray) -> D
             if not len(batch):
                 continue
             x = unit(_matrix(batch.column("vector")))
-            near = x @ centroids.T
-            mine = near.argmax(axis=1)
+            mine, cosines = _nearest_list(x, centroids)
             top = np.abs(x).max(axis=1)
             scale = np.where(top > 0, top, 1) / 127
             code = np.rint(x / scale[:, None]).astype(np.int8)
             error = np.linalg.norm(x - code * scale[:, None], axis=1)
-            angle = np.arccos(np.clip(near[np.arange(len(x)), mine], -1, 1))
+            angle = np.arccos(np.clip(cosines, -1, 1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(code.ravel()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(mine.astype(np.int32)), batch.column("doc"), lists, pa.array(scale), pa.array(error), pa.array(angle), batch.column("vector")],

@@ -32,6 +32,8 @@ SAMPLE, MOST_LISTS, PROBES = 200_000, 4096, 64
 ITERATIONS, SEED = 12, 11
 #: Tasks of a turn of k-means, lists of one block of its sums, and rows whose products with all centroids are held at once.
 FIT_TASKS, BLOCK, ROWS_AT_ONCE = 16, 256, 1024
+#: Points for each list that k-means chooses its beginnings from.
+SPREAD = 4
 #: Wanted share of the true neighbours in the lists that ``near`` reads.
 RECALL = 0.95
 #: Full vectors that are read for each one asked.
@@ -96,6 +98,16 @@ def _moved(points: DataFrame, centroids: np.ndarray) -> np.ndarray:
     return unit(np.where(np.linalg.norm(out, axis=1, keepdims=True) > 0, out, centroids))
 
 
+def _spread(x: np.ndarray, k: int) -> np.ndarray:
+    """Up to k of the rows, each drawn in proportion to its distance from those before (k-means++)."""
+    rng, picked = np.random.default_rng(SEED), [0]
+    left = np.maximum(0, 1 - x @ x[0])
+    while len(picked) < k and left.sum() > 1e-9:
+        picked.append(int(rng.choice(len(x), p=left / left.sum())))
+        left = np.minimum(left, np.maximum(0, 1 - x @ x[picked[-1]]))
+    return x[picked]
+
+
 def fit(vectors: DataFrame, column: str, rows: int) -> np.ndarray:
     """Centroids of about 2 sqrt(rows) lists, from ``SAMPLE`` rows at most: k-means by cosine that begins with distinct points.
 
@@ -109,11 +121,11 @@ def fit(vectors: DataFrame, column: str, rows: int) -> np.ndarray:
         some = some.sample(SAMPLE / rows, seed=SEED)
     # each point is needed once a turn
     points = some.select(F.col(column).cast("array<float>").alias("vector")).repartition(FIT_TASKS).persist()
-    first = points.distinct().orderBy(F.xxhash64("vector", F.lit(SEED)), "vector").limit(k).collect()
+    first = points.distinct().orderBy(F.xxhash64("vector", F.lit(SEED)), "vector").limit(SPREAD * k).collect()
     if not first:
         points.unpersist()
         return np.eye(1, len(vectors.where(F.col(column).isNotNull()).select(column).first()[0]))
-    centroids = unit(np.array([r.vector for r in first], dtype=np.float64))
+    centroids = _spread(unit(np.array([r.vector for r in first], dtype=np.float64)), k)
     for _ in range(ITERATIONS):
         centroids = _moved(points, centroids)
     points.unpersist()

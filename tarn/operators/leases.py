@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -129,7 +130,9 @@ class LeaseProcessor(StatefulProcessor):
 
     An event-time timer stands at the end of a lease and takes the key back to
     pending without another event; one more drops the state of a key that has
-    been done for ``retention`` seconds.
+    been done for ``retention`` seconds.  A key has few events in a batch: plain
+    rows cost less than a frame for each key, and so does asking the state store
+    no more than is needed.
     """
 
     def __init__(self, retention: int = RETENTION):
@@ -139,34 +142,35 @@ class LeaseProcessor(StatefulProcessor):
         self.handle = handle
         self.lease = handle.getValueState("lease", STATE)
 
-    def _read(self) -> Fold:
-        if not self.lease.exists():
-            return START
-        state, owner, ttl, retries = self.lease.get()
-        return state, owner, ttl, retries
-
-    def _write(self, s: Fold, at: int) -> None:
-        self.lease.update(s)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if s[0] == "in_progress":
-            self.handle.registerTimer(s[2] * 1000)
-        elif s[0] == "done":
-            self.handle.registerTimer((at + self.retention) * 1000)
+    def _read(self) -> Fold | None:
+        return self.lease.get() if self.lease.exists() else None
+
+    def _write(self, before: Fold | None, s: Fold, at: int) -> None:
+        """Keeps the state; its timer takes the place of the one before, which a lease's end tells without asking."""
+        if s != before:
+            self.lease.update(s)
+        timer = s[2] * 1000 if s[0] == "in_progress" else (at + self.retention) * 1000 if s[0] == "done" else None
+        held = [before[2] * 1000] if before and before[0] == "in_progress" else list(self.handle.listTimers()) if before and before[0] == "done" else []
+        for t in held:
+            if t != timer:
+                self.handle.deleteTimer(t)
+        if timer is not None and timer not in held:
+            self.handle.registerTimer(timer)
 
     @staticmethod
-    def _row(key: Any, s: Fold, cause: str) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key], "state": [s[0]], "owner": pd.Series([s[1]], dtype=object), "ttl": pd.Series([s[2]], dtype="Int64"), "retries": [s[3]], "cause": [cause]})
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        s, at = self._read(), 0
-        for at, kind, owner in pd.concat(list(rows)).sort_values(["at", "seq"])[["at", "kind", "owner"]].itertuples(index=False):
-            s, _ = step(s, int(at), kind, owner)
-        self._write(s, int(at))
+    def _row(key: Any, s: Fold, cause: str) -> Row:
+        return Row(key=key, state=s[0], owner=s[1], ttl=s[2], retries=s[3], cause=cause)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        before = self._read()
+        s, at = before or START, 0
+        for at, _, _, kind, owner in sorted(((r.at, r.seq is None, r.seq, r.kind, r.owner) for r in rows), key=itemgetter(0, 1, 2)):
+            s, _ = step(s, at, kind, owner)
+        self._write(before, s, at)
         yield self._row(key[0], s, "event")
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        s, at = self._read(), expiredTimerInfo.getExpiryTimeInMs() // 1000
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        s, at = self._read() or START, expiredTimerInfo.getExpiryTimeInMs() // 1000
         if s[0] == "in_progress" and s[2] <= at:
             s = ("pending", None, None, s[3])
             self.lease.update(s)
@@ -186,8 +190,8 @@ def fold_stream(events: DataFrame, late: str = "0 seconds", retention: int = RET
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = events.schema["key"].dataType.simpleString()
-    timed = events.withColumn("__at", F.timestamp_seconds("at")).withWatermark("__at", late)
-    return timed.groupBy("key").transformWithStateInPandas(LeaseProcessor(retention), f"key {kind}, {STATE}, cause string", "Update", "EventTime")
+    timed = events.select("key", "at", "seq", "kind", "owner", F.timestamp_seconds("at").alias("__at")).withWatermark("__at", late)
+    return timed.groupBy("key").transformWithState(LeaseProcessor(retention), f"key {kind}, {STATE}, cause string", "Update", "EventTime")
 
 
 def admissions(requests: DataFrame, qps: int = 1, window: int = 60) -> DataFrame:

@@ -162,7 +162,8 @@ def fit(df: DataFrame, text: str = "text", dims: int = 64, n: int = FEATURES, pa
     path = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
     # small row groups, so that the passes have many tasks where the texts had few
     counted(df, text, n).write.option("parquet.block.size", 8 << 20).parquet(path)
-    held = spark.read.schema("ids binary, n binary").parquet(path)
+    # a task's sums have the size of the model whatever it reads, so there are as many tasks as cores at most
+    held = spark.read.schema("ids binary, n binary").parquet(path).coalesce(spark.sparkContext.defaultParallelism)
     weights = document_weights(held, n)
     directions = np.linalg.qr(np.random.default_rng(SEED).normal(size=(n, dims + EXTRA)))[0]
     for _ in range(passes):

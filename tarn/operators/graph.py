@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions import urls as U
+from tarn.operators.html_record import link_domains
 from tarn.sources.shared import shared_folder
 
 
@@ -15,7 +16,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def link_edges(records: DataFrame) -> DataFrame:
-    """(source, target, n): links between domains."""
-    rows = records.select(U.domain(F.col("url")).alias("source"), F.explode("links").alias("link"))
-    return rows.select("source", F.col("link.domain").alias("target")).where("target is not null").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+def link_edges(pages: DataFrame) -> DataFrame:
+    """(source, target, n): links between domains, all links of all pages."""
+    rows = link_domains(pages).select(U.domain(F.col("url")).alias("source"), F.col("domain").alias("target"), "n")
+    return rows.groupBy("source", "target").agg(F.sum("n").alias("n"))
